@@ -99,17 +99,22 @@ def normalize_attributes(
     Strings stay, booleans become true/false, numbers get their ECMAScript text. Only numbers
     that built-in expressions are not sure of visit Python, a batch of rows at a time.
     """
-    left_over = F.filter(F.map_entries("_texts"), lambda e: e["value"].isNull())
-    double = lambda key: as_double(F.element_at(source, key))
-    hard = F.array_distinct(F.transform(left_over, lambda e: double(e["key"])))
-    filled = F.transform_values(
-        "_texts", lambda key, text: F.coalesce(text, F.element_at("_exact", double(key)))
+    texts = F.map_values("_texts")
+    doubtful = F.exists(texts, lambda text: text.isNull())
+    doubles = F.transform(
+        F.map_entries("_texts"),
+        lambda e: F.when(e["value"].isNull(), as_double(F.element_at(source, e["key"]))),
     )
     nothing = F.array().cast("array<double>")
+    exact = F.transform(
+        F.arrays_zip(texts.alias("plain"), F.col("_exact").alias("exact")),
+        lambda pair: F.coalesce(pair["plain"], pair["exact"]),
+    )
+    filled = F.map_from_arrays(F.map_keys("_texts"), exact)
     return (
         df.withColumn("_texts", F.transform_values(source, lambda _, v: normalize_value(v)))
-        .withColumn("_hard", F.when(F.size(left_over) > 0, hard).otherwise(nothing))
-        .withColumn("_exact", F.map_from_arrays("_hard", exact_number_texts("_hard")))
+        .withColumn("_hard", F.when(doubtful, doubles).otherwise(nothing))
+        .withColumn("_exact", exact_number_texts("_hard"))
         .withColumn(target, F.when(F.col("_exact").isNull(), F.col("_texts")).otherwise(filled))
         .drop("_texts", "_hard", "_exact")
     )

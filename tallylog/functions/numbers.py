@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallylog.functions.binding import let
 
@@ -101,14 +102,19 @@ def shortest_text(x: float) -> str:
     return f"{sign}{digits[0]}{rest}e{'+' if exponent > 0 else '-'}{abs(exponent)}"
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def exact_number_texts(values: pa.Array) -> pa.Array:
-    """Texts of arrays of doubles. Almost every array is empty and costs nothing here.
+    """Texts of arrays of doubles; a null stays null. Almost every array is empty and free.
 
     Pass empty arrays, not nulls: Arrow's writer goes over all nulls before for each next one.
     """
     kind = pa.list_(pa.string())
     if len(values.flatten()) == 0:
         return pa.nulls(len(values), kind)
-    rows = [[shortest_text(x) for x in row] if row else None for row in values.to_pylist()]
-    return pa.array(rows, kind)
+    texts = lambda row: [None if x is None else shortest_text(x) for x in row]
+    return pa.array([texts(row) if row else None for row in values.to_pylist()], kind)
+
+
+# Keeps a filter on the result above the step that computes it, where it would otherwise be moved
+# below and then hold a Python UDF it cannot run.
+exact_number_texts = exact_number_texts.asNondeterministic()

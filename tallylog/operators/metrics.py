@@ -144,7 +144,7 @@ def rate_per_second(count: Column, milliseconds: Column) -> Column:
 
 # --- requests ---------------------------------------------------------------
 
-_SUCCESS = F.lit("success")
+_SUCCESS = "success"
 
 
 def throughput(requests: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.functions.attributes import normalize_attributes, parse_attributes
 from tallylog.sources.synthetic import MARKER_MESSAGE
 
 # --- fixed values -----------------------------------------------------------
@@ -52,7 +51,11 @@ def _message() -> Column:
 
 
 def events_as_logs(events: DataFrame) -> DataFrame:
-    """The log columns of an ``events`` table; ``props`` is the attributes object."""
+    """The log columns of an ``events`` table.
+
+    ``props`` is the attributes object. Its numbers are whole, so their JSON text is already the
+    searchable one, and filters on it stay within built-in expressions.
+    """
     instant = F.col("ts").cast("timestamp")
     logs = events.select(
         instant.alias("timestamp"),
@@ -61,12 +64,10 @@ def events_as_logs(events: DataFrame) -> DataFrame:
         _service().alias("service"),
         _message().alias("message"),
         F.col("props").alias("attributes"),
-        parse_attributes(F.col("props")).alias("_typed"),
-    )
-    logs = normalize_attributes(logs, "_typed", "attributes_search").drop("_typed")
-    return logs.withColumn("created_at", F.col("timestamp")).withColumn(
-        "event_date", F.to_date("timestamp")
+        F.from_json("props", "map<string,string>").alias("attributes_search"),
+        instant.alias("created_at"),
     )
+    return logs.withColumn("event_date", F.to_date("timestamp"))
 
 
 def documents_as_logs(documents: DataFrame) -> DataFrame:

@@ -40,24 +40,26 @@ def parse_batches(bodies: DataFrame) -> DataFrame:
     )
 
 
-def text_bodies(lines: DataFrame) -> DataFrame:
-    """Number the lines of a text source. Blank lines are no bodies.
-
-    The number follows from the file and the place in its split, so a repeated task attempt
-    gives the same ``batch_id``.
-    """
+def text_lines(lines: DataFrame) -> DataFrame:
+    """``(file, body)`` of a text source. Blank lines are no bodies."""
     return lines.where(F.trim("value") != "").select(
-        F.concat_ws(
-            "#", F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")
-        ).alias("batch_id"),
-        F.col("value").alias("body"),
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("body")
     )
 
 
+def numbered_bodies(lines: DataFrame) -> DataFrame:
+    """Give each line a ``batch_id`` from its file and its place in the split.
+
+    A repeated task attempt reads the same split and gives the same number.
+    """
+    number = F.monotonically_increasing_id().cast("string")
+    return lines.withColumn("batch_id", F.concat_ws("#", "file", number)).drop("file")
+
+
 def read_log_batches(spark: SparkSession, path: str) -> DataFrame:
     """Parsed batches of all bodies below ``path``, one body per line."""
     configure(spark)
-    return parse_batches(text_bodies(spark.read.text(path)))
+    return parse_batches(numbered_bodies(text_lines(spark.read.text(path))))
 
 
 def bad_batches(batches: DataFrame) -> DataFrame:

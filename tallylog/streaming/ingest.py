@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallylog.plans.ingest import judge, store_judged
 from tallylog.session import configure
-from tallylog.sources.batches import parse_batches, text_bodies
+from tallylog.sources.batches import numbered_bodies, parse_batches, text_lines
 from tallylog.sources.tables import LogTables
 
 
@@ -20,13 +20,18 @@ def read_body_stream(
     max_files_per_trigger: int | None = None,
     max_bytes_per_trigger: str | None = None,
 ) -> DataFrame:
-    """Parsed batches of body files as they arrive. Set one of the limits to size micro-batches."""
+    """Bodies of files as they arrive, with ``received_at``, the start of their micro-batch.
+
+    Spark keeps that time in the checkpoint, so a repeated micro-batch sees the same one. The
+    limits size the micro-batches.
+    """
     reader = configure(spark).readStream.format("text")
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if max_bytes_per_trigger is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
-    return parse_batches(text_bodies(reader.load(in_dir)))
+    lines = text_lines(reader.load(in_dir))
+    return lines.withColumn("received_at", F.current_timestamp())
 
 
 def _query_id(spark: SparkSession, checkpoint: str) -> str:
@@ -43,25 +48,24 @@ def stream_ingest(
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
     max_bytes_per_trigger: str | None = None,
-    reference_time: Column | None = None,
 ) -> StreamingQuery:
     """Validate and store every body file of ``in_dir`` below ``out``, each exactly once.
 
     Without ``processing_time`` the query stores what is there and stops, which also drains a
-    stopped stream. Entries are judged against the start of their micro-batch, which Spark keeps
-    in the checkpoint, so a repeated micro-batch accepts the same entries. A failed micro-batch
-    stays invisible and is repeated as a whole. Late rows are simply added to their minute.
+    stopped stream. Entries are judged against the start of their micro-batch, so a repeated one
+    accepts the same entries. A failed micro-batch stays invisible and is repeated as a whole.
+    Late rows are simply added to their minute.
     """
     tables = LogTables(out)
     checkpoint = checkpoint or f"{out}/checkpoint"
     bodies = read_body_stream(spark, in_dir, max_files_per_trigger, max_bytes_per_trigger)
-    judged = judge(bodies, reference_time)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        writer = _query_id(batch.sparkSession, checkpoint)
-        store_judged(batch, batch_id, tables, writer)
+        source = _query_id(batch.sparkSession, checkpoint)
+        judged = judge(parse_batches(numbered_bodies(batch)), F.col("received_at"))
+        store_judged(judged, batch_id, tables, source)
 
-    writer = judged.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+    writer = bodies.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     if processing_time is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=processing_time).start()
