@@ -131,6 +131,7 @@ _GRAMMAR = re.compile(
 )
 _EPOCH = dt.date(1970, 1, 1).toordinal()
 _DAYS_IN_400_YEARS = 146097
+_DAY_MICROS = 86400000000
 
 
 def argument_instant(text: str) -> tuple[int, str] | None:
@@ -186,4 +187,9 @@ def instant_literal(text: str) -> Column:
 
 def date_literal(text: str) -> Column:
     """The UTC day of a valid argument text."""
-    return F.date_from_unix_date(F.lit(argument_micros(text) // 86400000000))
+    return F.date_from_unix_date(F.lit(argument_micros(text) // _DAY_MICROS))
+
+
+def last_day_before(text: str) -> Column:
+    """The UTC day of the last instant before an argument: midnight belongs to the next day."""
+    return F.date_from_unix_date(F.lit((argument_micros(text) - 1) // _DAY_MICROS))

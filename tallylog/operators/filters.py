@@ -16,6 +16,7 @@ from tallylog.functions.timestamps import (
     argument_instant,
     date_literal,
     instant_literal,
+    last_day_before,
 )
 
 NUL = "\u0000"
@@ -124,7 +125,7 @@ def time_clauses(
     if filters.until is not None:
         clauses.append(F.col(column) < instant_literal(filters.until))
         if day:
-            clauses.append(F.col(day) <= date_literal(filters.until))
+            clauses.append(F.col(day) <= last_day_before(filters.until))
     return clauses
 
 
