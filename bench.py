@@ -133,6 +133,16 @@ def main() -> None:
     )
     windows = ("2026-08-09T12:00:00.000Z", "2026-08-03T12:00:00.000Z", REFERENCE_TS)
     run_scenarios(times, "synthetic_", made, made_counts, scenarios(*windows))
+    load = fresh_path(spark, "load")
+    adapters.logs_as_bodies(made, 250).select("body").repartition(CPUS).write.text(load)
+    read = lambda: batches.read_log_batches(spark, load)
+    times["synthetic_ingest"] = timed(lambda: ingest(read(), 0, target()), 1)
+    rates["synthetic_ingest_rows_per_sec"] = ROWS / times["synthetic_ingest"]
+    times["synthetic_newest_page"] = timed(
+        lambda: paging.newest_page(
+            made, LogFilters(since="2026-07-11T12:00:00Z", until=REFERENCE_TS)
+        ).collect()
+    )
     times["synthetic_append"] = timed(
         lambda: tables.append_logs(made, fresh_path(spark, "append")), 1
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.fixed import REASON
-from tallylog.functions.binding import let
+from tallylog.functions.binding import built_once, let
 from tallylog.functions.numbers import exact_number_texts, number_text
 
 NUL = "\u0000"
@@ -91,6 +91,30 @@ def normalize_value(value: Column) -> Column:
     return text.otherwise(let(as_double(value), number_text))
 
 
+@built_once
+def _plain_texts() -> Column:
+    return F.transform_values("_source", lambda _, value: normalize_value(value))
+
+
+@built_once
+def _doubtful_numbers() -> Column:
+    """The doubles whose text is still missing, in map order; an empty array if there are none."""
+    missing = F.exists(F.map_values("_texts"), lambda text: text.isNull())
+    doubles = F.transform(
+        F.map_entries("_texts"),
+        lambda e: F.when(e["value"].isNull(), as_double(F.element_at("_source", e["key"]))),
+    )
+    return F.when(missing, doubles).otherwise(F.array().cast("array<double>"))
+
+
+@built_once
+def _all_texts() -> Column:
+    pairs = F.arrays_zip(F.map_values("_texts").alias("plain"), F.col("_exact").alias("exact"))
+    texts = F.transform(pairs, lambda pair: F.coalesce(pair["plain"], pair["exact"]))
+    filled = F.map_from_arrays(F.map_keys("_texts"), texts)
+    return F.when(F.col("_exact").isNull(), F.col("_texts")).otherwise(filled)
+
+
 def normalize_attributes(
     df: DataFrame, source: str = "attributes", target: str = "attributes_search"
 ) -> DataFrame:
@@ -99,24 +123,12 @@ def normalize_attributes(
     Strings stay, booleans become true/false, numbers get their ECMAScript text. Only numbers
     that built-in expressions are not sure of visit Python, a batch of rows at a time.
     """
-    texts = F.map_values("_texts")
-    doubtful = F.exists(texts, lambda text: text.isNull())
-    doubles = F.transform(
-        F.map_entries("_texts"),
-        lambda e: F.when(e["value"].isNull(), as_double(F.element_at(source, e["key"]))),
-    )
-    nothing = F.array().cast("array<double>")
-    exact = F.transform(
-        F.arrays_zip(texts.alias("plain"), F.col("_exact").alias("exact")),
-        lambda pair: F.coalesce(pair["plain"], pair["exact"]),
-    )
-    filled = F.map_from_arrays(F.map_keys("_texts"), exact)
     return (
-        df.withColumn("_texts", F.transform_values(source, lambda _, v: normalize_value(v)))
-        .withColumn("_hard", F.when(doubtful, doubles).otherwise(nothing))
-        .withColumn("_exact", exact_number_texts("_hard"))
-        .withColumn(target, F.when(F.col("_exact").isNull(), F.col("_texts")).otherwise(filled))
-        .drop("_texts", "_hard", "_exact")
+        df.withColumn("_source", F.col(source))
+        .withColumn("_texts", _plain_texts())
+        .withColumn("_exact", exact_number_texts(_doubtful_numbers()))
+        .withColumn(target, _all_texts())
+        .drop("_source", "_texts", "_exact")
     )
 
 

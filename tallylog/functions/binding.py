@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,21 @@ def computed_once(df: DataFrame) -> DataFrame:
     column twice. That is right for cheap columns, not for parsed JSON.
     """
     return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+
+
+def built_once(build: Callable):
+    """Keep what ``build()`` makes of columns with fixed names.
+
+    An expression of some hundred functions takes that many calls to the JVM. A stream would
+    repeat them in every micro-batch.
+    """
+    made: dict[int, object] = {}
+
+    @functools.wraps(build)
+    def get():
+        jvm = id(SparkContext._jvm)
+        if jvm not in made:
+            made[jvm] = build()
+        return made[jvm]
+
+    return get

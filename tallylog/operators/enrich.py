@@ -52,6 +52,7 @@ def minute_bucket(ts: Column) -> Column:
 def to_log_rows(accepted: DataFrame, namespace: str = "") -> DataFrame:
     """Accepted entries in the layout of the log table."""
     rows = normalize_attributes(assign_log_id(accepted, namespace))
-    rows = rows.withColumn("attributes", F.to_json("attributes"))
     rows = with_event_date(with_created_at(rows))
-    return rows.select(*LOG_SCHEMA.fieldNames())
+    columns = {name: F.col(name) for name in LOG_SCHEMA.fieldNames()}
+    columns["attributes"] = F.to_json("attributes").alias("attributes")
+    return rows.select(*columns.values())

@@ -71,16 +71,16 @@ def latency_summary(
         ]
         return samples.groupBy(*keys).agg(F.count("_x").alias("sample_count"), *ranks)
 
-    # Without keys the summary has one row even when there is nothing to count.
-    totals = samples.groupBy(*keys).agg(F.count("_x").alias("sample_count"))
-    totals = totals.withColumn("_all", F.lit(0))
-    distinct = samples.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(
-        F.count("*").alias("_n")
-    )
+    # A key without samples keeps a row that counts nothing.
+    distinct = samples.groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
     order = [*by, "_x"]
     placed = materialize(
         distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranks"
     )
+    # Without keys the summary has one row even when there is nothing to count.
+    totals = placed.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("sample_count"), F.lit(0).alias("_all")
+    )
     by_part = Window.partitionBy(*by).orderBy("_part")
     whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = (

@@ -58,11 +58,15 @@ def find_page(
     The extra row only tells whether there is more. Each task keeps its own newest rows, so no
     full sort takes place.
     """
+    return _page_rows(logs, filters, limit, position, PUBLIC_COLUMNS)
+
+
+def _page_rows(logs, filters, limit, position, columns) -> DataFrame:
     check_limit(limit)
     rows = where_matching(logs, filters)
     if position is not None:
         rows = rows.where(before_position(*position, day=day_column(logs)))
-    return newest_first(rows.select(*PUBLIC_COLUMNS)).limit(limit + 1)
+    return newest_first(rows.select(*columns)).limit(limit + 1)
 
 
 def newest_page(
@@ -72,11 +76,12 @@ def newest_page(
     position: tuple[str, str] | None = None,
     first_days: int = 1,
 ) -> DataFrame:
-    """:func:`find_page` that starts at the upper bound and looks back no further than needed.
+    """The rows of :func:`find_page`, read with as little as possible.
 
-    Reads the newest ``first_days`` day folders, then twice as many, and so on until the page is
-    full or ``since`` is reached. Needs an ``event_date`` column, ``until`` (or a position) and
-    ``since``. The rows are those of :func:`find_page`.
+    First only the ordering and filter columns are read, of the newest ``first_days`` day folders,
+    then of twice as many, and so on until the page is full or ``since`` is reached. That settles
+    how old the page's last row is, and messages and attributes are read from there on only.
+    Needs an ``event_date`` column, ``since``, and ``until`` or a position.
     """
     if filters.since is None or (filters.until is None and position is None):
         raise ValueError("a page over day folders needs 'since' and 'until' or a position")
@@ -87,10 +92,17 @@ def newest_page(
     while True:
         low = max(oldest, newest - days + 1)
         recent = logs.where(F.col("event_date") >= F.date_from_unix_date(F.lit(low)))
-        page = find_page(recent, filters, limit, position)
-        if low == oldest or page.count() > limit:
-            return page
+        keys = _page_rows(recent, filters, limit, position, ("timestamp", "id"))
+        found = keys.agg(
+            F.count("*").alias("rows"), F.unix_micros(F.min("timestamp")).alias("last")
+        ).first()
+        if low == oldest or found["rows"] > limit:
+            break
         days *= 2
+    if found["last"] is not None:
+        last = F.timestamp_micros(F.lit(found["last"]))
+        recent = recent.where((F.col("timestamp") >= last) & (F.col("event_date") >= F.to_date(last)))
+    return find_page(recent, filters, limit, position)
 
 
 def page_position(page: DataFrame, limit: int) -> DataFrame:
@@ -277,8 +289,8 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """Add ``position`` (from 0) and ``total`` in a total order, without sorting in one task.
 
     Rows are range-partitioned by the order and written once, so that a row's partition and its
-    place therein are settled. Partition sizes (one row per shuffle partition) then give the
-    offsets. The order should have no ties for large groups: ranges split between keys.
+    place therein are settled. Partition sizes (one row per shuffle partition, so small enough to
+    broadcast) then give the offsets. Large groups should not tie: ranges split between keys.
     """
     placed = (
         df.repartitionByRange(*order)

@@ -174,7 +174,8 @@ def expire_default_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """(survivors, victims) of one run: the oldest expired rows, ``batch_size`` × ``calls`` at most.
 
-    ``calls`` is at most 10 and ``batch_size`` at most 10 000, which bounds the victims' keys.
+    ``calls`` is at most 10 and ``batch_size`` at most 10 000, so at most 100 000 keys of victims
+    are broadcast.
     """
     check_retention_args(cutoff, batch_size=batch_size)
     if not 1 <= calls <= DELETE_CALL_LIMIT:

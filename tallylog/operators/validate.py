@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallylog.fixed import FUTURE_TOLERANCE_SECONDS, LEVELS, REASON
 from tallylog.functions.attributes import NUL, as_text, first_bad_attribute, variant_type
-from tallylog.functions.binding import computed_once
+from tallylog.functions.binding import built_once, computed_once
 from tallylog.functions.timestamps import (
     fraction_digits,
     is_after,
@@ -40,43 +40,43 @@ def _text_rules(name: str) -> list[tuple[Column, str]]:
     ]
 
 
-def validate_entries(entries: DataFrame, reference_time: Column | None = None) -> DataFrame:
-    """Judge each ``entry`` (a JSON value) and take its fields apart.
-
-    Adds ``reason`` and, for accepted rows, ``timestamp``, ``second``, ``fraction``, ``level``,
-    ``service``, ``message`` and ``attributes`` (``map<string,variant>``). All entries of a batch
-    are judged against one ``reference_time``, by default the start of the query.
-    """
-    now = F.current_timestamp() if reference_time is None else reference_time
-    limit = now + F.make_dt_interval(secs=F.lit(FUTURE_TOLERANCE_SECONDS))
-    if "entry_text" not in entries.columns:
-        entries = entries.withColumn("entry_text", F.lit(None).cast("string"))
-
+@built_once
+def _fields() -> dict[str, Column]:
+    """Typed views of the five fields; null where the JSON type is another."""
     raw_time, raw_level = F.col("_fields.timestamp"), F.col("_fields.level")
     attributes = F.col("_fields.attributes")
-    taken_apart = (
-        entries.withColumn("_fields", F.try_variant_get("entry", "$", _FIELDS))
-        .withColumn("_timestamp", F.when(_is_string(raw_time), as_text(raw_time)))
-        .withColumn("_level", F.when(_is_string(raw_level), as_text(raw_level)))
-        .withColumn("_service", as_text(F.col("_fields.service")))
-        .withColumn("_message", as_text(F.col("_fields.message")))
-        .withColumn("_grammar", matches_grammar(F.col("_timestamp")))
-        .withColumn("_second", F.when(F.col("_grammar"), whole_second(F.col("_timestamp"))))
-        .withColumn("_fraction", F.when(F.col("_grammar"), fraction_digits(F.col("_timestamp"))))
-        .withColumn(
-            "_attributes",
-            F.when(
-                attributes.isNull(), F.create_map().cast("map<string,variant>")
-            ).otherwise(F.try_variant_get(attributes, "$", "map<string,variant>")),
-        )
-    )
+    nothing = F.create_map().cast("map<string,variant>")
+    return {
+        "_timestamp": F.when(_is_string(raw_time), as_text(raw_time)),
+        "_level": F.when(_is_string(raw_level), as_text(raw_level)),
+        "_service": as_text(F.col("_fields.service")),
+        "_message": as_text(F.col("_fields.message")),
+        "_attributes": F.when(attributes.isNull(), nothing).otherwise(
+            F.try_variant_get(attributes, "$", "map<string,variant>")
+        ),
+    }
+
+
+@built_once
+def _time_parts() -> dict[str, Column]:
+    text, valid = F.col("_timestamp"), F.col("_grammar")
+    return {
+        "_second": F.when(valid, whole_second(text)),
+        "_fraction": F.when(valid, fraction_digits(text)),
+    }
+
+
+@built_once
+def _first_reason() -> Column:
+    """The rules in order; the first broken one counts."""
+    raw_time, raw_level = F.col("_fields.timestamp"), F.col("_fields.level")
     rules = [
         (F.col("_fields").isNull(), "entry_object"),
         (raw_time.isNull(), "timestamp_required"),
         (F.col("_timestamp").isNull(), "timestamp_string"),
         (~F.col("_grammar"), "timestamp_grammar"),
         (F.col("_second").isNull(), "timestamp_components"),
-        (is_after(F.col("_second"), F.col("_fraction"), limit), "timestamp_future"),
+        (is_after(F.col("_second"), F.col("_fraction"), F.col("_limit")), "timestamp_future"),
         (raw_level.isNull(), "level_required"),
         (F.col("_level").isNull(), "level_string"),
         (~F.col("_level").isin(*LEVELS), "level_value"),
@@ -84,25 +84,46 @@ def validate_entries(entries: DataFrame, reference_time: Column | None = None) -
         *_text_rules("message"),
         (F.col("_attributes").isNull(), "attributes_object"),
     ]
-    reason = F.coalesce(
+    return F.coalesce(
         *(F.when(broken, _reason(name)) for broken, name in rules),
         first_bad_attribute(F.col("_attributes"), F.col("entry_text")),
     )
-    judged = taken_apart.withColumn("reason", reason)
+
+
+@built_once
+def _accepted() -> list[Column]:
     accepted = lambda column: F.when(F.col("reason").isNull(), column)
-    kept = [c for c in entries.columns if c not in ("entry", "entry_text")]
-    columns = judged.select(
-        *kept,
-        "reason",
+    return [
         accepted(with_fraction(F.col("_second"), F.col("_fraction"))).alias("timestamp"),
-        accepted(F.col("_second")).alias("second"),
-        accepted(F.col("_fraction")).alias("fraction"),
-        accepted(F.col("_level")).alias("level"),
-        accepted(F.col("_service")).alias("service"),
-        accepted(F.col("_message")).alias("message"),
-        accepted(F.col("_attributes")).alias("attributes"),
+        *(
+            accepted(F.col(f"_{name}")).alias(name)
+            for name in ("second", "fraction", "level", "service", "message", "attributes")
+        ),
+    ]
+
+
+def validate_entries(entries: DataFrame, reference_time: Column | None = None) -> DataFrame:
+    """Judge each ``entry`` (a JSON value) and take its fields apart.
+
+    Adds ``reason`` and, for accepted rows, ``timestamp``, ``second``, ``fraction``, ``level``,
+    ``service``, ``message`` and ``attributes`` (``map<string,variant>``). All entries of a batch
+    are judged against one ``reference_time``, by default the start of the query.
+    """
+    now = F.current_timestamp() if reference_time is None else reference_time
+    limit = now + F.make_dt_interval(secs=F.lit(FUTURE_TOLERANCE_SECONDS))
+    if "entry_text" not in entries.columns:
+        entries = entries.withColumn("entry_text", F.lit(None).cast("string"))
+    judged = (
+        entries.withColumns(
+            {"_limit": limit, "_fields": F.try_variant_get("entry", "$", _FIELDS)}
+        )
+        .withColumns(_fields())
+        .withColumn("_grammar", matches_grammar(F.col("_timestamp")))
+        .withColumns(_time_parts())
+        .withColumn("reason", _first_reason())
     )
-    return computed_once(columns)
+    kept = [c for c in entries.columns if c not in ("entry", "entry_text")]
+    return computed_once(judged.select(*kept, "reason", *_accepted()))
 
 
 def split_valid(judged: DataFrame) -> tuple[DataFrame, DataFrame]:

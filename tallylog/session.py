@@ -14,8 +14,6 @@ _SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # The INT96 default carries no min/max statistics, so nothing could be skipped.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
-    # Task attempts that lose a race leave nothing behind in the day folders.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.adaptive.enabled": "true",
 }
 
@@ -27,6 +25,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, named by ``spark.checkpoint.dir``.
 
@@ -38,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tallylog-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="tallylog-")
+    return _local_dirs[application]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

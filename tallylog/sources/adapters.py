@@ -150,6 +150,21 @@ def events_as_bodies(events: DataFrame) -> DataFrame:
     )
 
 
+def logs_as_bodies(logs: DataFrame, size: int) -> DataFrame:
+    """Stored logs as ingest bodies again, ``size`` entries each, for load runs."""
+    quoted = F.struct(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+        "level",
+        "service",
+        "message",
+        F.parse_json("attributes").alias("attributes"),
+    )
+    place = F.floor(F.monotonically_increasing_id() / size).cast("string")
+    entries = logs.select(place.alias("batch_id"), quoted.alias("entry"))
+    gathered = entries.groupBy("batch_id").agg(F.collect_list("entry").alias("logs"))
+    return gathered.select("batch_id", F.to_json(F.struct("logs")).alias("body"))
+
+
 def events_as_requests(events: DataFrame) -> DataFrame:
     """Request records: outcome by event type, latency from ``value``."""
     outcome = _lookup("event_type", OUTCOME_BY_EVENT)

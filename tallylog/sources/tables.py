@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import functools
 import operator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,9 +109,13 @@ def write_batch(
     spark = configure(df.sparkSession)
     if batch_id <= committed_positions(spark, commits_path).get(writer, -1):
         return False
-    _write_part(clustered(df, "service", "timestamp"), logs_path, writer, batch_id)
     counts = clustered(minute_counts(df), "bucket_start", "service", "level")
-    _write_part(counts, rollup_path, writer, batch_id)
+    parts = [(clustered(df, "service", "timestamp"), logs_path), (counts, rollup_path)]
+    # Two independent jobs; the commit row follows only when both are done.
+    with ThreadPoolExecutor(len(parts)) as pool:
+        write = inheritable_thread_target(spark)(_write_part)
+        for job in [pool.submit(write, part, path, writer, batch_id) for part, path in parts]:
+            job.result()
     commit = spark.range(1).select(
         F.lit(writer).alias("writer"),
         F.lit(batch_id).cast("long").alias("batch_id"),
