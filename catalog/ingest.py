@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import (
-    ENTRIES,
-    LOGS,
+    PUBLIC,
     WITH_ENTRIES,
     WITH_LOGS,
     bodies,
@@ -331,6 +330,16 @@ def duplicate_keys(spark, sf_dir):
     return audit.find_duplicate_keys(rows, ["hour", "service", "level"])
 
 
+def already_stored(spark, sf_dir):
+    """Rows of a batch that repeats the purchases and shifts everything else by a second."""
+    rows = logs(spark, sf_dir)
+    moved = F.when(F.col("level") == "warn", F.col("timestamp")).otherwise(
+        F.col("timestamp") + F.make_dt_interval(secs=F.lit(1))
+    )
+    batch = enrich.with_event_date(rows.withColumn("timestamp", moved))
+    return shown(audit.already_stored(batch, rows))
+
+
 def union_sources(spark, sf_dir):
     rows = logs(spark, sf_dir).drop("created_at")
     parts = [rows.where(F.col("level") == name) for name in ("error", "warn", "info", "debug")]
@@ -370,6 +379,7 @@ QUERIES = {
         audit_constraints,
         audit_rollup_constraints,
         duplicate_keys,
+        already_stored,
         union_sources,
     )
 }
@@ -486,5 +496,6 @@ ORACLES = {
     "duplicate_keys": f"""{WITH_LOGS}
         SELECT {canonical("date_trunc('hour', timestamp)")} AS hour, service, level,
         count(*) AS count FROM logs GROUP BY ALL HAVING count(*) > 1""",
+    "already_stored": f"{WITH_LOGS} SELECT {PUBLIC} FROM logs WHERE level = 'warn'",
     "union_sources": WITH_LOGS + _DAY_COUNTS.format(rows="logs"),
 }

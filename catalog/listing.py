@@ -13,7 +13,6 @@ from catalog.common import (
     between,
     canonical,
     documents,
-    events,
     logs,
     shown,
     sql_time,

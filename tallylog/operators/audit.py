@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallylog.fixed import GROUPS, LEVELS, MAX_SAFE_COUNT, UUID_V4
 from tallylog.functions.timestamps import parse_timestamp
+from tallylog.schema import LOG_KEYS
 
 
 def _broken(rule: Column) -> Column:
@@ -59,6 +60,13 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"duplicate key in batch: {', '.join(keys)}")
 
 
+def already_stored(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key the log table has. The day is matched too, so that only the day
+    folders ``df`` touches are read."""
+    keys = ["event_date", *LOG_KEYS]
+    return df.join(stored.select(*keys), keys, "left_semi")
+
+
 def audit_result_rows(rows: DataFrame) -> DataFrame:
     """Rows of a page that must not be shown: bad id, level, timestamp, service or message.
 

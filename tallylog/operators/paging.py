@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import datetime as dt
 import hashlib
 import json
 import re
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallylog.fixed import ARGUMENT, DEFAULT_LIMIT, UUID_V4
+from tallylog.fixed import ARGUMENT, DEFAULT_LIMIT
 from tallylog.functions.timestamps import (
     argument_canonical,
     argument_instant,

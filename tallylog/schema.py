@@ -30,6 +30,8 @@ ROLLUP_SCHEMA = T.StructType(
     ]
 )
 
+LOG_KEYS = ["timestamp", "id"]
+
 ROLLUP_KEYS = ["bucket_start", "service", "level"]
 
 # Added by batch commits: who wrote the rows and in which of its batches.

@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallylog.operators.audit import already_stored, require_unique
 from tallylog.operators.rollup import minute_counts
-from tallylog.schema import COMMIT_FIELDS, COMMIT_SCHEMA, LOG_SCHEMA, ROLLUP_SCHEMA
+from tallylog.schema import COMMIT_FIELDS, COMMIT_SCHEMA, LOG_KEYS, LOG_SCHEMA, ROLLUP_SCHEMA
 from tallylog.session import configure
 
 
@@ -100,15 +101,25 @@ def write_batch(
     rollup_path: str,
     commits_path: str,
     writer: str = "batch",
+    check_keys: bool = False,
 ) -> bool:
     """Store log rows and their minute counts as one unit; False when already committed.
 
     A repeated attempt overwrites exactly the folders of its batch, and readers see neither part
     before the commit row exists. ``batch_id`` must grow from batch to batch of a writer.
+
+    ``check_keys`` refuses the batch when a (timestamp, id) occurs twice in it or is stored
+    already. Ids from ``assign_log_id`` cannot clash, so this is for rows that bring their own.
     """
     spark = configure(df.sparkSession)
     if batch_id <= committed_positions(spark, commits_path).get(writer, -1):
         return False
+    if check_keys:
+        require_unique(df, LOG_KEYS)
+        if committed_positions(spark, commits_path):
+            stored = scan_logs(spark, logs_path, commits_path)
+            if not already_stored(df, stored).isEmpty():
+                raise ValueError("a key of the batch is stored already")
     counts = clustered(minute_counts(df), "bucket_start", "service", "level")
     parts = [(clustered(df, "service", "timestamp"), logs_path), (counts, rollup_path)]
     # Two independent jobs; the commit row follows only when both are done.

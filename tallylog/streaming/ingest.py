@@ -34,6 +34,20 @@ def read_body_stream(
     return lines.withColumn("received_at", F.current_timestamp())
 
 
+def drop_replays(bodies: DataFrame, within: str) -> DataFrame:
+    """Leave out a body that came before, byte for byte, within the given time.
+
+    Spark reads a file once, but the same file may be delivered again under another name. Bodies
+    carry no key, so this also drops a batch that was meant to be sent twice.
+    """
+    return (
+        bodies.withWatermark("received_at", within)
+        .withColumn("_digest", F.sha2("body", 256))
+        .dropDuplicatesWithinWatermark(["_digest"])
+        .drop("_digest")
+    )
+
+
 def _query_id(spark: SparkSession, checkpoint: str) -> str:
     """The id Spark keeps with a checkpoint; a new checkpoint numbers its batches from 0 again."""
     lines = spark.read.text(f"{checkpoint}/metadata").collect()
@@ -48,17 +62,21 @@ def stream_ingest(
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
     max_bytes_per_trigger: str | None = None,
+    replays_within: str | None = None,
 ) -> StreamingQuery:
     """Validate and store every body file of ``in_dir`` below ``out``, each exactly once.
 
     Without ``processing_time`` the query stores what is there and stops, which also drains a
     stopped stream. Entries are judged against the start of their micro-batch, so a repeated one
     accepts the same entries. A failed micro-batch stays invisible and is repeated as a whole.
-    Late rows are simply added to their minute.
+    Late rows are simply added to their minute. ``replays_within`` (say "1 hour") leaves out
+    bodies delivered a second time, see :func:`drop_replays`.
     """
     tables = LogTables(out)
     checkpoint = checkpoint or f"{out}/checkpoint"
     bodies = read_body_stream(spark, in_dir, max_files_per_trigger, max_bytes_per_trigger)
+    if replays_within is not None:
+        bodies = drop_replays(bodies, replays_within)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         source = _query_id(batch.sparkSession, checkpoint)

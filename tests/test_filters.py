@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import log_frame, plan_text
 from tallylog.fixed import ARGUMENT

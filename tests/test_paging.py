@@ -214,3 +214,26 @@ def test_encoded_token(spark):
         )
     )
     assert df.first()[0] == _encode(_payload())
+
+
+def test_numbering_spreads_a_hot_timestamp(spark):
+    """Most rows share one instant; their ids must spread them over the partitions."""
+    hot = spark.range(20000).select(
+        F.when(F.col("id") % 10 < 8, F.lit(1785578400))
+        .otherwise(F.lit(1785578400) + F.col("id"))
+        .cast("timestamp")
+        .alias("timestamp"),
+        F.md5(F.col("id").cast("string")).alias("id"),
+    )
+    order = [F.desc("timestamp"), F.desc("id")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = hot.repartitionByRange(4, *order).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in parts) < 20000 / 2
+    rows = paging.numbered(hot, *order).orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(20000))
+    keys = [(r["timestamp"], r["id"]) for r in rows]
+    assert keys == sorted(keys, reverse=True)
+    assert {r["total"] for r in rows} == {20000}

@@ -194,6 +194,30 @@ def test_a_failed_micro_batch_is_repeated_whole(spark, tmp_path, monkeypatch):
     assert plan is not None
 
 
+def test_replayed_files_can_be_left_out(spark, tmp_path):
+    source = body_files(tmp_path / "in", copies=2)
+    twice, once = (t.LogTables(str(tmp_path / name)) for name in ("twice", "once"))
+    drain(stream_ingest(spark, source, twice.root))
+    assert len(_content(spark, twice)) == 8
+    drain(stream_ingest(spark, source, once.root, replays_within="1 hour"))
+    assert len(_content(spark, once)) == 4
+
+
+def test_keys_can_be_checked(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    add = lambda df, n: t.write_batch(
+        df, n, out.logs, out.rollup, out.commits, check_keys=True
+    )
+    first = log_frame(spark, rows(1, [1, 2]))
+    with pytest.raises(ValueError, match="duplicate key in batch"):
+        add(first.union(first), 0)
+    assert add(first, 0)
+    with pytest.raises(ValueError, match="stored already"):
+        add(log_frame(spark, rows(1, [2, 3])), 1)
+    assert add(log_frame(spark, rows(1, [3])), 1)
+    assert ids(spark, out) == [1, 2, 3]
+
+
 def test_stateful_minute_counts(spark, tmp_path):
     logs = log_frame(spark, rows(1, range(90)) + rows(2, range(10)))
     logs.select("timestamp", "service", "level").write.parquet(str(tmp_path / "in"))
