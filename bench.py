@@ -49,6 +49,8 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(CPUS))
+        # The tables are small: let a rebalanced write still use all cores.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2MB")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

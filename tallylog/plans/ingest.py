@@ -41,13 +41,17 @@ def store_judged(judged: DataFrame, batch_id: int, tables: LogTables, writer: st
     judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         accepted, _ = split_valid(judged)
-        # Accounts first: like the rows, they only count once the commit row exists.
+        rows = to_log_rows(accepted, f"{writer}:{batch_id}")
         accounts = batch_accounting(judged)
         part = f"{tables.accounts}/writer={writer}/part={batch_id}"
-        accounts.write.mode("overwrite").parquet(part)
-        rows = to_log_rows(accepted, f"{writer}:{batch_id}")
         return write_batch(
-            rows, batch_id, tables.logs, tables.rollup, tables.commits, writer
+            rows,
+            batch_id,
+            tables.logs,
+            tables.rollup,
+            tables.commits,
+            writer,
+            also=[lambda: accounts.write.mode("overwrite").parquet(part)],
         )
     finally:
         judged.unpersist()

@@ -6,21 +6,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylog.fixed import BAD_BATCH
+from tallylog.functions.binding import built_once
 from tallylog.session import configure
 
 # Plain JSON, without the relaxations Spark allows by default.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _logs_as(body: Column, kind: str) -> Column:
-    """The ``logs`` array of a body that is exactly one object, else null.
+_SEVERAL_LOGS = r'(?s)"logs"\s*:.*"logs"\s*:'
 
-    The body stands between two fields of a wrapper. A list, a second document or trailing text
-    breaks the wrapper, so the closing field does not come through.
+
+def _parsed(body: Column, kind: str) -> Column:
+    """A body as ``kind``, null unless it is exactly one JSON value.
+
+    The body stands between two fields of a wrapper. A second document or trailing text breaks
+    the wrapper, so the closing field does not come through.
     """
     wrapped = F.concat(F.lit('{"body":'), body, F.lit(',"end":1}'))
-    parsed = F.from_json(wrapped, f"struct<body:struct<logs:{kind}>,end:int>", _STRICT)
-    return F.when(parsed["end"] == 1, parsed["body"]["logs"])
+    parsed = F.from_json(wrapped, f"struct<body:{kind},end:int>", _STRICT)
+    return F.when(parsed["end"] == 1, parsed["body"])
+
+
+@built_once
+def _entries() -> Column:
+    """The values in ``logs``; null for a body that is no object or has no array there.
+
+    Of several fields of that name the last counts. Spark's parser keeps an array when the last
+    is something else, so such a body is first read as one value.
+    """
+    body = F.col("body")
+    whole = F.try_variant_get(_parsed(body, "variant"), "$.logs", "array<variant>")
+    return F.when(body.rlike(_SEVERAL_LOGS), whole).otherwise(
+        _parsed(body, "struct<logs:array<variant>>")["logs"]
+    )
+
+
+@built_once
+def _entry_texts() -> Column:
+    """The texts of the entries, only where a body holds U+0000."""
+    texts = _parsed(F.col("body"), "struct<logs:array<string>>")["logs"]
+    return F.when(F.contains("body", F.lit("\\u0000")), texts).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def parse_batches(bodies: DataFrame) -> DataFrame:
@@ -29,12 +56,9 @@ def parse_batches(bodies: DataFrame) -> DataFrame:
     Elements are ``(entry, entry_text)``. The text is only taken where the body holds U+0000,
     the one case in which the order of an entry's keys decides its reason.
     """
-    texts = F.when(
-        F.contains("body", F.lit("\\u0000")), _logs_as(F.col("body"), "array<string>")
-    ).otherwise(F.array().cast("array<string>"))
+    configure(bodies.sparkSession)
     return (
-        bodies.withColumn("entry", _logs_as(F.col("body"), "array<variant>"))
-        .withColumn("entry_text", texts)
+        bodies.withColumns({"entry": _entries(), "entry_text": _entry_texts()})
         .withColumn("logs", F.arrays_zip("entry", "entry_text"))
         .drop("body", "entry", "entry_text")
     )

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -94,6 +95,14 @@ def committed_positions(spark: SparkSession, commits_path: str) -> dict[str, int
     return {row["writer"]: row["batch_id"] for row in rows}
 
 
+def _run_all(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
+    """Run Spark jobs from one thread each and raise what any of them raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        for job in started:
+            job.result()
+
+
 def write_batch(
     df: DataFrame,
     batch_id: int,
@@ -102,6 +111,7 @@ def write_batch(
     commits_path: str,
     writer: str = "batch",
     check_keys: bool = False,
+    also: Iterable[Callable[[], None]] = (),
 ) -> bool:
     """Store log rows and their minute counts as one unit; False when already committed.
 
@@ -110,6 +120,7 @@ def write_batch(
 
     ``check_keys`` refuses the batch when a (timestamp, id) occurs twice in it or is stored
     already. Ids from ``assign_log_id`` cannot clash, so this is for rows that bring their own.
+    ``also`` are further writes of the same batch; they too must succeed before it is committed.
     """
     spark = configure(df.sparkSession)
     if batch_id <= committed_positions(spark, commits_path).get(writer, -1):
@@ -121,12 +132,16 @@ def write_batch(
             if not already_stored(df, stored).isEmpty():
                 raise ValueError("a key of the batch is stored already")
     counts = clustered(minute_counts(df), "bucket_start", "service", "level")
-    parts = [(clustered(df, "service", "timestamp"), logs_path), (counts, rollup_path)]
-    # Two independent jobs; the commit row follows only when both are done.
-    with ThreadPoolExecutor(len(parts)) as pool:
-        write = inheritable_thread_target(spark)(_write_part)
-        for job in [pool.submit(write, part, path, writer, batch_id) for part, path in parts]:
-            job.result()
+    rows = clustered(df, "service", "timestamp")
+    # Independent jobs, side by side; the commit row follows only when all are done.
+    _run_all(
+        spark,
+        [
+            *also,
+            lambda: _write_part(rows, logs_path, writer, batch_id),
+            lambda: _write_part(counts, rollup_path, writer, batch_id),
+        ],
+    )
     commit = spark.range(1).select(
         F.lit(writer).alias("writer"),
         F.lit(batch_id).cast("long").alias("batch_id"),

@@ -121,18 +121,22 @@ def test_empty_and_refused_batches(spark):
         '{"logs":[],"more":1}',
         '{"logs":1,"logs":[]}',
         '{"logs":[null]}',
+        '{"logs":[null],"logs":1}',
+        '{"logs":[null,null,null],"logs" : [null,{"logs":[]}]}',
+        '["logs",{"logs":[null]},{"logs":[]}]',
     ]
     accounts = {
         r["batch_id"]: r for r in v.batch_accounting(judge_bodies(spark, bodies)).collect()
     }
-    assert sorted(accounts, key=int) == ["0", "11", "12", "13"]
+    assert sorted(accounts, key=int) == ["0", "11", "12", "13", "15"]
     assert accounts["0"]["attempted"] == 0 and accounts["0"]["outcome"] == "rejected"
     assert accounts["13"]["attempted"] == 1 and accounts["13"]["accepted"] == 0
+    assert accounts["15"]["attempted"] == 2
     rows = [(str(i), b) for i, b in enumerate(bodies)]
     bad = bad_batches(
         parse_batches(spark.createDataFrame(rows, "batch_id string, body string"))
     ).collect()
-    assert sorted(int(r["batch_id"]) for r in bad) == list(range(1, 11))
+    assert sorted(int(r["batch_id"]) for r in bad) == [*range(1, 11), 14, 16]
     assert {r["error"] for r in bad} == {"Invalid ingestion request."}
 
 
