@@ -171,6 +171,18 @@ def drop_expired_days(spark, sf_dir):
     )
 
 
+def delete_rows(spark, sf_dir):
+    """The expired default rows of one run leave the stored table."""
+    path = fresh_path(spark, "logs")
+    tables.append_logs(logs(spark, sf_dir), path)
+    stored = tables.scan_logs(spark, path)
+    routed = retention.route_partition(stored, _plan(spark))
+    default_rows = routed.where("partition_name = 'logs_default'")
+    _, victims = retention.expire_default_rows(default_rows, CUTOFF, 100, 7)
+    maintenance.delete_rows(spark, path, victims)
+    return shown(tables.scan_logs(spark, path), "id", "timestamp")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -194,6 +206,7 @@ QUERIES = {
         retained_without_boundary_day,
         retained_rollup,
         drop_expired_days,
+        delete_rows,
     )
 }
 
@@ -291,6 +304,8 @@ ORACLES = {
     "retained_rollup": f"""{WITH_LOGS}
         SELECT {canonical("date_trunc('minute', timestamp)")} AS bucket_start, service, level,
         count(*) AS count FROM logs WHERE CAST(timestamp AS DATE) >= {_CUT_DAY} GROUP BY ALL""",
+    "delete_rows": f"""{WITH_LOGS}, {_PLAN}, {_DEFAULT}, {_VICTIMS}
+        SELECT {_ID_TIME} FROM logs WHERE id NOT IN (SELECT id FROM victims)""",
     "drop_expired_days": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows FROM events
         WHERE CAST(ts AS DATE) >= {_CUT_DAY} GROUP BY 1""",
 }

@@ -6,22 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallylog.fixed import DROP_CALL_LIMIT
+from tallylog.fixed import DEFAULT_PARTITION, DROP_CALL_LIMIT
 from tallylog.functions.timestamps import day_name
 from tallylog.operators.retention import (
     all_expired_partitions,
     check_retention_args,
+    expire_default_rows,
     retention_cutoff,
+    retention_report,
+    route_partition,
 )
-
-_LISTING = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("start", T.TimestampType()),
-        T.StructField("end", T.TimestampType()),
-    ]
-)
-
+from tallylog.schema import COMMIT_FIELDS, LOG_KEYS, LOG_SCHEMA
+from tallylog.session import configure, materialize
 
 def _file_system(spark: SparkSession, path: str):
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,15 +39,24 @@ def stored_partitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_expired_days(
-    spark: SparkSession, path: str, now: str, days: int, limit: int = DROP_CALL_LIMIT
+    spark: SparkSession,
+    path: str,
+    now: str,
+    days: int,
+    limit: int = DROP_CALL_LIMIT,
+    partitions: DataFrame | None = None,
 ) -> list[str]:
     """Delete the oldest expired day folders, ``limit`` at most; returns their names.
 
     Whole folders go, so nothing is rewritten. A day whose end is after the cutoff stays whole.
+    ``partitions`` lists the days to look at, by default every folder there is.
     """
     cutoff = retention_cutoff(now, days)
     check_retention_args(now, cutoff=cutoff)
-    expired = all_expired_partitions(stored_partitions(spark, path), cutoff)
+    stored = stored_partitions(spark, path)
+    if partitions is not None:
+        stored = stored.join(partitions.select("name"), "name", "left_semi")
+    expired = all_expired_partitions(stored, cutoff)
     oldest = expired.orderBy("end").limit(limit).select("name", F.to_date("start").alias("day"))
     root, fs = _file_system(spark, path)
     dropped = []
@@ -60,3 +65,73 @@ def drop_expired_days(
         fs.delete(folder, True)
         dropped.append(row["name"])
     return dropped
+
+
+def delete_rows(spark: SparkSession, path: str, victims: DataFrame, committed: bool = False) -> int:
+    """Delete the rows with the keys of ``victims`` and rewrite only the folders they lie in.
+
+    ``victims`` is one bounded batch, see ``expire_default_rows``. The remaining rows of those
+    folders are written aside first; each folder is then replaced in one step, and one left
+    without rows is removed. Started again after a failure, the job ends at the same rows.
+    ``committed`` tells that the table has writer and batch folders below its days. Returns the
+    number of deleted rows.
+    """
+    configure(spark)
+    inner = COMMIT_FIELDS if committed else []
+    folders = ["event_date", *(f.name for f in inner)]
+    stored = spark.read.schema(T.StructType(LOG_SCHEMA.fields + inner)).parquet(path)
+    # Written once, so that all steps below speak of the same rows.
+    keys = F.broadcast(materialize(victims.select("event_date", *LOG_KEYS), "victims"))
+    hit = stored.select(*folders, *LOG_KEYS).join(keys, ["event_date", *LOG_KEYS], "left_semi")
+    counts = hit.groupBy(*folders).agg(F.count("*").alias("deleted")).collect()
+    if not counts:
+        return 0
+    touched = spark.createDataFrame(
+        [tuple(row[c] for c in folders) for row in counts],
+        T.StructType([f for f in stored.schema.fields if f.name in folders]),
+    )
+    rest = materialize(
+        stored.join(F.broadcast(touched), folders, "left_semi").join(
+            keys, ["event_date", *LOG_KEYS], "left_anti"
+        ),
+        "remaining",
+    )
+    (
+        rest.hint("rebalance", *folders)
+        .sortWithinPartitions(*folders, "service", "timestamp")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders)
+        .parquet(path)
+    )
+    root, fs = _file_system(spark, path)
+    for row in touched.join(rest.select(*folders).distinct(), folders, "left_anti").collect():
+        name = "/".join(f"{c}={row[c]}" for c in folders)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
+    return sum(row["deleted"] for row in counts)
+
+
+def run_upkeep(
+    spark: SparkSession, path: str, now: str, days: int, partitions: DataFrame
+) -> DataFrame:
+    """One maintenance run on a plain day-partitioned table; returns its report.
+
+    Days in ``partitions`` go as whole folders. Rows of other days are default rows: the oldest
+    of them go one by one, up to the budget of a run. The report is taken before anything goes.
+    """
+    configure(spark)
+    cutoff = retention_cutoff(now, days)
+
+    def default_rows() -> DataFrame:
+        """Listed anew each time, because folders go in between."""
+        stored = spark.read.schema(LOG_SCHEMA).parquet(path)
+        old = stored.where(F.col("event_date") <= F.to_date(F.lit(cutoff[:10])))
+        routed = route_partition(old, partitions)
+        return routed.where(F.col("partition_name") == DEFAULT_PARTITION)
+
+    report = retention_report(partitions, default_rows(), now, days)
+    report = spark.createDataFrame(report.collect(), report.schema)  # one row
+    drop_expired_days(spark, path, now, days, partitions=partitions)
+    _, victims = expire_default_rows(default_rows(), cutoff)
+    delete_rows(spark, path, victims)
+    return report

@@ -23,7 +23,3 @@ def spark(tmp_path_factory):
     yield configure(session)
     session.stop()
 
-
-@pytest.fixture(scope="session")
-def events(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/events.parquet")

@@ -8,7 +8,12 @@ from tallylog.operators import audit
 from tallylog.operators.metrics import storage_summary
 from tallylog.operators.rollup import minute_counts, verify_rollup
 from tallylog.plans.ingest import ingest
-from tallylog.plans.maintenance import drop_expired_days, stored_partitions
+from tallylog.plans.maintenance import (
+    delete_rows,
+    drop_expired_days,
+    run_upkeep,
+    stored_partitions,
+)
 from tallylog.sources import tables as t
 from tallylog.sources.batches import read_log_batches, zip_arrays
 from tallylog.streaming.ingest import drain, stream_ingest, stream_minute_counts
@@ -251,6 +256,63 @@ def test_dropping_expired_days(spark, tmp_path):
     assert sorted(int(r["id"][-3:]) for r in t.scan_logs(spark, path).collect()) == [4, 5, 6, 7]
 
 
+def test_deleting_rows_rewrites_their_folders_only(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    t.append_logs(log_frame(spark, [r for d in (1, 2, 3) for r in rows(d, [d, d + 10])]), path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "logs" / "event_date=2026-08-03").iterdir()}
+    stored = t.scan_logs(spark, path)
+    victims = stored.where(F.substring("id", -3, 3).isin("001", "011", "002"))
+    assert delete_rows(spark, path, victims) == 3
+    assert sorted(int(r["id"][-3:]) for r in t.scan_logs(spark, path).collect()) == [3, 12, 13]
+    assert not (tmp_path / "logs" / "event_date=2026-08-01").exists()
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "logs" / "event_date=2026-08-03").iterdir()}
+    assert before == after
+    gone = log_frame(spark, rows(1, [1]))
+    assert delete_rows(spark, path, gone) == 0
+
+
+def test_deleting_rows_of_committed_tables(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    write(log_frame(spark, rows(1, [1, 2])), 0, out)
+    write(log_frame(spark, rows(1, [3, 4])), 1, out)
+    victims = t.scan_logs(spark, out.logs, out.commits).where("id like '%1' or id like '%2' or id like '%3'")
+    assert delete_rows(spark, out.logs, victims, committed=True) == 3
+    assert ids(spark, out) == [4]
+    assert write(log_frame(spark, rows(1, [5])), 2, out)
+    assert ids(spark, out) == [4, 5]
+
+
+def test_upkeep_run(spark, tmp_path):
+    from tallylog.operators.retention import partition_plan
+
+    path = str(tmp_path / "logs")
+    at = lambda n, when: (n, when, "info", "s", "m", {})
+    t.append_logs(
+        log_frame(
+            spark,
+            [
+                at(1, "2026-07-01T00:00:00Z"),  # a default row, expired
+                at(2, "2026-08-01T23:00:00Z"),  # an expired partition
+                at(3, "2026-08-02T11:59:59Z"),  # the cutoff's day, a partition: stays whole
+                at(4, "2026-08-02T12:00:01Z"),
+                at(5, "2026-08-09T00:00:00Z"),
+                at(6, "2027-01-01T00:00:00Z"),  # a default row of the future
+            ],
+        ),
+        path,
+    )
+    now = "2026-08-10T12:00:00Z"
+    listed = partition_plan(spark, now, 9)
+    first = run_upkeep(spark, path, now, 8, listed).first()
+    left = lambda: sorted(int(r["id"][-3:]) for r in t.scan_logs(spark, path).collect())
+    assert left() == [3, 4, 5, 6]
+    assert (first["dropped"], first["deleted"], first["created"]) == (1, 1, 0)
+    without = listed.where("name <> 'logs_20260802'")
+    again = run_upkeep(spark, path, now, 8, without).first()
+    assert left() == [4, 5, 6]
+    assert again["deleted"] == 1
+
+
 def test_audits(spark):
     logs = log_frame(spark, rows(1, range(4)))
     assert set(audit.audit_constraints(logs).first()) == {0}
