@@ -59,6 +59,14 @@ ARGUMENT = {
     "group_by_value": "Query parameter 'group_by' must be one of service or level.",
 }
 
+RETENTION = {
+    "plan": "The UTC partition plan is invalid.",
+    "start": "Retention partition start is invalid.",
+    "cutoff": "Retention cutoff is invalid.",
+    "batch_size": "Retention batch size is invalid.",
+    "calls": "Retention call count is invalid.",
+}
+
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 1000
 MAX_SAFE_COUNT = 9007199254740991

@@ -20,6 +20,7 @@ from tallylog.fixed import (
     MAX_DELETE_BATCH_SIZE,
     MAX_RETENTION_DAYS,
     PARTITION_NAME,
+    RETENTION,
 )
 from tallylog.functions.timestamps import argument_micros, day_name, instant_literal
 from tallylog.operators.paging import oldest_first
@@ -33,7 +34,7 @@ def _day_number(now: str) -> int:
 
 def check_retention_days(days: int) -> int:
     if not isinstance(days, int) or isinstance(days, bool) or not 1 <= days <= MAX_RETENTION_DAYS:
-        raise ValueError("The UTC partition plan is invalid.")
+        raise ValueError(RETENTION["plan"])
     return days
 
 
@@ -49,12 +50,12 @@ def check_retention_args(
         start, today = argument_micros(day_start), at // _DAY_MICROS * _DAY_MICROS
         midnight = start % _DAY_MICROS == 0
         if not midnight or not today - _DAY_MICROS <= start <= today + 2 * _DAY_MICROS:
-            raise ValueError("Retention partition start is invalid.")
+            raise ValueError(RETENTION["start"])
     if cutoff is not None:
         if not at - (MAX_RETENTION_DAYS + 1) * _DAY_MICROS <= argument_micros(cutoff) <= at:
-            raise ValueError("Retention cutoff is invalid.")
+            raise ValueError(RETENTION["cutoff"])
     if batch_size is not None and not 1 <= batch_size <= MAX_DELETE_BATCH_SIZE:
-        raise ValueError("Retention batch size is invalid.")
+        raise ValueError(RETENTION["batch_size"])
 
 
 def _days(spark: SparkSession, first_day: int, count: int) -> DataFrame:
@@ -179,7 +180,7 @@ def expire_default_rows(
     """
     check_retention_args(cutoff, batch_size=batch_size)
     if not 1 <= calls <= DELETE_CALL_LIMIT:
-        raise ValueError("Retention call count is invalid.")
+        raise ValueError(RETENTION["calls"])
     victims = oldest_first(expired_default_rows(default_rows, cutoff), batch_size * calls)
     keys = F.broadcast(victims.select("timestamp", "id"))
     return default_rows.join(keys, ["timestamp", "id"], "left_anti"), victims

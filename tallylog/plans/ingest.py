@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tallylog.operators.enrich import to_log_rows
 from tallylog.operators.validate import (
@@ -29,16 +32,25 @@ def accepted_rows(
     return to_log_rows(accepted, namespace)
 
 
-def store_judged(judged: DataFrame, batch_id: int, tables: LogTables, writer: str) -> bool:
+def store_judged(
+    judged: DataFrame,
+    batch_id: int,
+    tables: LogTables,
+    writer: str,
+    keep: bool = True,
+    by_day: bool = True,
+) -> bool:
     """Store one (micro-)batch of judged entries; False when it was stored before.
 
     The judged rows are kept while logs, minute counts and accounts are written from them, so
-    JSON is parsed once. What an executor loses is parsed again.
+    JSON is parsed once; what an executor loses is parsed again. ``keep=False`` is for a batch
+    larger than the executors can hold: bodies are then parsed once for each of the three.
     """
     spark = configure(judged.sparkSession)
     if batch_id <= committed_positions(spark, tables.commits).get(writer, -1):
         return False
-    judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         accepted, _ = split_valid(judged)
         rows = to_log_rows(accepted, f"{writer}:{batch_id}")
@@ -51,10 +63,12 @@ def store_judged(judged: DataFrame, batch_id: int, tables: LogTables, writer: st
             tables.rollup,
             tables.commits,
             writer,
+            by_day=by_day,
             also=[lambda: accounts.write.mode("overwrite").parquet(part)],
         )
     finally:
-        judged.unpersist()
+        if keep:
+            judged.unpersist()
 
 
 def ingest(
@@ -63,6 +77,14 @@ def ingest(
     tables: LogTables,
     writer: str = "batch",
     reference_time: Column | None = None,
+    keep: bool = True,
+    by_day: bool = True,
 ) -> bool:
-    """Validate and store parsed batches as one unit."""
-    return store_judged(judge(batches, reference_time), batch_id, tables, writer)
+    """Validate and store parsed batches as one unit.
+
+    Without ``reference_time`` the time of this call counts, for all writes alike.
+    """
+    if reference_time is None:
+        reference_time = F.lit(dt.datetime.now(dt.timezone.utc))
+    judged = judge(batches, reference_time)
+    return store_judged(judged, batch_id, tables, writer, keep, by_day)

@@ -80,9 +80,10 @@ def delete_rows(spark: SparkSession, path: str, victims: DataFrame, committed: b
     inner = COMMIT_FIELDS if committed else []
     folders = ["event_date", *(f.name for f in inner)]
     stored = spark.read.schema(T.StructType(LOG_SCHEMA.fields + inner)).parquet(path)
-    # Written once, so that all steps below speak of the same rows.
-    keys = F.broadcast(materialize(victims.select("event_date", *LOG_KEYS), "victims"))
+    # Written once, so that all steps below speak of the same rows, and Spark knows their size.
+    keys = materialize(victims.select("event_date", *LOG_KEYS), "victims")
     hit = stored.select(*folders, *LOG_KEYS).join(keys, ["event_date", *LOG_KEYS], "left_semi")
+    # One row per touched folder, so no more than there are victims.
     counts = hit.groupBy(*folders).agg(F.count("*").alias("deleted")).collect()
     if not counts:
         return 0
@@ -91,7 +92,7 @@ def delete_rows(spark: SparkSession, path: str, victims: DataFrame, committed: b
         T.StructType([f for f in stored.schema.fields if f.name in folders]),
     )
     rest = materialize(
-        stored.join(F.broadcast(touched), folders, "left_semi").join(
+        stored.join(touched, folders, "left_semi").join(
             keys, ["event_date", *LOG_KEYS], "left_anti"
         ),
         "remaining",

@@ -55,19 +55,22 @@ class LogTables:
         return f"{self.root}/accounts"
 
 
-def clustered(df: DataFrame, *inner: str) -> DataFrame:
+def clustered(df: DataFrame, *inner: str, by_day: bool = True) -> DataFrame:
     """Bring each day together, but let a large day keep many tasks.
 
     REBALANCE shuffles by day and then, from the real sizes, splits what is too large and merges
     what is too small. Sorting inside a task gives row groups narrow ranges to skip by.
+    ``by_day=False`` saves the shuffle where the input already comes day by day; a task then
+    writes one file for each day it holds.
     """
-    return df.hint("rebalance", "event_date").sortWithinPartitions("event_date", *inner)
+    placed = df.hint("rebalance", "event_date") if by_day else df
+    return placed.sortWithinPartitions("event_date", *inner)
 
 
-def append_logs(df: DataFrame, path: str) -> None:
+def append_logs(df: DataFrame, path: str, by_day: bool = True) -> None:
     """Append log rows to a plain day-partitioned table (no commits)."""
     configure(df.sparkSession)
-    rows = clustered(df, "service", "timestamp")
+    rows = clustered(df, "service", "timestamp", by_day=by_day)
     rows.write.mode("append").partitionBy("event_date").parquet(path)
 
 
@@ -111,6 +114,7 @@ def write_batch(
     commits_path: str,
     writer: str = "batch",
     check_keys: bool = False,
+    by_day: bool = True,
     also: Iterable[Callable[[], None]] = (),
 ) -> bool:
     """Store log rows and their minute counts as one unit; False when already committed.
@@ -120,7 +124,7 @@ def write_batch(
 
     ``check_keys`` refuses the batch when a (timestamp, id) occurs twice in it or is stored
     already. Ids from ``assign_log_id`` cannot clash, so this is for rows that bring their own.
-    ``also`` are further writes of the same batch; they too must succeed before it is committed.
+    ``by_day`` is that of :func:`clustered`. ``also`` are further writes of the same batch; they too must succeed before it is committed.
     """
     spark = configure(df.sparkSession)
     if batch_id <= committed_positions(spark, commits_path).get(writer, -1):
@@ -132,7 +136,7 @@ def write_batch(
             if not already_stored(df, stored).isEmpty():
                 raise ValueError("a key of the batch is stored already")
     counts = clustered(minute_counts(df), "bucket_start", "service", "level")
-    rows = clustered(df, "service", "timestamp")
+    rows = clustered(df, "service", "timestamp", by_day=by_day)
     # Independent jobs, side by side; the commit row follows only when all are done.
     _run_all(
         spark,

@@ -164,6 +164,16 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     assert any("2020" in row for row in _content(spark, streamed))
 
 
+def test_large_batches_need_not_be_kept(spark, tmp_path):
+    source = body_files(tmp_path / "in")
+    kept, passed = (t.LogTables(str(tmp_path / name)) for name in ("kept", "passed"))
+    ingest(read_log_batches(spark, source), 0, kept)
+    ingest(read_log_batches(spark, source), 0, passed, keep=False, by_day=False)
+    assert _content(spark, kept) == _content(spark, passed)
+    logs = t.scan_logs(spark, passed.logs, passed.commits)
+    assert verify_rollup(logs, t.scan_rollup(spark, passed.rollup, passed.commits)).isEmpty()
+
+
 def test_restart_adds_nothing_and_new_files_are_found(spark, tmp_path):
     source = body_files(tmp_path / "in")
     out = t.LogTables(str(tmp_path / "stream"))
@@ -204,7 +214,12 @@ def test_replayed_files_can_be_left_out(spark, tmp_path):
     twice, once = (t.LogTables(str(tmp_path / name)) for name in ("twice", "once"))
     drain(stream_ingest(spark, source, twice.root))
     assert len(_content(spark, twice)) == 8
-    drain(stream_ingest(spark, source, once.root, replays_within="1 hour"))
+    drain(
+        stream_ingest(
+            spark, source, once.root, max_bytes_per_trigger="700b", replays_within="1 hour"
+        )
+    )
+    assert t.committed_positions(spark, once.commits).popitem()[1] > 0  # several micro-batches
     assert len(_content(spark, once)) == 4
 
 
