@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallylog.fixed import TIMESTAMP_GRAMMAR
+from tallylog.functions.binding import let
 
 
 def matches_grammar(text: Column) -> Column:
@@ -98,18 +99,26 @@ def canonical_parts(second: Column, fraction: Column) -> Column:
     )
 
 
+def _of_valid(text: Column, make) -> Column:
+    """``make(second, fraction)`` of a text in the grammar, each part computed once."""
+
+    def parts(t: Column) -> Column:
+        both = F.struct(
+            whole_second(t).alias("second"), fraction_digits(t).alias("fraction")
+        )
+        return F.when(matches_grammar(t), both)
+
+    return let(text, lambda t: let(parts(t), lambda p: make(p["second"], p["fraction"])))
+
+
 def canonical_timestamp(text: Column) -> Column:
     """Canonical UTC text of a timestamp text; null when it is not a valid timestamp."""
-    return F.when(
-        matches_grammar(text), canonical_parts(whole_second(text), fraction_digits(text))
-    )
+    return _of_valid(text, canonical_parts)
 
 
 def parse_timestamp(text: Column) -> Column:
     """Instant of a timestamp text to the microsecond; null when it is not valid."""
-    return F.when(
-        matches_grammar(text), with_fraction(whole_second(text), fraction_digits(text))
-    )
+    return _of_valid(text, with_fraction)
 
 
 def timestamp_text(ts: Column) -> Column:

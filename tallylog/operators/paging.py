@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallylog.fixed import ARGUMENT, DEFAULT_LIMIT
+from tallylog.functions.binding import let
 from tallylog.functions.timestamps import (
     argument_canonical,
     argument_instant,
@@ -191,21 +192,22 @@ _PAYLOAD = (
 def decode_token(token: Column, fingerprint: Column | str) -> Column:
     """``struct<timestamp:string,id:string>``, or null for any token not made for this filter."""
     mark = F.lit(fingerprint) if isinstance(fingerprint, str) else fingerprint
-    text = unbase64url(token)
     pattern = _PAYLOAD + r"\z"
-    timestamp = F.regexp_extract(text, pattern, 1)
-    valid = (
-        text.rlike(pattern)
-        & (canonical_timestamp(timestamp) == timestamp)
-        & (F.regexp_extract(text, pattern, 3) == mark)
-        & (base64url(text) == token)
-    )
-    return F.when(
-        valid,
-        F.struct(
+
+    def position(text: Column) -> Column:
+        timestamp = F.regexp_extract(text, pattern, 1)
+        valid = (
+            text.rlike(pattern)
+            & (F.regexp_extract(text, pattern, 3) == mark)
+            & (canonical_timestamp(timestamp) == timestamp)
+            & (base64url(text) == token)
+        )
+        found = F.struct(
             timestamp.alias("timestamp"), F.regexp_extract(text, pattern, 2).alias("id")
-        ),
-    )
+        )
+        return F.when(valid, found)
+
+    return let(unbase64url(token), position)
 
 
 def decode_cursor(token: str, filters: LogFilters) -> tuple[str, str]:

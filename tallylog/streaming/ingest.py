@@ -18,7 +18,7 @@ def read_body_stream(
     spark: SparkSession,
     in_dir: str,
     max_files_per_trigger: int | None = None,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """Bodies of files as they arrive, with ``received_at``, the start of their micro-batch.
 
@@ -61,7 +61,7 @@ def stream_ingest(
     checkpoint: str | None = None,
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
     replays_within: str | None = None,
 ) -> StreamingQuery:
     """Validate and store every body file of ``in_dir`` below ``out``, each exactly once.

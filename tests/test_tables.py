@@ -216,7 +216,7 @@ def test_replayed_files_can_be_left_out(spark, tmp_path):
     assert len(_content(spark, twice)) == 8
     drain(
         stream_ingest(
-            spark, source, once.root, max_bytes_per_trigger="700b", replays_within="1 hour"
+            spark, source, once.root, max_bytes_per_trigger=700, replays_within="1 hour"
         )
     )
     assert t.committed_positions(spark, once.commits).popitem()[1] > 0  # several micro-batches
