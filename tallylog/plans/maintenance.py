@@ -18,6 +18,7 @@ from tallylog.operators.retention import (
 )
 from tallylog.schema import COMMIT_FIELDS, LOG_KEYS, LOG_SCHEMA
 from tallylog.session import configure, materialize
+from tallylog.sources.tables import committed_positions
 
 def _file_system(spark: SparkSession, path: str):
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -112,6 +113,26 @@ def delete_rows(spark: SparkSession, path: str, victims: DataFrame, committed: b
     return sum(row["deleted"] for row in counts)
 
 
+def compact_commits(spark: SparkSession, commits_path: str) -> int:
+    """Replace the many small commit files by one with each writer's last batch.
+
+    Readers use the highest number per writer, so they may look at any moment: the new file is
+    there before the files it sums up go, and later commits are not touched. Returns how many
+    files went.
+    """
+    root, fs = _file_system(spark, commits_path)
+    old = [status.getPath() for status in fs.listStatus(root) if status.isFile()]
+    positions = committed_positions(spark, commits_path)
+    if not positions:
+        return 0
+    last = spark.createDataFrame(sorted(positions.items()), "writer string, batch_id long")
+    rows = last.withColumn("committed_at", F.current_timestamp())
+    rows.coalesce(1).write.mode("append").parquet(commits_path)
+    for path in old:
+        fs.delete(path, False)
+    return len(old)
+
+
 def run_upkeep(
     spark: SparkSession, path: str, now: str, days: int, partitions: DataFrame
 ) -> DataFrame:

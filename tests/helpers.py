@@ -20,7 +20,7 @@ def log_id(n):
     return f"00000000-0000-4000-8000-{n:012d}"
 
 
-def log_frame(spark, rows, attributes=None):
+def log_frame(spark, rows):
     """Rows of (id number, timestamp text, level, service, message, search attributes)."""
     made = [
         (log_id(n), at, level, service, message, json.dumps(found), found)

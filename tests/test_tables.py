@@ -9,6 +9,7 @@ from tallylog.operators.metrics import storage_summary
 from tallylog.operators.rollup import minute_counts, verify_rollup
 from tallylog.plans.ingest import ingest
 from tallylog.plans.maintenance import (
+    compact_commits,
     delete_rows,
     drop_expired_days,
     run_upkeep,
@@ -55,6 +56,22 @@ def test_writers_do_not_disturb_each_other(spark, tmp_path):
     assert ids(spark, out) == [1, 2]
 
 
+def test_commit_files_are_summed_up(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    for n in range(3):
+        write(log_frame(spark, rows(1, [n])), n, out, "a")
+    write(log_frame(spark, rows(1, [7])), 4, out, "b")
+    files = lambda: list((tmp_path / "t" / "commits").glob("*.parquet"))
+    assert len(files()) == 4
+    assert compact_commits(spark, out.commits) >= 4
+    assert len(files()) == 1
+    assert t.committed_positions(spark, out.commits) == {"a": 2, "b": 4}
+    assert ids(spark, out) == [0, 1, 2, 7]
+    assert not write(log_frame(spark, rows(1, [9])), 2, out, "a")
+    assert write(log_frame(spark, rows(1, [9])), 3, out, "a")
+    assert ids(spark, out) == [0, 1, 2, 7, 9]
+
+
 def test_nothing_committed_yet(spark, tmp_path):
     out = t.LogTables(str(tmp_path / "t"))
     t._write_part(log_frame(spark, rows(1, [1])), out.logs, "batch", 0)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,50 @@ def test_digits_beyond_microseconds_are_cut(spark):
     got = _column(spark, [text], lambda c: ts.timestamp_text(ts.parse_timestamp(c)))
     assert got[text] == "2026-01-15T12:00:59.999999Z"
     assert ts.argument_micros(text) % 1000000 == 999999
+
+
+def _random_text(rng):
+    """Mostly valid parts, now and then one out of range."""
+    off = lambda usual, odd: rng.choice(odd) if rng.random() < 0.05 else usual
+    date = "{:04d}-{:02d}-{:02d}".format(
+        off(rng.randint(1, 9998), [0, 9999]), off(rng.randint(1, 12), [0, 13]), rng.randint(1, 31)
+    )
+    clock = "{:02d}:{:02d}:{:02d}".format(
+        off(rng.randint(0, 23), [24]), off(rng.randint(0, 59), [60]), off(rng.randint(0, 59), [60])
+    )
+    digits = "".join(rng.choice("0019") for _ in range(rng.choice([0, 0, 1, 3, 6, 9, 12])))
+    zone = rng.choice(["Z", "+00:00", "-05:30", "+14:00", "-14:00", "+14:01", "+09:60", "+02:00"])
+    return f"{date}{off('T', [' ', 't'])}{clock}{'.' + digits if digits else ''}{zone}"
+
+
+def test_expressions_and_arguments_agree(spark):
+    rng = random.Random(11)
+    texts = {_random_text(rng) for _ in range(4000)}
+    expected = {
+        t: ts.argument_canonical(t) if ts.argument_instant(t) is not None else None for t in texts
+    }
+    assert 500 < sum(v is None for v in expected.values()) < 3000
+    assert _column(spark, texts, ts.canonical_timestamp) == expected
+    micros = _column(spark, texts, lambda c: F.unix_micros(ts.parse_timestamp(c)))
+    assert micros == {
+        t: ts.argument_micros(t) if expected[t] is not None else None for t in texts
+    }
+
+
+def test_future_limit_agrees_with_whole_numbers(spark):
+    """Compared on all digits, against a limit in milliseconds."""
+    rng = random.Random(5)
+    texts = {
+        f"2026-01-15T12:0{rng.choice('45')}:{rng.choice(['59', '00', '01'])}"
+        f".{rng.choice(['', '1', '12', '123', '1230', '12300000001', '0' * 40 + '1', '122999'])}0Z"
+        for _ in range(200)
+    }
+    limit = "2026-01-15T12:05:00.123Z"
+    late = _column(
+        spark,
+        texts,
+        lambda c: ts.is_after(ts.whole_second(c), ts.fraction_digits(c), ts.instant_literal(limit)),
+    )
+    at = ts.argument_instant(limit)
+    assert late == {t: ts.argument_instant(t) > at for t in texts}
+    assert len(set(late.values())) == 2
