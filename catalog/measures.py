@@ -86,9 +86,8 @@ def latency_overall(spark, sf_dir):
     return metrics.latency_summary(_requests(spark, sf_dir), "latency_ms")
 
 
-def latency_in_memory(spark, sf_dir):
-    requests = _requests(spark, sf_dir)
-    return metrics.latency_summary(requests, "latency_ms", ["run", "outcome"], in_memory=True)
+def latency_by_outcome(spark, sf_dir):
+    return metrics.latency_summary(_requests(spark, sf_dir), "latency_ms", ["run", "outcome"])
 
 
 def latency_of_nothing(spark, sf_dir):
@@ -207,7 +206,7 @@ QUERIES = {
         reconciliation,
         latency_by_run,
         latency_overall,
-        latency_in_memory,
+        latency_by_outcome,
         latency_of_nothing,
         invalid_samples,
         request_rates,
@@ -321,7 +320,7 @@ ORACLES = {
         {_ranks("latency_ms")} FROM requests GROUP BY run, phase""",
     "latency_overall": f"""WITH {_REQUESTS} SELECT count(latency_ms) AS sample_count,
         {_ranks("latency_ms")} FROM requests""",
-    "latency_in_memory": f"""WITH {_REQUESTS} SELECT run, outcome,
+    "latency_by_outcome": f"""WITH {_REQUESTS} SELECT run, outcome,
         count(latency_ms) AS sample_count, {_ranks("latency_ms")}
         FROM requests GROUP BY run, outcome""",
     "latency_of_nothing": f"""WITH {_REQUESTS} SELECT count(latency_ms) AS sample_count,

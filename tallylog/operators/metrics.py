@@ -48,29 +48,18 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return condition
 
 
-def latency_summary(
-    df: DataFrame,
-    column: str,
-    keys: list[str] | None = None,
-    in_memory: bool = False,
-) -> DataFrame:
+def latency_summary(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Sample count and nearest-rank p50, p95, p99 per key; never interpolated.
 
     Equal samples of a key are counted first. The distinct ones are range-partitioned by
     (key, sample), so even one key with most of the samples spreads over all tasks; partition
     totals then name the one partition that holds each rank. Without samples the percentiles
-    are null. ``in_memory=True`` uses one buffer per key instead, for groups known to be small.
+    are null. (``percentile_disc`` gives the same numbers but keeps all samples of a key in one
+    buffer.)
     """
     keys = list(keys or [])
     samples = df.select(*keys, _checked(column).alias("_x"), F.lit(0).alias("_all"))
     by = [*keys, "_all"]
-    if in_memory:
-        ranks = [
-            F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY _x)").alias(f"p{p}")
-            for p in PERCENTILES
-        ]
-        return samples.groupBy(*keys).agg(F.count("_x").alias("sample_count"), *ranks)
-
     # A key without samples keeps a row that counts nothing.
     distinct = samples.groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
     order = [*by, "_x"]

@@ -90,9 +90,8 @@ def documents_as_logs(documents: DataFrame) -> DataFrame:
 def _entry_json() -> Column:
     """An ingest entry per event; every seventh is broken in one of 21 ways."""
     text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    q = lambda column: F.substring(F.to_json(F.array(column)), 2, 1 << 30).substr(
-        F.lit(1), F.length(F.to_json(F.array(column))) - 2
-    )
+    listed = lambda column: F.to_json(F.array(column))
+    q = lambda column: F.substr(listed(column), F.lit(2), F.length(listed(column)) - 2)
     field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     time = field("timestamp", q(text))
     level = field("level", q(_lookup("event_type", LEVEL_BY_EVENT)))

@@ -9,21 +9,26 @@ from tallylog.schema import REQUEST_SCHEMA
 from tallylog.sources.synthetic import expected_profile, synthetic_logs
 
 
-def summary(spark, samples, **arguments):
+def summary(spark, samples):
     df = spark.createDataFrame([(float(s),) for s in samples], "x double")
-    return tuple(m.latency_summary(df, "x", **arguments).first())
+    return tuple(m.latency_summary(df, "x").first())
 
 
 def nearest_rank(samples, p):
     return sorted(samples)[max(0, math.ceil(p * len(samples) / 100) - 1)]
 
 
-@pytest.mark.parametrize("in_memory", [False, True])
-def test_percentiles(spark, in_memory):
+def test_percentiles(spark):
     golden = [10, 2, 4, 1, 8, 5, 3, 9, 6, 7]
-    assert summary(spark, golden, in_memory=in_memory) == (10, 5, 10, 10)
-    assert summary(spark, [], in_memory=in_memory) == (0, None, None, None)
-    assert summary(spark, [7], in_memory=in_memory) == (1, 7, 7, 7)
+    assert summary(spark, golden) == (10, 5, 10, 10)
+    assert summary(spark, []) == (0, None, None, None)
+    assert summary(spark, [7]) == (1, 7, 7, 7)
+
+
+def test_keys_without_samples(spark):
+    df = spark.createDataFrame([("a", None), ("a", 1.0), ("b", None)], "k string, x double")
+    got = {r["k"]: tuple(r)[1:] for r in m.latency_summary(df, "x", ["k"]).collect()}
+    assert got == {"a": (1, 1.0, 1.0, 1.0), "b": (0, None, None, None)}
 
 
 def test_percentiles_of_skewed_groups(spark):
@@ -49,7 +54,7 @@ def test_bad_samples(spark, bad):
     df = spark.createDataFrame([(1.0,), (bad,)], "x double")
     assert m.invalid_samples(df, "x").count() == 1
     with pytest.raises(Exception, match="finite and non-negative"):
-        m.latency_summary(df, "x", in_memory=True).collect()
+        m.latency_summary(df, "x").collect()
 
 
 def test_rates(spark):
