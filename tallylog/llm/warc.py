@@ -152,7 +152,8 @@ def write_archives(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 page_id, url, html, digest, size, kind, refers_to = (c[i].as_py() for c in columns)
                 if out is None:
                     out = store.open_output_stream(
-                        f"{root}/archives/.part-{part:05d}-{number:05d}.warc.gz-{attempt}"
+                        f"{root}/archives/.part-{part:05d}-{number:05d}.warc.gz-{attempt}",
+                        compression=None,
                     )
                 member = encode_record(page_id, url, html or b"", digest, size, kind, refers_to)
                 out.write(member)
@@ -236,7 +237,7 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(f"{root}/archives/{archive}") as source:
+                with store.open_input_stream(f"{root}/archives/{archive}", compression=None) as source:
                     for offset, data in members(source):
                         row = parse_record(data) | {"archive": archive, "record_offset": offset}
                         if not with_payload:
