@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import bpe, packing, warc
-from tallylog.llm.shared import table
+from tallylog.llm import bpe, licenses, packing, quality, warc
+from tallylog.llm.shared import cut, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,6 +35,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of each document and whether it is kept."""
+    measured = quality.add_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    held = cut(measured.drop("text"))  # numbers only; the model's counts and its use read them
+    return quality.judge(held, quality.fit(held)).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good",
+    )
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of each document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(
@@ -58,6 +73,8 @@ from largest
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op10_warc": op10_warc,
 }
 
