@@ -22,17 +22,17 @@ and equal rows are packed row by row. Other columns are ignored. An empty table
 from __future__ import annotations
 
 import bisect
+import json
 import math
-import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallylog.llm.bpe import PieceEncoder
 from tallylog.llm.shared import cut, whole_text
 
 CAPACITY = 2048
@@ -40,17 +40,33 @@ CAPACITY = 2048
 BROADCAST_STEPS = 200_000
 
 
+def byte_of() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable ones stand for
+    themselves, the others, in order, for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str) -> PieceEncoder:
-    """Encodes with the installed tokenizer, special tokens in texts being ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    return PieceEncoder(
-        pattern, lambda pieces: (e.ids for e in model.encode_batch(pieces, add_special_tokens=False))
-    )
+def byte_level_encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """An encoder with the ids of a byte-level BPE tokenizer file, special tokens in texts being
+    ordinary text. It needs the file's merges to be in the order of their ids, so that an id is a
+    rank, and refuses other files."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    byte = byte_of()
+    vocabulary: dict[str, int] = model["vocab"]
+    merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
+    made = [vocabulary[left + right] for left, right in merges]
+    if made != sorted(made) or len(made) + 256 != len({*made, *(vocabulary[c] for c in byte)}):
+        raise ValueError(f"{path}: ids do not follow the merges")
+    ranks = {
+        bytes(byte[c] for c in token): rank
+        for token, rank in vocabulary.items()
+        if all(c in byte for c in token)
+    }
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenize_pieces(
@@ -63,11 +79,11 @@ def tokenize_pieces(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = library_encoder(tokenizer, pattern)
+        code = byte_level_encoding(tokenizer, pattern)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = code.encode(text.as_py()) + end
+                ids = code.encode_to_numpy(text.as_py(), disallowed_special=()).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 start, stop, piece = 0, n % capacity or capacity, 0
                 while start < n:
