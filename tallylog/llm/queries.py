@@ -12,13 +12,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import bpe, fingerprints, licenses, packing, quality, warc
+from tallylog.llm import bpe, fingerprints, html_extract, licenses, packing, quality, warc
 from tallylog.llm.shared import cut, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pieces of up to 2048 tokens, packed into sequences of 2048."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
@@ -76,6 +81,7 @@ from largest
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
