@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import bpe, fingerprints, html_extract, licenses, packing, quality, warc
+from tallylog.llm import block_repeats, bpe, fingerprints, html_extract, licenses, packing, quality, warc
 from tallylog.llm.shared import cut, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 35-word passages that stand anywhere else."""
+    kept = block_repeats.kept_words(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_license_scan": op6_license_scan,
     "op7_fingerprints": op7_fingerprints,
+    "op9_block_repeats": op9_block_repeats,
     "op10_warc": op10_warc,
 }
 
