@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import block_repeats, bpe, fingerprints, html_extract, licenses, packing, quality, suffix_dedup, warc
+from tallylog.llm import block_repeats, bpe, fingerprints, html_extract, licenses, near_dedup, packing, quality, suffix_dedup, warc
 from tallylog.llm.shared import cut, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their four-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of 35-word passages that stand anywhere else."""
     kept = block_repeats.kept_words(table(spark, sf_dir, "documents"))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_fingerprints": op7_fingerprints,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_block_repeats": op9_block_repeats,
     "op10_warc": op10_warc,
 }
