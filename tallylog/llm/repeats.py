@@ -173,7 +173,7 @@ def by_document(segments_: DataFrame) -> DataFrame:
 def covered(segments_: list[dict] | None, n: int, width: int) -> np.ndarray:
     """Which of a document's n units the windows of these segments cover."""
     edge = np.zeros(n + 1, np.int64)
-    if segments_:
+    if segments_ is not None and len(segments_):
         start = np.fromiter((s["start"] for s in segments_), np.int64, len(segments_))
         count = np.fromiter((s["count"] for s in segments_), np.int64, len(segments_))
         np.add.at(edge, start, 1)

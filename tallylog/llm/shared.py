@@ -46,6 +46,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all in it, in whatever store it lies."""
+    jvm, session = spark.sparkContext._jvm, spark._jsparkSession
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
