@@ -283,6 +283,38 @@ def _blocks(clusters: DataFrame) -> DataFrame:
     return whole.unionByName(dealt).unionByName(guests).distinct()
 
 
+def _rest_blocks(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (set_id, block) that bring each set of a cut cluster which is not in the cluster's
+    largest component together with every set of the cluster: a block for each pair of a part of
+    the former and a part of the latter."""
+    sizes = clusters.groupBy("label").agg(F.sum("n_shingles").alias("_total")).where(F.col("_total") > CLUSTER_SHINGLES)
+    large = clusters.join(sizes, "label").withColumnRenamed("label", "cluster")
+    named = large.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = named.withColumn("label", F.coalesce("label", "set_id"))
+    by_label = named.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    largest = by_label.groupBy("cluster").agg(
+        F.max_by("label", F.struct("n", "label")).alias("_largest"), F.max_by("s", F.struct("n", "label")).alias("_in_largest")
+    )
+    part = CLUSTER_SHINGLES // 2
+    placed = (
+        named.join(largest, "cluster")
+        .withColumn("_parts", F.ceil(F.col("_total") / part).cast("long"))
+        .withColumn("_rests", F.ceil((F.col("_total") - F.col("_in_largest")) / part).cast("long"))
+        .where("_rests > 0")
+    )
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    every = placed.select(
+        "set_id", "cluster", F.pmod(F.xxhash64("set_id"), "_parts").alias("_part"),
+        F.explode(F.sequence(zero, F.col("_rests") - one)).alias("_rest"),
+    )
+    rest = placed.where("label <> _largest").select(
+        "set_id", "cluster", F.explode(F.sequence(zero, F.col("_parts") - one)).alias("_part"),
+        F.pmod(F.xxhash64("set_id"), "_rests").alias("_rest"),
+    )
+    block = F.xxhash64("cluster", "_part", "_rest", F.lit("rest"))
+    return every.unionByName(rest).select("set_id", block.alias("block")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document whose id is the component's) of
     every row."""
@@ -302,11 +334,19 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
         F.min(F.struct("k_id", "k_th")).alias("one"),
         F.min(own_id()).alias("least_id"),
     )
-    clusters = connected(candidate_links(sets, percent)).withColumnRenamed("node", "set_id")
-    blocks = _blocks(sets.select("set_id", "n_shingles").join(clusters, "set_id"))
-    places = blocks.join(sets.select("set_id", "one.*"), "set_id")
-    texts = rows.join(places, ["k_id", "k_th"]).select("block", "set_id", "text")
-    labels = connected(_confirmed(texts, words, percent))
+    found = connected(candidate_links(sets, percent)).withColumnRenamed("node", "set_id")
+    clusters = sets.select("set_id", "n_shingles").join(found, "set_id")
+
+    def confirmed(blocks: DataFrame) -> DataFrame:
+        places = blocks.join(sets.select("set_id", "one.*"), "set_id")
+        texts = rows.join(places, ["k_id", "k_th"]).select("block", "set_id", "text")
+        return _confirmed(texts, words, percent)
+
+    labels = connected(confirmed(_blocks(clusters)))
+    rest = cut(_rest_blocks(clusters, labels))
+    if not rest.isEmpty():
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = connected(known.unionByName(confirmed(rest)))
     members = sets.select("set_id", "least_id").join(labels, F.col("set_id") == F.col("node"), "left")
     members = members.select("set_id", "least_id", F.coalesce("label", "set_id").alias("label"))
     names = members.groupBy("label").agg(F.min("least_id").alias("component_id"))
