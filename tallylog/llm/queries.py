@@ -84,6 +84,71 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The pages' markup in SQL: the article, its blocks ended by a space, and the references that occur.
+OP1_SQL = r"""
+with articles as (
+    select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as body from pages
+), plain as (
+    select page_id, url, regexp_replace(regexp_replace(body, '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') as body
+    from articles
+), decoded as (
+    select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        body, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') as body
+    from plain
+)
+select page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) as text,
+       length(trim(regexp_replace(body, '\s+', ' ', 'g'))) as n_chars
+from decoded
+"""
+
+OP8_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as ws
+    from documents
+), sets as (
+    select doc_id, case
+        when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')))
+        when len(ws) > 0 then [array_to_string(ws, ' ')]
+        else [] end as shingles
+    from words
+), sizes as (select doc_id, len(shingles) as n from sets),
+shingles as (select doc_id, unnest(shingles) as shingle from sets),
+shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as common
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+), links as (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * common >= 80 * (x.n + y.n - common)
+), edges as (select a, b from links union all select b, a from links),
+reached as (
+    select doc_id as start, doc_id as node from documents
+    union
+    select start, b from reached join edges on a = node
+), components as (select start as doc_id, min(node) as component_id from reached group by 1)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept
+from sizes join components using (doc_id)
+"""
+
+OP9_SQL = r"""
+with words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), windows as (
+    select doc_id, p, array_to_string(ws[p:p+34], ' ') as shown
+    from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as p from words)
+), repeats as (
+    select doc_id, p from windows qualify count(*) over (partition by shown) > 1
+), covered as (select distinct doc_id, unnest(range(p, p + 35)) as i from repeats),
+placed as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from words),
+kept as (
+    select doc_id, string_agg(word, ' ' order by i) as shown, count(*) as n
+    from placed anti join covered using (doc_id, i) group by 1
+)
+select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(shown, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
+
 OP10_SQL = """
 with payloads as (
     select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
@@ -110,4 +175,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_html_extraction": OP1_SQL,
+    "op8_near_duplicates": OP8_SQL,
+    "op9_block_repeats": OP9_SQL,
+    "op10_warc": OP10_SQL,
+}
