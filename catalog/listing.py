@@ -26,7 +26,7 @@ from tallylog.plans.scenarios import scenarios
 NEEDLE = "nEeDlE_%\\pAtH"
 SCENARIOS = scenarios(DAY["since"], WEEK["since"], DAY["until"], attribute=("k", "69"), q=NEEDLE)
 PAGE_LIMIT = 100
-POSITION = ("2024-01-20T12:00:00.000Z", "00000000-0000-4000-8000-000000005000")
+POSITION = ("2024-01-26T12:00:00.000Z", "00000000-0000-4000-8000-000000005000")
 
 
 def _filtered(**arguments):
@@ -60,7 +60,11 @@ _FILTERS = {
         "FALSE",
     ),
     "filter_attribute": ({"attributes": {"k": "69"}}, "k = '69'"),
-    "filter_two_attributes": ({"attributes": {"k": "69", "other": "1"}}, "FALSE"),
+    "filter_no_attribute": ({"attributes": {"k": "69", "other": "1"}}, "FALSE"),
+    "filter_attribute_and_level": (
+        {"attributes": {"k": "69"}, "level": "info"},
+        "k = '69' AND level = 'info'",
+    ),
     "filter_text": ({"q": NEEDLE}, r"contains(lower(message), 'needle_%\path')"),
     "filter_text_percent": ({"q": "%"}, "contains(message, '%')"),
     "filter_all_parts": (

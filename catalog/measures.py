@@ -5,64 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import LOGS, WITH_LOGS, canonical, events, logs, shown
-from tallylog.operators import metrics
+from tallylog.operators import metrics, rollup
 from tallylog.session import fresh_path
-from tallylog.sources import adapters, synthetic, tables
+from tallylog.sources import adapters, tables
 
-SEED = 20260810
-REFERENCE_TS = "2026-08-10T12:00:00.000Z"
 
 
 def _requests(spark, sf_dir):
     return adapters.events_as_requests(events(spark, sf_dir))
 
 
-def _ordinals(spark, sf_dir):
-    """One ordinal per event, from 0, and how many there are."""
-    ids = events(spark, sf_dir).select(F.col("event_id").cast("long").alias("id"))
-    first = ids.agg(F.min("id").alias("first"), F.count("*").alias("rows")).first()
-    return ids.select((F.col("id") - F.lit(first["first"])).alias("id")), first["rows"]
-
-
-def synthetic_logs(spark, sf_dir):
-    ordinals, rows = _ordinals(spark, sf_dir)
-    made = synthetic.shaped_logs(ordinals, rows, SEED, REFERENCE_TS)
-    names = ("region", "tenant_id", "enabled", "retries")
-    return made.select(
-        "id",
-        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm").alias("minute"),
-        "level",
-        "service",
-        "message",
-        *(F.element_at("attributes_search", F.lit(k)).alias(k) for k in names),
-    )
-
-
-def dataset_profile(spark, sf_dir):
-    ordinals, rows = _ordinals(spark, sf_dir)
-    return metrics.dataset_profile(synthetic.shaped_logs(ordinals, rows, SEED, REFERENCE_TS))
-
-
-def expected_profile(spark, sf_dir):
-    ordinals, rows = _ordinals(spark, sf_dir)
-    return synthetic.expected_counts(ordinals, rows, SEED, REFERENCE_TS)
-
-
 def profile_comparison(spark, sf_dir):
-    """Counts by formula beside counts of the rows."""
-    names = ["rows", "empty_attributes", "service_rows", "error_rows", "marker_rows"]
-    tall = lambda df: df.select(
-        F.inline(
-            F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))
-        )
-    )
-    expected, observed = expected_profile(spark, sf_dir), dataset_profile(spark, sf_dir)
-    return metrics.compare_metrics(tall(expected), tall(observed), ["metric"])
+    """Rows per service by the minute counts of all logs beside those found in a part of them."""
+    rows = logs(spark, sf_dir)
+    of = lambda df, value: df.groupBy("service").agg(value.alias("value"))
+    expected = of(rollup.minute_counts(rows), F.sum("count"))
+    observed = of(rows.where("not (level = 'warn' and service < 'service-050')"), F.count("*"))
+    return metrics.compare_metrics(expected, observed, ["service"])
 
 
 def log_profile(spark, sf_dir):
     return metrics.dataset_profile(
-        logs(spark, sf_dir), marker_key="k", marker_value="69"
+        logs(spark, sf_dir), "service-007", "k", "69", "Load Needle_%\\Path marker"
     )
 
 
@@ -198,9 +162,6 @@ def storage_summary(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        synthetic_logs,
-        dataset_profile,
-        expected_profile,
         profile_comparison,
         log_profile,
         reconciliation,
@@ -262,47 +223,11 @@ _THROUGHPUT = f"""sums AS (SELECT {{keys}},
   rates AS (SELECT *, {_rate("accepted_rows", "duration_ms")} AS accepted_per_second,
     {_rate("attempted_rows", "duration_ms")} AS attempted_per_second FROM sums)"""
 
-_SYNTHETIC = f"""ordinals AS (
-    SELECT event_id - (SELECT min(event_id) FROM events) AS o,
-      (SELECT count(*) FROM events) AS n FROM events),
-  shifted AS (SELECT *, o + {SEED} AS s, md5('{SEED}:' || o) AS d FROM ordinals),
-  made AS (SELECT
-      TIMESTAMP '2026-08-10 12:00:00' - to_microseconds(
-        CAST(round(CAST(o + 1 AS DOUBLE) / CAST(n AS DOUBLE) * 2592000000000.0) AS BIGINT))
-        AS timestamp,
-      substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-4' || substr(d, 14, 3) || '-8' ||
-        substr(d, 18, 3) || '-' || substr(d, 21, 12) AS id,
-      (['debug', 'info', 'warn', 'error'])[s % 4 + 1] AS level,
-      'service-' || lpad(CAST(s % 100 AS VARCHAR), 3, '0') AS service,
-      CASE WHEN s % 1000 = 0 THEN 'Load Needle_%\\Path marker' ELSE 'ordinary message ' || o END
-        AS message,
-      CASE WHEN s % 10 <> 0 THEN 'region-' || lpad(CAST(s % 8 AS VARCHAR), 2, '0') END AS region,
-      CASE WHEN s % 10 <> 0 THEN 'tenant-' || lpad(CAST(s % 1000 AS VARCHAR), 6, '0') END
-        AS tenant_id,
-      CASE WHEN s % 10 <> 0 THEN CAST(s % 2 = 0 AS VARCHAR) END AS enabled,
-      CASE WHEN s % 10 <> 0 THEN CAST(s % 6 AS VARCHAR) END AS retries
-    FROM shifted)"""
-
-_PROFILE = f"""SELECT count(*) AS rows, count(*) FILTER (WHERE region IS NULL) AS empty_attributes,
-    count(*) FILTER (WHERE service = 'service-007') AS service_rows,
-    count(*) FILTER (WHERE level = 'error') AS error_rows,
-    count(*) FILTER (WHERE tenant_id = 'tenant-000123') AS marker_rows,
-    count(*) FILTER (WHERE message LIKE 'Load%') AS message_rows,
-    CAST(0 AS BIGINT) AS default_partition_rows,
-    {canonical("min(timestamp)")} AS first_timestamp,
-    {canonical("max(timestamp)")} AS last_timestamp,
-    count(DISTINCT CAST(timestamp AS DATE)) AS partition_count FROM made"""
-
 ORACLES = {
-    "synthetic_logs": f"""WITH {_SYNTHETIC}
-        SELECT id, strftime(timestamp, '%Y-%m-%dT%H:%M') AS minute, level, service, message,
-        region, tenant_id, enabled, retries FROM made""",
-    "dataset_profile": f"WITH {_SYNTHETIC} {_PROFILE}",
-    "expected_profile": f"WITH {_SYNTHETIC} {_PROFILE}",
-    "profile_comparison": f"""WITH {_SYNTHETIC}, profile AS ({_PROFILE}),
-        tall AS (UNPIVOT (SELECT rows, empty_attributes, service_rows, error_rows, marker_rows
-          FROM profile) ON COLUMNS(*) INTO NAME metric VALUE v)
-        SELECT metric, v AS expected, v AS observed, true AS matches FROM tall""",
+    "profile_comparison": f"""{WITH_LOGS}, counted AS (SELECT service, count(*) AS expected,
+          nullif(count(*) FILTER (WHERE NOT (level = 'warn' AND service < 'service-050')), 0)
+          AS observed FROM logs GROUP BY service)
+        SELECT *, expected IS NOT DISTINCT FROM observed AS matches FROM counted""",
     "log_profile": f"""{WITH_LOGS} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS empty_attributes,
         count(*) FILTER (WHERE service = 'service-007') AS service_rows,
         count(*) FILTER (WHERE level = 'error') AS error_rows,

@@ -121,17 +121,21 @@ def expired_rows(spark, sf_dir):
 
 
 def expire_victims(spark, sf_dir):
-    _, victims = retention.expire_default_rows(_default_rows(spark, sf_dir), CUTOFF, 100, 7)
+    _, victims = retention.expire_default_rows(_default_rows(spark, sf_dir), CUTOFF)
     return shown(victims, "id", "timestamp")
 
 
 def expire_survivors(spark, sf_dir):
-    survivors, _ = retention.expire_default_rows(_default_rows(spark, sf_dir), CUTOFF, 100, 7)
+    """Every third day is no partition, so default rows lie on both sides of the cutoff."""
+    plan = _plan(spark).where(F.dayofmonth("start") % 3 != 0)
+    routed = retention.route_partition(logs(spark, sf_dir), plan)
+    default_rows = routed.where("partition_name = 'logs_default'").drop("partition_name")
+    survivors, _ = retention.expire_default_rows(default_rows, CUTOFF)
     return shown(survivors, "id", "timestamp")
 
 
 def count_deleted(spark, sf_dir):
-    _, victims = retention.expire_default_rows(_default_rows(spark, sf_dir), CUTOFF, 100, 7)
+    _, victims = retention.expire_default_rows(_default_rows(spark, sf_dir), CUTOFF)
     return retention.count_deleted(victims)
 
 
@@ -172,20 +176,74 @@ def drop_expired_days(spark, sf_dir):
 
 
 def delete_rows(spark, sf_dir):
-    """The expired default rows of one run leave the stored table."""
+    """The expired default rows leave the stored table."""
     path = fresh_path(spark, "logs")
     tables.append_logs(logs(spark, sf_dir), path)
     stored = tables.scan_logs(spark, path)
     routed = retention.route_partition(stored, _plan(spark))
     default_rows = routed.where("partition_name = 'logs_default'")
-    _, victims = retention.expire_default_rows(default_rows, CUTOFF, 100, 7)
+    _, victims = retention.expire_default_rows(default_rows, CUTOFF)
     maintenance.delete_rows(spark, path, victims)
     return shown(tables.scan_logs(spark, path), "id", "timestamp")
 
 
+def _two_batches(spark, sf_dir):
+    """Committed tables of two batches, with what a third one left that died before its commit."""
+    out = tables.LogTables(fresh_path(spark, "tables"))
+    rows = logs(spark, sf_dir)
+    odd = F.minute("timestamp") % 2 == 1
+    for number, part in enumerate((rows.where(odd), rows.where(~odd))):
+        tables.write_batch(part, number, out.logs, out.rollup, out.commits)
+    tables._write_part(rows, out.logs, "batch", 2)
+    return out
+
+
+def _days_beside_counts(spark, out):
+    """Rows by day, with the sum of the day's minute counts."""
+    day = F.date_format("event_date", "yyyy-MM-dd").alias("day")
+    stored = tables.scan_logs(spark, out.logs, out.commits)
+    counts = tables.scan_rollup(spark, out.rollup, out.commits)
+    return stored.groupBy(day).agg(F.count("*").alias("rows")).join(
+        counts.groupBy(day).agg(F.sum("count").alias("counted")), "day", "full_outer"
+    )
+
+
+def run_upkeep_committed(spark, sf_dir):
+    """What is left of committed tables and their counts; the cutoff's day is no partition."""
+    out = _two_batches(spark, sf_dir)
+    boundary = day_name(F.lit(CUTOFF).cast("timestamp"))
+    plan = retention.partition_plan(spark, NOW, RETENTION_DAYS + 3).where(F.col("name") != boundary)
+    maintenance.ensure_days(spark, out, plan)
+    maintenance.run_upkeep(spark, out, NOW, RETENTION_DAYS, expire_rollup=True)
+    return _days_beside_counts(spark, out)
+
+
+def upkeep_report(spark, sf_dir):
+    """What that run says it has done."""
+    out = _two_batches(spark, sf_dir)
+    boundary = day_name(F.lit(CUTOFF).cast("timestamp"))
+    plan = retention.partition_plan(spark, NOW, RETENTION_DAYS + 3).where(F.col("name") != boundary)
+    maintenance.ensure_days(spark, out, plan)
+    return maintenance.run_upkeep(spark, out, NOW, RETENTION_DAYS)
+
+
+def write_batch_retry(spark, sf_dir):
+    """A batch whose first attempt had more days and rows than the one that is committed."""
+    out = tables.LogTables(fresh_path(spark, "tables"))
+    rows = logs(spark, sf_dir)
+    for path, part in ((out.logs, rows), (out.rollup, rollup.minute_counts(rows))):
+        tables._write_part(part, path, "batch", 0)
+    again = rows.where((F.dayofmonth("timestamp") % 2 == 0) & (F.hour("timestamp") < 12))
+    tables.write_batch(again, 0, out.logs, out.rollup, out.commits)
+    return _days_beside_counts(spark, out)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        run_upkeep_committed,
+        upkeep_report,
+        write_batch_retry,
         planned_days,
         route_partition,
         valid_partitions,
@@ -245,8 +303,7 @@ _NAMED = (
 )
 _VALID = "valid AS (SELECT * FROM named WHERE day(day) <> 23)"
 _VICTIMS = (
-    f"victims AS (SELECT * FROM default_rows WHERE timestamp < {_CUT} "
-    "ORDER BY timestamp, id LIMIT 700)"
+    f"victims AS (SELECT * FROM default_rows WHERE timestamp < {_CUT})"
 )
 _ID_TIME = f"id, {canonical('timestamp')} AS timestamp"
 _PUBLIC = f"id, {canonical('timestamp')} AS timestamp, level, service, message, attributes"
@@ -275,15 +332,15 @@ ORACLES = {
     "stay_default_rows": f"""{WITH_LOGS} SELECT {_PUBLIC} FROM logs
         WHERE CAST(timestamp AS DATE) <> DATE '2024-01-15'""",
     "expired_partitions": f"""{WITH_LOGS}, {_NAMED}, {_VALID}
-        SELECT name, {_DAY_BOUNDS} FROM valid WHERE day + 1 <= {_CUT}
-        ORDER BY day LIMIT 32""",
+        SELECT name, {_DAY_BOUNDS} FROM valid WHERE day + 1 <= {_CUT}""",
     "oldest_expired_partition": f"""{WITH_LOGS}, {_NAMED}, {_VALID}
         SELECT name, {_DAY_BOUNDS} FROM valid WHERE day + 1 <= {_CUT} ORDER BY day LIMIT 1""",
     "expired_rows": f"{WITH_LOGS} SELECT {_ID_TIME} FROM logs WHERE timestamp < {_CUT}",
     "expire_victims": f"""{WITH_LOGS}, {_PLAN}, {_DEFAULT}, {_VICTIMS}
         SELECT {_ID_TIME} FROM victims""",
-    "expire_survivors": f"""{WITH_LOGS}, {_PLAN}, {_DEFAULT}, {_VICTIMS}
-        SELECT {_ID_TIME} FROM default_rows WHERE id NOT IN (SELECT id FROM victims)""",
+    "expire_survivors": f"""{WITH_LOGS}, {_PLAN}
+        SELECT {_ID_TIME} FROM logs WHERE timestamp >= {_CUT}
+        AND CAST(timestamp AS DATE) NOT IN (SELECT day FROM plan WHERE day(day) % 3 <> 0)""",
     "count_deleted": f"""{WITH_LOGS}, {_PLAN}, {_DEFAULT}, {_VICTIMS}
         SELECT CAST(count(*) AS INTEGER) AS deleted FROM victims""",
     "retention_report": f"""{WITH_LOGS}, {_PLAN}, {_DEFAULT}, {_NAMED}, {_VALID},
@@ -293,10 +350,9 @@ ORACLES = {
           (SELECT count(*) FROM valid WHERE day + 1 <= {_CUT}) AS expired,
           (SELECT count(*) FROM default_rows WHERE timestamp < {_CUT}) AS old_rows)
         SELECT 'completed' AS status, CAST(3 AS BIGINT) AS ensure_calls, missing AS created,
-        least(expired + 1, 32) AS drop_calls, least(expired, 32) AS dropped,
-        least(CAST(floor(old_rows / 1000) AS BIGINT) + 1, 10) AS delete_calls,
-        least(old_rows, 10000) AS deleted, expired >= 32 AS drop_budget_reached,
-        old_rows >= 10000 AS delete_budget_reached FROM n""",
+        expired + 1 AS drop_calls, expired AS dropped,
+        CAST(floor(old_rows / 1000) AS BIGINT) + 1 AS delete_calls, old_rows AS deleted,
+        FALSE AS drop_budget_reached, FALSE AS delete_budget_reached FROM n""",
     "retained": f"""{WITH_LOGS} SELECT {_ID_TIME} FROM logs
         WHERE CAST(timestamp AS DATE) >= {_CUT_DAY}""",
     "retained_without_boundary_day": f"""{WITH_LOGS} SELECT {_ID_TIME} FROM logs
@@ -306,6 +362,19 @@ ORACLES = {
         count(*) AS count FROM logs WHERE CAST(timestamp AS DATE) >= {_CUT_DAY} GROUP BY ALL""",
     "delete_rows": f"""{WITH_LOGS}, {_PLAN}, {_DEFAULT}, {_VICTIMS}
         SELECT {_ID_TIME} FROM logs WHERE id NOT IN (SELECT id FROM victims)""",
+    "run_upkeep_committed": f"""{WITH_LOGS}
+        SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS rows,
+        CAST(count(*) AS BIGINT) AS counted FROM logs WHERE timestamp >= {_CUT} GROUP BY 1""",
+    "upkeep_report": f"""{WITH_LOGS}, {_plan_sql(RETENTION_DAYS + 3)}
+        SELECT 'completed' AS status, CAST(0 AS BIGINT) AS created, CAST(0 AS BIGINT) AS moved,
+        (SELECT count(*) FROM plan WHERE day + 1 <= {_CUT}) AS dropped,
+        (SELECT count(*) FROM logs WHERE timestamp < {_CUT} AND (CAST(timestamp AS DATE) = {_CUT_DAY}
+            OR CAST(timestamp AS DATE) NOT IN (SELECT day FROM plan))) AS deleted,
+        FALSE AS drop_budget_reached""",
+    "write_batch_retry": f"""{WITH_LOGS}
+        SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS rows,
+        CAST(count(*) AS BIGINT) AS counted FROM logs
+        WHERE day(timestamp) % 2 = 0 AND hour(timestamp) < 12 GROUP BY 1""",
     "drop_expired_days": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows FROM events
         WHERE CAST(ts AS DATE) >= {_CUT_DAY} GROUP BY 1""",
 }

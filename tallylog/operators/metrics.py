@@ -16,7 +16,7 @@ from tallylog.fixed import (
 from tallylog.functions.timestamps import timestamp_text
 from tallylog.operators.paging import numbered
 from tallylog.schema import LOG_SCHEMA
-from tallylog.session import materialize
+from tallylog.session import settle
 
 PERCENTILES = (50, 95, 99)
 
@@ -63,8 +63,8 @@ def latency_summary(df: DataFrame, column: str, keys: list[str] | None = None) -
     # A key without samples keeps a row that counts nothing.
     distinct = samples.groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
     order = [*by, "_x"]
-    placed = materialize(
-        distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranks"
+    placed = settle(
+        distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
     # Without keys the summary has one row even when there is nothing to count.
     totals = placed.groupBy(*keys).agg(
@@ -429,10 +429,10 @@ def result_checksum(df: DataFrame, portable: bool = False) -> DataFrame:
 
 def dataset_profile(
     logs: DataFrame,
-    service: str = "service-007",
-    marker_key: str = "tenant_id",
-    marker_value: str = "tenant-000123",
-    message: str = "Load Needle_%\\Path marker",
+    service: str,
+    marker_key: str,
+    marker_value: str,
+    message: str,
     partition: Column | None = None,
 ) -> DataFrame:
     """Row counts by several conditions, time range and number of days, in one pass."""

@@ -30,7 +30,7 @@ from tallylog.operators.filters import (
     where_matching,
 )
 from tallylog.schema import PUBLIC_COLUMNS
-from tallylog.session import materialize
+from tallylog.session import settle
 
 # Names the order a token continues. Sources that must exchange tokens agree on one text.
 SEMANTICS = "timestamp-desc-id-desc.v1"
@@ -298,7 +298,7 @@ def numbered(df: DataFrame, *order: Column) -> DataFrame:
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    placed = materialize(placed, "numbered")
+    placed = settle(placed)
     part = F.shiftright("_at", _INDEX_BITS)
     index = F.col("_at").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
@@ -324,7 +324,10 @@ def page_all(logs: DataFrame, filters: LogFilters, page_size: int) -> DataFrame:
     The pages are those a reader gets by following continuation tokens on unchanged data.
     """
     check_limit(page_size)
-    rows = numbered(where_matching(logs, filters), F.desc("timestamp"), F.desc("id"))
+    found = where_matching(logs, filters)
+    # only the keys are sorted and written; a key has one row
+    keys = numbered(found.select("timestamp", "id"), F.desc("timestamp"), F.desc("id"))
+    rows = keys if set(found.columns) == {"timestamp", "id"} else found.join(keys, ["timestamp", "id"])
     return rows.withColumn("page", F.floor(F.col("position") / page_size).cast("long") + 1)
 
 

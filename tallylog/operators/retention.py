@@ -16,7 +16,6 @@ from tallylog.fixed import (
     DEFAULT_PARTITION,
     DELETE_BATCH_SIZE,
     DELETE_CALL_LIMIT,
-    DROP_CALL_LIMIT,
     MAX_DELETE_BATCH_SIZE,
     MAX_RETENTION_DAYS,
     PARTITION_NAME,
@@ -134,7 +133,10 @@ def _within(start: str) -> Column:
 
 def move_default_rows(default_rows: DataFrame, day_start: str) -> tuple[DataFrame, DataFrame]:
     """(rows that become the day's partition, rows that stay in default), all columns kept."""
-    return default_rows.where(_within(day_start)), default_rows.where(~_within(day_start))
+    moved = default_rows.where(_within(day_start))
+    if "event_date" in default_rows.columns:  # reads that day's folder only
+        moved = moved.where(F.col("event_date") == F.to_date(instant_literal(day_start)))
+    return moved, default_rows.where(~_within(day_start))
 
 
 def retention_cutoff(now: str, days: int) -> str:
@@ -151,10 +153,11 @@ def all_expired_partitions(partitions: DataFrame, cutoff: str) -> DataFrame:
 
 
 def expired_partitions(
-    partitions: DataFrame, cutoff: str, limit: int = DROP_CALL_LIMIT
+    partitions: DataFrame, cutoff: str, limit: int | None = None
 ) -> DataFrame:
-    """The oldest expired days, as many as one run drops."""
-    return all_expired_partitions(partitions, cutoff).orderBy("end").limit(limit)
+    """The expired days; with ``limit`` the oldest so many."""
+    expired = all_expired_partitions(partitions, cutoff)
+    return expired if limit is None else expired.orderBy("end").limit(limit)
 
 
 def oldest_expired_partition(partitions: DataFrame, cutoff: str) -> DataFrame:
@@ -163,21 +166,32 @@ def oldest_expired_partition(partitions: DataFrame, cutoff: str) -> DataFrame:
 
 
 def expired_default_rows(default_rows: DataFrame, cutoff: str) -> DataFrame:
-    """Default rows strictly before the cutoff."""
-    return default_rows.where(F.col("timestamp") < instant_literal(cutoff))
+    """Default rows strictly before the cutoff. Rows that carry their day are bounded by it, too,
+    so folders of later days are not read."""
+    at = instant_literal(cutoff)
+    expired = default_rows.where(F.col("timestamp") < at)
+    if "event_date" in default_rows.columns:
+        expired = expired.where(F.col("event_date") <= F.to_date(at))
+    return expired
 
 
 def expire_default_rows(
     default_rows: DataFrame,
     cutoff: str,
-    batch_size: int = DELETE_BATCH_SIZE,
-    calls: int = DELETE_CALL_LIMIT,
+    batch_size: int | None = None,
+    calls: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(survivors, victims) of one run: the oldest expired rows, ``batch_size`` × ``calls`` at most.
+    """(survivors, victims): default rows from the cutoff on, and all before it.
 
-    ``calls`` is at most 10 and ``batch_size`` at most 10 000, so at most 100 000 keys of victims
-    are broadcast.
+    With ``batch_size`` or ``calls`` a run has a budget: the oldest expired rows are victims, the
+    product of both at most. ``calls`` is at most 10 and ``batch_size`` at most 10 000, so at most
+    100 000 keys of victims are broadcast.
     """
+    if batch_size is None and calls is None:
+        expired = F.col("timestamp") < instant_literal(cutoff)
+        return default_rows.where(~expired), expired_default_rows(default_rows, cutoff)
+    batch_size = DELETE_BATCH_SIZE if batch_size is None else batch_size
+    calls = DELETE_CALL_LIMIT if calls is None else calls
     check_retention_args(cutoff, batch_size=batch_size)
     if not 1 <= calls <= DELETE_CALL_LIMIT:
         raise ValueError(RETENTION["calls"])
@@ -187,9 +201,18 @@ def expire_default_rows(
 
 
 def retention_report(
-    partitions: DataFrame, default_rows: DataFrame, now: str, days: int
+    partitions: DataFrame,
+    default_rows: DataFrame,
+    now: str,
+    days: int,
+    drop_limit: int | None = None,
+    delete_limit: int | None = None,
 ) -> DataFrame:
-    """One row: what a maintenance run at ``now`` would make, drop and delete, and its budgets."""
+    """One row: what a maintenance run at ``now`` finds to make, drop and delete.
+
+    Calls are those of a run in steps: one day a drop, DELETE_BATCH_SIZE rows a delete, and one
+    more that finds nothing left. The limits are a run's budgets; without them nothing is clipped.
+    """
     spark = partitions.sparkSession
     cutoff = retention_cutoff(now, days)
     counted = lambda df, name: df.agg(F.count("*").alias("n")).select(
@@ -205,21 +228,22 @@ def retention_report(
     ]
     together = parts[0].unionByName(parts[1]).unionByName(parts[2])
     sums = together.agg(*(F.sum(c).alias(c) for c in ("missing", "expired", "old_rows")))
-    budget = DELETE_BATCH_SIZE * DELETE_CALL_LIMIT
     long = lambda n: F.lit(n).cast("long")
+    clip = lambda c, limit: c if limit is None else F.least(c, long(limit))
+    reached = lambda c, limit: F.lit(False) if limit is None else F.col(c) >= limit
+    batches = None if delete_limit is None else -(-delete_limit // DELETE_BATCH_SIZE)
     return sums.select(
         F.lit("completed").alias("status"),
         long(3).alias("ensure_calls"),
         F.col("missing").alias("created"),
-        F.least(F.col("expired") + 1, long(DROP_CALL_LIMIT)).alias("drop_calls"),
-        F.least(F.col("expired"), long(DROP_CALL_LIMIT)).alias("dropped"),
-        F.least(
-            F.floor(F.col("old_rows") / DELETE_BATCH_SIZE).cast("long") + 1,
-            long(DELETE_CALL_LIMIT),
+        clip(F.col("expired") + 1, drop_limit).alias("drop_calls"),
+        clip(F.col("expired"), drop_limit).alias("dropped"),
+        clip(
+            F.floor(F.col("old_rows") / DELETE_BATCH_SIZE).cast("long") + 1, batches
         ).alias("delete_calls"),
-        F.least(F.col("old_rows"), long(budget)).alias("deleted"),
-        (F.col("expired") >= DROP_CALL_LIMIT).alias("drop_budget_reached"),
-        (F.col("old_rows") >= budget).alias("delete_budget_reached"),
+        clip(F.col("old_rows"), delete_limit).alias("deleted"),
+        reached("expired", drop_limit).alias("drop_budget_reached"),
+        reached("old_rows", delete_limit).alias("delete_budget_reached"),
     )
 
 

@@ -9,13 +9,14 @@ from tallylog.operators.enrich import minute_bucket
 from tallylog.schema import ROLLUP_KEYS
 
 
-def minute_counts(logs: DataFrame) -> DataFrame:
-    """Count rows by (minute, service, level).
+def minute_counts(logs: DataFrame, *also: str) -> DataFrame:
+    """Count rows by (minute, service, level) and, where given, further columns.
 
     Every task counts its own rows first, so a hot service sends one row per task and minute.
     """
+    minute = minute_bucket(F.col("timestamp")).alias("bucket_start")
     return (
-        logs.groupBy(minute_bucket(F.col("timestamp")).alias("bucket_start"), "service", "level")
+        logs.groupBy(minute, "service", "level", *also)
         .agg(F.count("*").alias("count"))
         .withColumn("event_date", F.to_date("bucket_start"))
     )

@@ -50,8 +50,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all in it, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` with its rows and their placement written once to the shared folder.
+
+    For steps that read each other's rows lazily: Spark knows when nobody reads them any more and
+    then removes them, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; (the rows read back, their folder).
+
+    The caller removes the folder where it can tell that nobody reads it any more.
 
     Used where several steps must see one and the same row placement (range partition numbers),
     which a recomputed plan does not promise. It survives the loss of any executor.
@@ -59,4 +80,4 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path

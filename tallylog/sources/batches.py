@@ -13,38 +13,35 @@ from tallylog.session import configure
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-_SEVERAL_LOGS = r'(?s)"logs"\s*:.*"logs"\s*:'
+def _end_is_reached() -> Column:
+    """True where a body between two fields of an object leaves the second field readable."""
+    wrapped = F.concat(F.lit('{"body":'), F.col("body"), F.lit(',"end":1}'))
+    return F.from_json(wrapped, "struct<end:int>", _STRICT)["end"] == 1
 
 
-def _parsed(body: Column, kind: str) -> Column:
-    """A body as ``kind``, null unless it is exactly one JSON value.
+def _one_element(kind: str, path: str) -> Column:
+    """What is at ``path`` of a body, as ``kind``; null unless the body is one JSON value.
 
-    The body stands between two fields of a wrapper. A second document or trailing text breaks
-    the wrapper, so the closing field does not come through.
+    Parsers stop where a value ends, so two frames bear witness. As the only element of an array
+    the body cannot have brought a comma or a brace of its own; in front of the last field of an
+    object it cannot have closed the array. Of repeated keys, escaped or not, the last counts.
     """
-    wrapped = F.concat(F.lit('{"body":'), body, F.lit(',"end":1}'))
-    parsed = F.from_json(wrapped, f"struct<body:{kind},end:int>", _STRICT)
-    return F.when(parsed["end"] == 1, parsed["body"])
+    framed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    alone = F.size(F.try_variant_get(framed, "$", "array<variant>")) == 1
+    return F.when(alone & _end_is_reached(), F.try_variant_get(framed, path, kind))
 
 
 @built_once
 def _entries() -> Column:
-    """The values in ``logs``; null for a body that is no object or has no array there.
-
-    Of several fields of that name the last counts. Spark's parser keeps an array when the last
-    is something else, so such a body is first read as one value.
-    """
-    body = F.col("body")
-    whole = F.try_variant_get(_parsed(body, "variant"), "$.logs", "array<variant>")
-    return F.when(body.rlike(_SEVERAL_LOGS), whole).otherwise(
-        _parsed(body, "struct<logs:array<variant>>")["logs"]
-    )
+    """The values in ``logs``; null for a body that is no object or has no array there."""
+    return _one_element("array<variant>", "$[0].logs")
 
 
 @built_once
 def _entry_texts() -> Column:
     """The texts of the entries, only where a body holds U+0000."""
-    texts = _parsed(F.col("body"), "struct<logs:array<string>>")["logs"]
+    wrapped = F.concat(F.lit('{"body":'), F.col("body"), F.lit(',"end":1}'))
+    texts = F.from_json(wrapped, "struct<body:struct<logs:array<string>>>", _STRICT)["body"]["logs"]
     return F.when(F.contains("body", F.lit("\\u0000")), texts).otherwise(
         F.array().cast("array<string>")
     )

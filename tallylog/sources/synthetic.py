@@ -1,104 +1,53 @@
-"""A deterministic log data set of any size, made on the executors."""
+"""A repeatable log data set of any size for measurements, made on the executors.
+
+Every property of a row is drawn from a hash of its number and the seed, so rows can be made in any
+order on any number of tasks. A third of the rows come from one service and most rows fall into
+busy minutes, so that counts per minute are far fewer than rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.functions.timestamps import instant_literal, timestamp_text
+from tallylog.functions.timestamps import instant_literal
 from tallylog.operators.enrich import uuid_from_digest, with_created_at, with_event_date
 from tallylog.schema import LOG_SCHEMA
 
-# --- fixed values -----------------------------------------------------------
+DAYS = 30
+SERVICES, TENANTS, BUSY_MINUTES_OF_HOUR = 100, 1000, 6
+HOT_SERVICE, HOT_TENANT = 7, 123
 MARKER_MESSAGE = "Load Needle_%\\Path marker"
-WINDOW_MICROS = 30 * 24 * 60 * 60 * 1000000
-LEVEL_BY_REMAINDER = ("debug", "info", "warn", "error")
-# --- end of fixed values ----------------------------------------------------
-
-
-def _numbered_name(prefix: str, value: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(value.cast("string"), width, "0"))
-
-
-def _age_micros(ordinal: Column, rows: int) -> Column:
-    share = (ordinal + 1).cast("double") / F.lit(float(rows))
-    return F.rint(share * F.lit(float(WINDOW_MICROS))).cast("long")
 
 
 def synthetic_logs(spark: SparkSession, rows: int, seed: int, reference_ts: str) -> DataFrame:
-    """``rows`` logs evenly over the 30 days before ``reference_ts``; same arguments, same rows."""
-    return shaped_logs(spark.range(rows), rows, seed, reference_ts)
-
-
-def shaped_logs(ordinals: DataFrame, rows: int, seed: int, reference_ts: str) -> DataFrame:
-    """The log with each ordinal ``id`` (0 to rows − 1) of ``ordinals``."""
-    ordinal, shifted = F.col("id"), F.col("id") + F.lit(seed)
-    empty = shifted % 10 == 0
-    level = F.element_at(
-        F.array(*(F.lit(name) for name in LEVEL_BY_REMAINDER)), (shifted % 4 + 1).cast("int")
-    )
-    region = _numbered_name("region-", shifted % 8, 2)
-    tenant = _numbered_name("tenant-", shifted % 1000, 6)
-    enabled, retries = shifted % 2 == 0, shifted % 6
-    typed = F.struct(
-        enabled.alias("enabled"),
-        region.alias("region"),
-        retries.alias("retries"),
-        tenant.alias("tenant_id"),
-    )
-    texts = F.create_map(
-        F.lit("region"),
-        region,
+    """``rows`` logs in the 30 days before ``reference_ts``; same arguments, same rows."""
+    number = F.col("id")
+
+    def draw(what: str, below: int) -> Column:
+        return F.pmod(F.xxhash64(number, F.lit(seed), F.lit(what)), F.lit(below))
+
+    second = draw("hour", DAYS * 24) * 3600 + draw("second", 60)
+    busy = F.when(draw("busy", 10) < 9, draw("minute", BUSY_MINUTES_OF_HOUR) * 10)
+    age = second + F.coalesce(busy, draw("any minute", 60)) * 60
+    micros = age * 1000000 + draw("micros", 1000000) + 1
+    service = F.when(draw("hot", 3) == 0, F.lit(HOT_SERVICE)).otherwise(draw("service", SERVICES))
+    level = F.when(draw("level", 20) == 0, "error").when(draw("level", 20) < 4, "warn")
+    found = F.create_map(
         F.lit("tenant_id"),
-        tenant,
-        F.lit("enabled"),
-        enabled.cast("string"),
-        F.lit("retries"),
-        retries.cast("string"),
-    )
-    digest = F.md5(
-        F.concat(F.lit(f"{seed}:"), ordinal.cast("string")).cast("binary")
+        F.format_string("tenant-%06d", draw("tenant", TENANTS)),
+        F.lit("attempt"),
+        draw("attempt", 5).cast("string"),
     )
-    shaped = ordinals.select(
-        F.timestamp_micros(
-            F.unix_micros(instant_literal(reference_ts)) - _age_micros(ordinal, rows)
-        ).alias("timestamp"),
-        uuid_from_digest(digest).alias("id"),
-        level.alias("level"),
-        _numbered_name("service-", shifted % 100, 3).alias("service"),
-        F.when(shifted % 1000 == 0, F.lit(MARKER_MESSAGE))
-        .otherwise(F.concat(F.lit("ordinary message "), ordinal.cast("string")))
+    made = spark.range(rows).select(
+        F.timestamp_micros(F.unix_micros(instant_literal(reference_ts)) - micros).alias("timestamp"),
+        uuid_from_digest(F.md5(F.concat_ws("/", F.lit(str(seed)), number).cast("binary"))).alias("id"),
+        F.coalesce(level, F.when(draw("debug", 4) == 0, "debug").otherwise("info")).alias("level"),
+        F.format_string("service-%03d", service).alias("service"),
+        F.when(draw("marker", 1000) == 0, F.lit(MARKER_MESSAGE))
+        .otherwise(F.concat(F.lit("ordinary message "), number.cast("string")))
         .alias("message"),
-        F.when(empty, F.lit("{}")).otherwise(F.to_json(typed)).alias("attributes"),
-        F.when(empty, F.create_map().cast("map<string,string>"))
-        .otherwise(texts)
-        .alias("attributes_search"),
-    )
-    return with_event_date(with_created_at(shaped)).select(*LOG_SCHEMA.fieldNames())
-
-
-def expected_profile(spark: SparkSession, rows: int, seed: int, reference_ts: str) -> DataFrame:
-    """The profile :func:`synthetic_logs` must have, from the row formula alone."""
-    return expected_counts(spark.range(rows), rows, seed, reference_ts)
-
-
-def expected_counts(ordinals: DataFrame, rows: int, seed: int, reference_ts: str) -> DataFrame:
-    """The profile of :func:`shaped_logs` over all ordinals."""
-    shifted = F.col("id") + F.lit(seed)
-    not_empty = shifted % 10 != 0
-    at = lambda micros: F.timestamp_micros(
-        F.unix_micros(instant_literal(reference_ts)) - F.lit(micros)
-    )
-    first, last = at(WINDOW_MICROS), at(int(WINDOW_MICROS / rows + 0.5))
-    return ordinals.agg(
-        F.count("*").alias("rows"),
-        F.count_if(~not_empty).alias("empty_attributes"),
-        F.count_if(shifted % 100 == 7).alias("service_rows"),
-        F.count_if(shifted % 4 == 3).alias("error_rows"),
-        F.count_if(not_empty & (shifted % 1000 == 123)).alias("marker_rows"),
-        F.count_if(shifted % 1000 == 0).alias("message_rows"),
-        F.lit(0).cast("long").alias("default_partition_rows"),
-        timestamp_text(first).alias("first_timestamp"),
-        timestamp_text(last).alias("last_timestamp"),
-        (F.date_diff(F.to_date(last), F.to_date(first)) + 1).cast("long").alias("partition_count"),
+        F.to_json(found).alias("attributes"),
+        found.alias("attributes_search"),
     )
+    return with_event_date(with_created_at(made)).select(*LOG_SCHEMA.fieldNames())

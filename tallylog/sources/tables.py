@@ -54,6 +54,39 @@ class LogTables:
     def accounts(self) -> str:
         return f"{self.root}/accounts"
 
+    @property
+    def days(self) -> str:
+        """The list of day partitions that exist; rows of other days are default rows."""
+        return f"{self.root}/days"
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system), for steps on folders and their names."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def day_folders(spark: SparkSession, path: str) -> dict[str, object]:
+    """Folders of a day-partitioned table by day text; names only, no data is read."""
+    root, fs = file_system(spark, path)
+    if not fs.exists(root):
+        return {}
+    paths = [status.getPath() for status in fs.listStatus(root) if status.isDirectory()]
+    prefix = "event_date="
+    return {p.getName().removeprefix(prefix): p for p in paths if p.getName().startswith(prefix)}
+
+
+def remove_attempt(spark: SparkSession, path: str, writer: str, batch_id: int) -> None:
+    """Remove what an attempt at a batch that was never committed has left, on whatever days."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    _, fs = file_system(spark, path)
+    for day in day_folders(spark, path).values():
+        left = spark._jvm.org.apache.hadoop.fs.Path(
+            day, f"writer={escape(writer)}/batch_id={batch_id}"
+        )
+        if fs.exists(left):
+            fs.delete(left, True)
+
 
 def clustered(df: DataFrame, *inner: str, by_day: bool = True) -> DataFrame:
     """Bring each day together, but let a large day keep many tasks.
@@ -119,8 +152,9 @@ def write_batch(
 ) -> bool:
     """Store log rows and their minute counts as one unit; False when already committed.
 
-    A repeated attempt overwrites exactly the folders of its batch, and readers see neither part
-    before the commit row exists. ``batch_id`` must grow from batch to batch of a writer.
+    Whatever an earlier attempt at the batch has written goes first, on all days, so its commit
+    shows the rows of one attempt. Readers see neither part before the commit row exists.
+    ``batch_id`` must grow from batch to batch of a writer.
 
     ``check_keys`` refuses the batch when a (timestamp, id) occurs twice in it or is stored
     already. Ids from ``assign_log_id`` cannot clash, so this is for rows that bring their own.
@@ -135,6 +169,8 @@ def write_batch(
             stored = scan_logs(spark, logs_path, commits_path)
             if not already_stored(df, stored).isEmpty():
                 raise ValueError("a key of the batch is stored already")
+    for path in (logs_path, rollup_path):
+        remove_attempt(spark, path, writer, batch_id)
     counts = clustered(minute_counts(df), "bucket_start", "service", "level")
     rows = clustered(df, "service", "timestamp", by_day=by_day)
     # Independent jobs, side by side; the commit row follows only when all are done.
@@ -163,15 +199,21 @@ def _is_committed(positions: dict[str, int]) -> Column:
     return functools.reduce(operator.or_, visible) if visible else F.lit(False)
 
 
+def scan_tagged(
+    spark: SparkSession, path: str, schema: T.StructType, commits_path: str
+) -> DataFrame:
+    """Committed rows with the writer and the batch they came with."""
+    configure(spark)
+    tagged = T.StructType(schema.fields + COMMIT_FIELDS)
+    rows = spark.read.schema(tagged).parquet(path)
+    return rows.where(_is_committed(committed_positions(spark, commits_path)))
+
+
 def _scan(spark: SparkSession, path: str, schema: T.StructType, commits_path: str | None):
     configure(spark)
     if commits_path is None:
         return spark.read.schema(schema).parquet(path)
-    tagged = T.StructType(schema.fields + COMMIT_FIELDS)
-    rows = spark.read.schema(tagged).parquet(path)
-    return rows.where(_is_committed(committed_positions(spark, commits_path))).drop(
-        "writer", "batch_id"
-    )
+    return scan_tagged(spark, path, schema, commits_path).drop("writer", "batch_id")
 
 
 def scan_logs(spark: SparkSession, path: str, commits_path: str | None = None) -> DataFrame:

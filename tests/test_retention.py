@@ -96,7 +96,8 @@ def test_expired_days(spark):
     assert end("2026-07-03T00:00:00.000Z") == ["logs_20260701", "logs_20260702"]
     assert end("2026-07-02T23:59:59.999Z") == ["logs_20260701"]
     assert end("2026-07-01T23:59:59.999Z") == []
-    assert len(end("2026-09-01T00:00:00Z")) == 32
+    assert len(end("2026-09-01T00:00:00Z")) == 40
+    assert names(r.expired_partitions(stored, "2026-09-01T00:00:00Z", 2)) == ["logs_20260701", "logs_20260702"]
     oldest = r.oldest_expired_partition(stored, "2026-09-01T00:00:00Z")
     assert names(oldest) == ["logs_20260701"]
 
@@ -170,8 +171,8 @@ def test_retained(spark):
     assert numbers(r.retained(logs, now, kept_days, days(spark, "2026-08-02T00:00:00Z", 3))) == [4, 5, 6]
 
 
-def report(spark, stored, logs):
-    return r.retention_report(stored, logs, "2026-08-31T12:00:00Z", 30).first().asDict()
+def report(spark, stored, logs, **limits):
+    return r.retention_report(stored, logs, "2026-08-31T12:00:00Z", 30, **limits).first().asDict()
 
 
 def test_report(spark):
@@ -193,7 +194,11 @@ def test_report(spark):
     assert (some["created"], some["dropped"], some["drop_calls"]) == (3, 31, 32)
     assert (some["deleted"], some["delete_calls"], some["delete_budget_reached"]) == (2000, 3, False)
     assert not some["drop_budget_reached"]
-    full = report(spark, days(spark, "2026-06-01T00:00:00Z", 40), many(12345))
+    whole = report(spark, days(spark, "2026-06-01T00:00:00Z", 40), many(12345))
+    assert (whole["dropped"], whole["drop_calls"], whole["drop_budget_reached"]) == (40, 41, False)
+    assert (whole["deleted"], whole["delete_calls"], whole["delete_budget_reached"]) == (12345, 13, False)
+    budgets = {"drop_limit": 32, "delete_limit": 10000}
+    full = report(spark, days(spark, "2026-06-01T00:00:00Z", 40), many(12345), **budgets)
     assert (full["dropped"], full["drop_calls"], full["drop_budget_reached"]) == (32, 32, True)
     assert (full["deleted"], full["delete_calls"], full["delete_budget_reached"]) == (10000, 10, True)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import entry, log_frame, plan_text
-from tallylog.operators import audit
+from tallylog.operators import audit, retention
 from tallylog.operators.metrics import storage_summary
 from tallylog.operators.rollup import minute_counts, verify_rollup
 from tallylog.plans.ingest import ingest
@@ -12,9 +12,12 @@ from tallylog.plans.maintenance import (
     compact_commits,
     delete_rows,
     drop_expired_days,
+    ensure_days,
+    listed_days,
     run_upkeep,
     stored_partitions,
 )
+from tallylog.schema import LOG_SCHEMA
 from tallylog.sources import tables as t
 from tallylog.sources.batches import read_log_batches, zip_arrays
 from tallylog.streaming.ingest import drain, stream_ingest, stream_minute_counts
@@ -314,35 +317,89 @@ def test_deleting_rows_of_committed_tables(spark, tmp_path):
     assert ids(spark, out) == [4, 5]
 
 
-def test_upkeep_run(spark, tmp_path):
-    from tallylog.operators.retention import partition_plan
+NOW = "2026-08-10T12:00:00Z"
 
-    path = str(tmp_path / "logs")
-    at = lambda n, when: (n, when, "info", "s", "m", {})
-    t.append_logs(
-        log_frame(
-            spark,
-            [
-                at(1, "2026-07-01T00:00:00Z"),  # a default row, expired
-                at(2, "2026-08-01T23:00:00Z"),  # an expired partition
-                at(3, "2026-08-02T11:59:59Z"),  # the cutoff's day, a partition: stays whole
-                at(4, "2026-08-02T12:00:01Z"),
-                at(5, "2026-08-09T00:00:00Z"),
-                at(6, "2027-01-01T00:00:00Z"),  # a default row of the future
-            ],
-        ),
-        path,
-    )
-    now = "2026-08-10T12:00:00Z"
-    listed = partition_plan(spark, now, 9)
-    first = run_upkeep(spark, path, now, 8, listed).first()
-    left = lambda: sorted(int(r["id"][-3:]) for r in t.scan_logs(spark, path).collect())
-    assert left() == [3, 4, 5, 6]
-    assert (first["dropped"], first["deleted"], first["created"]) == (1, 1, 0)
-    without = listed.where("name <> 'logs_20260802'")
-    again = run_upkeep(spark, path, now, 8, without).first()
-    assert left() == [4, 5, 6]
-    assert again["deleted"] == 1
+
+def at(n, when):
+    return (n, when, "info", "s", "m", {})
+
+
+def day_list(spark, first, count):
+    return retention._days(spark, retention._day_number(first), count)
+
+
+def test_upkeep_of_committed_tables(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    made = [
+        at(1, "2026-07-01T00:00:00Z"),  # a default row, expired
+        at(2, "2026-08-01T23:00:00Z"),  # an expired partition
+        at(3, "2026-08-02T11:59:59Z"),  # the cutoff's day
+        at(4, "2026-08-02T12:00:01Z"),
+        at(5, "2026-08-09T00:00:00Z"),
+        at(6, "2026-08-12T00:00:00Z"),  # moves into a day that the run makes
+        at(7, "2027-01-01T00:00:00Z"),  # a default row of the future
+    ]
+    write(log_frame(spark, made[::2]), 0, out)
+    write(log_frame(spark, made[1::2]), 1, out)
+    dead = log_frame(spark, [at(50, "2026-07-03T00:00:00Z"), at(51, "2026-08-02T13:00:00Z")])
+    t._write_part(dead, out.logs, "batch", 2)
+    assert ensure_days(spark, out, day_list(spark, "2026-08-01T00:00:00Z", 9))[1] == 4
+    first = run_upkeep(spark, out, NOW, 8, expire_rollup=True).first()
+    assert ids(spark, out) == [3, 4, 5, 6, 7]
+    # the dead attempt's day goes, too, but its row never counted
+    assert tuple(first) == ("completed", 3, 1, 1, 1, False)
+    agree = lambda: verify_rollup(
+        t.scan_logs(spark, out.logs, out.commits), t.scan_rollup(spark, out.rollup, out.commits)
+    ).isEmpty()
+    assert agree()
+    # without the cutoff's day in the list its rows are cut at the instant
+    left = listed_days(spark, out).where("name <> 'logs_20260802'").collect()
+    spark.createDataFrame(left).write.mode("overwrite").parquet(out.days)
+    again = run_upkeep(spark, out, NOW, 8, expire_rollup=True).first()
+    assert (again["created"], again["deleted"], again["dropped"]) == (0, 1, 0)
+    assert ids(spark, out) == [4, 5, 6, 7] and agree()
+    assert spark.read.parquet(out.logs).where("writer = 'batch' and batch_id = 2").isEmpty()
+    assert write(log_frame(spark, [at(8, "2026-08-09T01:00:00Z")]), 2, out)
+    assert ids(spark, out) == [4, 5, 6, 7, 8] and agree()
+    quiet = run_upkeep(spark, out, NOW, 8, expire_rollup=True).first()
+    assert tuple(quiet) == ("completed", 0, 0, 0, 0, False)
+
+
+def test_upkeep_has_no_budget_of_its_own(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    base = log_frame(spark, [at(1, "2026-01-05T00:00:00Z")])
+    many = base.drop("id").crossJoin(spark.range(12000).select(F.col("id").cast("string").alias("id")))
+    write(many.select(base.columns), 0, out)
+    write(log_frame(spark, [at(d, f"2026-02-{d:02d}T00:00:00Z") for d in range(1, 29)]), 1, out)
+    write(log_frame(spark, [at(40 + d, f"2026-03-{d:02d}T00:00:00Z") for d in range(1, 21)]), 2, out)
+    ensure_days(spark, out, day_list(spark, "2026-02-01T00:00:00Z", 48))
+    some = run_upkeep(spark, out, NOW, 30, max_days=3).first()
+    assert (some["dropped"], some["deleted"], some["drop_budget_reached"]) == (3, 12000, True)
+    rest = run_upkeep(spark, out, NOW, 30).first()
+    assert (rest["dropped"], rest["deleted"], rest["drop_budget_reached"]) == (45, 0, False)
+
+
+def test_a_stopped_replacement_is_finished(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    write(log_frame(spark, [at(1, "2026-08-02T01:00:00Z"), at(2, "2026-08-02T13:00:00Z")]), 0, out)
+    ensure_days(spark, out, day_list(spark, "2026-08-03T00:00:00Z", 10))
+    kept = t.scan_tagged(spark, out.logs, LOG_SCHEMA, out.commits).where("hour(timestamp) > 12")
+    aside = f"{out.logs}/_replace"
+    kept.write.partitionBy("event_date", "writer", "batch_id").parquet(aside)
+    assert ids(spark, out) == [1, 2]  # readers do not see what lies aside
+    run_upkeep(spark, out, NOW, 8)
+    assert ids(spark, out) == [2] and not (tmp_path / "t" / "logs" / "_replace").exists()
+
+
+def test_a_retry_shows_its_own_rows_only(spark, tmp_path):
+    out = t.LogTables(str(tmp_path / "t"))
+    first = log_frame(spark, rows(1, range(5)) + rows(2, range(5, 9)))
+    t._write_part(first, out.logs, "a b=c", 0)
+    t._write_part(minute_counts(first), out.rollup, "a b=c", 0)
+    assert write(log_frame(spark, rows(1, [1, 2])), 0, out, "a b=c")
+    assert ids(spark, out) == [1, 2]
+    logs = t.scan_logs(spark, out.logs, out.commits)
+    assert verify_rollup(logs, t.scan_rollup(spark, out.rollup, out.commits)).isEmpty()
 
 
 def test_audits(spark):

@@ -188,3 +188,19 @@ def test_inconsistent_accounts_are_found(spark):
     )
     found = {r["batch_id"]: r["consistent"] for r in v.check_accounting(df).collect()}
     assert found == {"good": True, "sum": False, "twice": False, "range": False}
+
+
+def test_only_one_json_value_is_a_body(spark):
+    good = '{"logs":[{"a":1}]}'
+    refused = [
+        "", " ", "5", "null", '"x"', "{}", '{"logs":null}', '{"logs":{}}', f"[{good}]", f"{good} x", good + good,
+        f"{good},", f"{good}]", f"{good}] rest", f'{good},"x":1', f'null,"body":{good}', f'[1],"body":{good},"z":0',
+        "1],[1", '{"logs":[1],"l\\u006fgs":{}}', '{"logs":[1],"logs":7}', "{'logs':[]}", '{"logs":[NaN]}',
+    ]
+    taken = [(good, 1), (f" {good}\t", 1), ('{"logs":[]}', 0), ('{"logs":{},"logs":[3]}', 1), ('{"logs":[1,2],"l\\u006fgs":[3]}', 1)]
+    bodies = [*((b, None) for b in refused), *taken]
+    df = spark.createDataFrame([(str(i), b) for i, (b, _) in enumerate(bodies)], "batch_id string, body string")
+    got = {r["batch_id"]: r["logs"] for r in parse_batches(df).collect()}
+    for i, (body, n) in enumerate(bodies):
+        found = got[str(i)]
+        assert (None if found is None else len(found)) == n, body
