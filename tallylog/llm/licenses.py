@@ -1,8 +1,9 @@
 """License notices in documents, by ordered signature rules.
 
 A text is reduced to its words in lower case with one space between. A rule is a signature (a
-regular expression over these words), a keyword, a label and a priority. Rules are gated twice: a
-text without any keyword is passed over, and a rule runs only on texts with its keyword. What the
+regular expression over these words), two keywords, a label and a priority. Rules are gated twice: a text
+without the words that some rule needs is passed over before anything is made of it, and a rule
+runs only on texts with both its keywords. What the
 rules find are intervals of the text. They are put in order of place, longest first, then by
 priority; an interval that lies within an earlier one is suppressed, so "cc by nc 4 0" is not also
 a "cc by". The labels of what remains, and the base labels, are the document's.
@@ -110,12 +111,14 @@ SENTENCE, VERSIONED, PLAIN, LOOSE = 0.95, 0.9, 0.8, 0.6
 
 @dataclass(frozen=True)
 class Rule:
-    """`signature` matches whole words; `keyword` is text without which it cannot match."""
+    """`signature` matches whole words; `keyword` at the start of a word and `form` anywhere are
+    text without which it cannot match."""
 
     label: str
     signature: str
     keyword: str
     weight: float
+    form: str = ""
 
 
 def signature_rules() -> list[Rule]:
@@ -127,10 +130,10 @@ def signature_rules() -> list[Rule]:
             tail = rf"(?: {LICENSE})?(?: version| v)? ?{number}(?: or (?:any )?later(?: version)?)?"
             rules.append(Rule(f"{label}-{version}", rf"{name}{tail}", keyword, VERSIONED))
         rules += [
-            Rule(label, rf"{name} (?:public )?{LICENSE}", keyword, PLAIN),
-            Rule(label, rf"spdx {LICENSE} identifier {name}", keyword, PLAIN),
-            Rule(label, rf"(?:released|licen[cs]ed|distributed|available|published)(?: \S+)? under (?:the |an )?{name}", keyword, LOOSE),
-            Rule(label, rf"under the terms of (?:the |an )?{name}", keyword, LOOSE),
+            Rule(label, rf"{name} (?:public )?{LICENSE}", keyword, PLAIN, "licen"),
+            Rule(label, rf"spdx {LICENSE} identifier {name}", keyword, PLAIN, "spdx"),
+            Rule(label, rf"(?:released|licen[cs]ed|distributed|available|published)(?: \S+)? under (?:the |an )?{name}", keyword, LOOSE, "under"),
+            Rule(label, rf"under the terms of (?:the |an )?{name}", keyword, LOOSE, "under"),
         ]
     for label, short, full in COMMONS:
         for version in COMMONS_VERSIONS.split():
@@ -143,50 +146,69 @@ def signature_rules() -> list[Rule]:
 
 
 RULES = signature_rules()
-#: A text without any of these at the start of a word matches no rule and no base phrase.
-GATE = "(?i)(?<= )(?:" + "|".join(sorted({r.keyword for r in RULES})) + ")"
+
+
+def _any_of(words: set[str]) -> str:
+    """A pattern that matches any of the words, shared beginnings being tried once. A space
+    matches whatever stands between two words."""
+    if "" in words:
+        return ""
+    by_first: dict[str, set[str]] = {}
+    for word in words:
+        by_first.setdefault(word[0], set()).add(word[1:])
+    ways = [("[^a-z0-9]+" if c == " " else c) + _any_of(rest) for c, rest in sorted(by_first.items())]
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+
+#: Forms (each the beginning of a word in its signatures), and keywords of rules without a form.
+#: A text in lower case without any of these matches no rule and no base phrase.
+GATE = "(?<![a-z0-9])" + _any_of({r.form or r.keyword for r in RULES})
 
 
 def _phrase(words: str) -> str:
     return f"(?<= )(?:{words})(?= )"
 
 
-def _word_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, key and the words of each document with a space around each; `low` is the same in
-    lower case where the gate lets the text through, and null elsewhere."""
-    words = F.trim(F.regexp_replace(whole_text(), BETWEEN, " "))
-    spaced = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.concat(F.lit(" "), words, F.lit(" ")).alias("words")
-    )
-    low = F.when(F.col("words").rlike(GATE), F.translate("words", UPPER, LOWER))
-    return computed_once(computed_once(spaced).withColumn("low", low))
+def _gated(text: Column) -> Column:
+    return F.lower(text).rlike(GATE)  # beyond A-Z, lower can only let more through
+
+
+def _spaced(text: Column) -> Column:
+    """The words of a text in lower case with a space around each."""
+    words = F.trim(F.regexp_replace(text, BETWEEN, " "))
+    return F.translate(F.concat(F.lit(" "), words, F.lit(" ")), UPPER, LOWER)
 
 
 def detections(docs: DataFrame) -> DataFrame:
     """What the rules find and containment does not suppress: doc_id, the row's key, label, weight,
     found (the words), start and end (characters in the spaced words)."""
-    return _detect(_word_rows(docs))
-
-
-def _detect(rows: DataFrame) -> DataFrame:
+    text = whole_text()
+    gated = docs.where(_gated(text)).select(
+        F.col("doc_id").cast("long").alias("doc_id"), *row_key(), _spaced(text).alias("low")
+    )
+    gated = computed_once(gated).withColumn("row", F.monotonically_increasing_id())
+    by_keyword: dict[str, list[Column]] = {}
+    for rank, r in enumerate(RULES):
+        rule = F.struct(
+            F.lit(r.label).alias("label"),
+            F.lit(_phrase(r.signature)).alias("signature"),
+            F.lit(" " + r.form if r.form else "").alias("form"),
+            F.lit(r.weight).alias("weight"),
+            F.lit(rank).alias("rank"),
+        )
+        by_keyword.setdefault(r.keyword, []).append(rule)
     table = F.array(
-        *[
-            F.struct(
-                F.lit(r.label).alias("label"),
-                F.lit(_phrase(r.signature)).alias("signature"),
-                F.lit(" " + r.keyword).alias("keyword"),
-                F.lit(r.weight).alias("weight"),
-                F.lit(rank).alias("rank"),
-            )
-            for rank, r in enumerate(RULES)
-        ]
+        *[F.struct(F.lit(" " + k).alias("keyword"), F.array(*v).alias("rules")) for k, v in by_keyword.items()]
     )
     low = F.col("low")
-    gated = rows.where(low.isNotNull()).withColumn("row", F.monotonically_increasing_id())
-    runs = gated.select(
-        "doc_id", "k_id", "k_th", "row", "low",
-        F.explode(F.filter(table, lambda r: F.instr(low, r["keyword"]) > 0)).alias("rule"),
-    )
+    active = F.flatten(
+        F.transform(
+            F.filter(table, lambda g: low.contains(g["keyword"])),
+            lambda g: F.filter(g["rules"], lambda r: low.contains(r["form"])),
+        )
+    )
+    with_rules = computed_once(gated.withColumn("active", active))
+    runs = with_rules.select("doc_id", "k_id", "k_th", "row", "low", F.explode("active").alias("rule"))
     matched = computed_once(
         runs.select(
             "doc_id", "k_id", "k_th", "row", "rule",
@@ -212,13 +234,19 @@ def _detect(rows: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels and score (how sure the surest remaining rule is, 0 without one)."""
-    rows = _word_rows(docs)
-    low = F.coalesce("low", F.lit(" "))
-    inner = F.length("words") - 2
-    n_words = F.when(inner <= 0, 0).otherwise(inner - F.length(F.replace(F.trim("words"), F.lit(" "), F.lit(""))) + 1)
+    text = whole_text()
+    parts = F.split(text, BETWEEN)
+    first, last = F.get(parts, F.lit(0)) == "", F.element_at(parts, -1) == ""
+    n_words = F.size(parts) - first.cast("int") - (last & (F.size(parts) > 1)).cast("int")
+    low = F.when(_gated(text), _spaced(text)).otherwise(" ")
+    rows = computed_once(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), *row_key(), n_words.cast("long").alias("n_words"), low.alias("low")
+        )
+    )
     found = rows.select(
-        "doc_id", "k_id", "k_th", n_words.cast("long").alias("n_words"),
-        *[F.split(low, _phrase(phrase)).alias(f"_{label}") for phrase, label in BASE],
+        "doc_id", "k_id", "k_th", "n_words",
+        *[F.split("low", _phrase(phrase)).alias(f"_{label}") for phrase, label in BASE],
     )
     found = computed_once(found)
 
@@ -244,7 +272,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.sort_array(base_labels).alias("_base"),
     )
     # one row per text; labels are no more than the rules have
-    per_text = _detect(rows).groupBy("k_id", "k_th").agg(
+    per_text = detections(docs).groupBy("k_id", "k_th").agg(
         F.collect_set("label").alias("_labels"), F.max("weight").alias("_weight")
     )
     labels = F.array_union("_base", F.coalesce("_labels", F.array().cast("array<string>")))
