@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallylog.fixed import REASON
 from tallylog.functions.timestamps import timestamp_text
 from tallylog.session import configure
 from tallylog.sources import adapters
@@ -87,29 +88,7 @@ WITH_LOGS = f"WITH {LOGS} "
 PUBLIC = f"id, {canonical('timestamp')} AS timestamp, level, service, message, attributes"
 
 # Entry validity as built by events_as_bodies: every seventh entry is broken in turn.
-REASONS = [
-    "log entry must be a non-null object",
-    "timestamp is required",
-    "timestamp must be a string",
-    "timestamp must be a timezone-bearing ISO 8601 date-time",
-    "timestamp contains an invalid calendar date or time",
-    "timestamp must not be more than five minutes in the future",
-    "level is required",
-    "level must be a string",
-    "level must be one of debug, info, warn, or error",
-    "service is required",
-    "service must be a string",
-    "service must be non-empty",
-    "service must not contain U+0000",
-    "message is required",
-    "message must be a string",
-    "message must be non-empty",
-    "message must not contain U+0000",
-    "attributes must be a non-null object",
-    "attribute keys must not contain U+0000",
-    "attribute values must be strings, finite numbers, or booleans",
-    "string attribute values must not contain U+0000",
-]
+REASONS = list(REASON.values())
 
 ENTRIES = (
     "entries AS (SELECT *, CAST(floor(event_id / 50) AS BIGINT) AS batch, "

@@ -135,3 +135,9 @@ def normalize_attributes(
 def parse_attributes(text: Column) -> Column:
     """A stored attributes text as ``map<string,variant>``."""
     return F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+
+
+def merge_attributes(base: Column, patch: Column) -> Column:
+    """The pairs of two attribute maps; where both have a key, the second counts. Null with null."""
+    only = F.map_filter(base, lambda key, _: ~F.array_contains(F.map_keys(patch), key))
+    return F.map_concat(only, patch)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,6 +158,16 @@ def throughput(requests: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: What a request came back with, and the column that counts it.
+OUTCOME_COUNTS = {
+    _SUCCESS: "successes",
+    "http": "http_failures",
+    "timeout": "timeouts",
+    "transport": "transport_failures",
+    "invalid-response": "invalid_responses",
+}
+
+
 def outcome_accounting(requests: DataFrame, keys: list[str]) -> DataFrame:
     """Requests by outcome, rows by what is known of them, and whether the identities hold.
 
@@ -170,11 +182,7 @@ def outcome_accounting(requests: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("scheduled"),
         F.count_if(started).alias("started"),
         F.count_if(completed).alias("completed"),
-        F.count_if(success).alias("successes"),
-        F.count_if(outcome == "http").alias("http_failures"),
-        F.count_if(outcome == "timeout").alias("timeouts"),
-        F.count_if(outcome == "transport").alias("transport_failures"),
-        F.count_if(outcome == "invalid-response").alias("invalid_responses"),
+        *(F.count_if(outcome == kind).alias(name) for kind, name in OUTCOME_COUNTS.items()),
         total(F.lit(True), rows).alias("rows_scheduled"),
         total(started, rows).alias("rows_attempted"),
         total(~started, rows).alias("rows_not_attempted"),
@@ -183,8 +191,7 @@ def outcome_accounting(requests: DataFrame, keys: list[str]) -> DataFrame:
         total(started & ~success, rows).alias("rows_indeterminate"),
     )
     c = F.col
-    kinds = ["successes", "http_failures", "timeouts", "transport_failures", "invalid_responses"]
-    by_kind = sum((c(k) for k in kinds), F.lit(0))
+    by_kind = sum((c(k) for k in OUTCOME_COUNTS.values()), F.lit(0))
     return counted.select(
         "*",
         (c("scheduled") - c("started")).alias("not_started"),
@@ -223,7 +230,10 @@ def first_probe(requests: DataFrame) -> DataFrame:
 
 
 def tick_accounting(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """Scheduled ticks against started, missed, completed and unresolved ones, with their lag."""
+    """Scheduled ticks against started, missed, completed and unresolved ones, with their lag.
+
+    Completed ticks are counted by ``outcome``, too; three identities have to hold.
+    """
     started = F.col("started_ms").isNotNull()
     completed = F.col("completed_ms").isNotNull()
     counted = ticks.groupBy(*keys).agg(
@@ -233,7 +243,12 @@ def tick_accounting(ticks: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(started & completed).alias("completed"),
         F.count_if(started & ~completed).alias("unresolved"),
         F.count_if(~started & completed).alias("_stray"),
+        *(
+            F.count_if(completed & (F.col("outcome") == kind)).alias(name)
+            for kind, name in OUTCOME_COUNTS.items()
+        ),
     )
+    by_outcome = sum((F.col(name) for name in OUTCOME_COUNTS.values()), F.lit(0))
     counted = counted.select(
         *(c for c in counted.columns if c != "_stray"),
         (F.col("scheduled") == F.col("started") + F.col("missed")).alias("schedule_holds"),
@@ -241,6 +256,7 @@ def tick_accounting(ticks: DataFrame, keys: list[str]) -> DataFrame:
             (F.col("started") == F.col("completed") + F.col("unresolved"))
             & (F.col("_stray") == 0)
         ).alias("terminal_holds"),
+        (F.col("completed") == by_outcome).alias("outcomes_hold"),
     )
     lag = latency_summary(ticks, "lag_ms", keys).select(
         *keys, *(F.col(f"p{p}").alias(f"lag_p{p}") for p in PERCENTILES)
@@ -320,6 +336,30 @@ def sample_intervals(samples: DataFrame, key: str = "run") -> DataFrame:
 # --- verdicts and comparisons -----------------------------------------------
 
 
+def ingestion_complete() -> Column:
+    """Whether, by the counters of :func:`outcome_accounting`, every row was sent and confirmed.
+    HTTP failures show in the rows: theirs are indeterminate."""
+    none = (
+        "not_started", "unresolved", "transport_failures", "timeouts", "invalid_responses",
+        "rows_rejected", "rows_indeterminate", "rows_not_attempted",
+    )
+    return functools.reduce(
+        lambda a, b: a & b,
+        (F.col(c) == 0 for c in none),
+        F.col("rows_accepted") == F.col("rows_scheduled"),
+    )
+
+
+def aggregation_complete() -> Column:
+    """Whether, by the counters of :func:`tick_accounting`, every tick ran and succeeded."""
+    failures = [name for kind, name in OUTCOME_COUNTS.items() if kind != _SUCCESS]
+    return functools.reduce(
+        lambda a, b: a & b,
+        (F.col(c) == 0 for c in ("missed", "unresolved", *failures)),
+        (F.col("scheduled") > 0) & (F.col("successes") == F.col("scheduled")),
+    )
+
+
 def assess_targets(metrics: DataFrame) -> DataFrame:
     """One row per target: value, threshold and whether it is met.
 

@@ -262,9 +262,15 @@ def list_logs(
     limit: int = DEFAULT_LIMIT,
     cursor: str | None = None,
 ) -> DataFrame:
-    """One page ``(logs, next_cursor)``, continued from ``cursor`` when given."""
+    """One page ``(logs, next_cursor)``, continued from ``cursor`` when given.
+
+    Where the rows carry their day and the page has both bounds, days are read only as far back
+    as the page needs.
+    """
     position = decode_cursor(cursor, filters) if cursor is not None else None
-    return format_page(find_page(logs, filters, limit, position), filters, limit)
+    bounded = filters.since is not None and (filters.until is not None or position is not None)
+    read = newest_page if bounded and "event_date" in logs.columns else find_page
+    return format_page(read(logs, filters, limit, position), filters, limit)
 
 
 def page_json(formatted: DataFrame) -> DataFrame:

@@ -197,6 +197,9 @@ def events_as_ticks(events: DataFrame) -> DataFrame:
         due.alias("deadline_ms"),
         started.alias("started_ms"),
         F.when(F.col("event_type") != "signup", started + 1).alias("completed_ms"),
+        F.when(
+            ~F.col("event_type").isin("signup", "view"), _lookup("event_type", OUTCOME_BY_EVENT)
+        ).alias("outcome"),
         F.col("value").alias("lag_ms"),
     )
 

@@ -167,6 +167,8 @@ def write_batch(
         require_unique(df, LOG_KEYS)
         if committed_positions(spark, commits_path):
             stored = scan_logs(spark, logs_path, commits_path)
+            days = [r["event_date"] for r in df.select("event_date").distinct().collect()]
+            stored = stored.where(F.col("event_date").isin(days))  # reads the batch's days only
             if not already_stored(df, stored).isEmpty():
                 raise ValueError("a key of the batch is stored already")
     for path in (logs_path, rollup_path):

@@ -143,10 +143,38 @@ def test_resources(spark):
 
 
 def test_ticks(spark):
-    rows = [("r", 0.0, 1.0, 5.0, 1.0), ("r", 1000.0, None, None, 3.0), ("r", 2000.0, 2002.0, None, 2.0)]
-    df = spark.createDataFrame(rows, "run string, deadline_ms double, started_ms double, completed_ms double, lag_ms double")
-    got = m.tick_accounting(df, ["run"]).first()
-    assert tuple(got) == ("r", 3, 2, 1, 1, 1, True, True, 2.0, 3.0, 3.0)
+    rows = [
+        ("r", 1.0, 5.0, "success", 1.0),
+        ("r", None, None, None, 3.0),
+        ("r", 2.0, None, None, 2.0),
+        ("r", 3.0, 4.0, "http", 2.0),
+        ("all", 1.0, 2.0, "success", 1.0),
+        ("odd", 1.0, 2.0, "mystery", 1.0),
+    ]
+    df = spark.createDataFrame(rows, "run string, started_ms double, completed_ms double, outcome string, lag_ms double")
+    counted = m.tick_accounting(df, ["run"])
+    got = {r["run"]: r for r in counted.withColumn("complete", m.aggregation_complete()).collect()}
+    r = got["r"]
+    assert [r[c] for c in ("scheduled", "started", "missed", "completed", "unresolved")] == [4, 3, 1, 2, 1]
+    assert [r[c] for c in m.OUTCOME_COUNTS.values()] == [1, 1, 0, 0, 0]
+    assert r["schedule_holds"] and r["terminal_holds"] and r["outcomes_hold"] and not r["complete"]
+    assert (r["lag_p50"], r["lag_p99"]) == (2.0, 3.0)
+    assert got["all"]["complete"] and got["all"]["outcomes_hold"]
+    assert not got["odd"]["outcomes_hold"] and not got["odd"]["complete"]
+
+
+def test_complete_ingestion(spark):
+    names = "run string, outcome string, rows long, accepted long, rejected long, started_ms double"
+    rows = [
+        ("whole", "success", 5, 5, 0, 1.0),
+        ("some", "success", 5, 4, 1, 1.0),
+        ("http", "http", 5, None, None, 1.0),
+        ("unsent", None, 5, None, None, None),
+        ("lost", None, 5, None, None, 1.0),
+    ]
+    counted = m.outcome_accounting(spark.createDataFrame(rows, names), ["run"])
+    got = {r["run"]: r["complete"] for r in counted.withColumn("complete", m.ingestion_complete()).collect()}
+    assert got == {"whole": True, "some": False, "http": False, "unsent": False, "lost": False}
 
 
 def test_reconcile_and_compare(spark):

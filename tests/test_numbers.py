@@ -87,3 +87,12 @@ def test_strings_and_booleans(spark):
         "地域": "שלום",
         "n": "3",
     }
+
+
+def test_merged_attributes(spark):
+    from tallylog.functions.attributes import merge_attributes
+
+    rows = [({"a": "1", "b": "2"}, {"b": "3", "c": "4"}), ({}, {"x": "1"}), ({"x": "1"}, {}), (None, {"x": "1"})]
+    df = spark.createDataFrame(rows, "base map<string,string>, patch map<string,string>")
+    got = [r[0] for r in df.select(merge_attributes(F.col("base"), F.col("patch"))).collect()]
+    assert got == [{"a": "1", "b": "3", "c": "4"}, {"x": "1"}, {"x": "1"}, None]
