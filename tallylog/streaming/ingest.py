@@ -38,13 +38,15 @@ def drop_replays(bodies: DataFrame, within: str) -> DataFrame:
     """Leave out a body that came before, byte for byte, within the given time.
 
     Spark reads a file once, but the same file may be delivered again under another name. Bodies
-    carry no key, so this also drops a batch that was meant to be sent twice.
+    carry no key, so this also drops a batch that was meant to be sent twice. What is left is named
+    by its digest in ``batch_id``: it is shuffled on the way, and a place in a shuffle is another
+    one when a lost executor's part is made again.
     """
     return (
         bodies.withWatermark("received_at", within)
-        .withColumn("_digest", F.sha2("body", 256))
-        .dropDuplicatesWithinWatermark(["_digest"])
-        .drop("_digest")
+        .withColumn("batch_id", F.sha2("body", 256))
+        .dropDuplicatesWithinWatermark(["batch_id"])
+        .drop("file")
     )
 
 
@@ -80,7 +82,8 @@ def stream_ingest(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         source = _query_id(batch.sparkSession, checkpoint)
-        judged = judge(parse_batches(numbered_bodies(batch)), F.col("received_at"))
+        named = batch if "batch_id" in batch.columns else numbered_bodies(batch)
+        judged = judge(parse_batches(named), F.col("received_at"))
         store_judged(judged, batch_id, tables, source)
 
     writer = bodies.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
@@ -94,11 +97,16 @@ def drain(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def stream_minute_counts(logs: DataFrame) -> DataFrame:
-    """Minute counts of a stream of log rows, for update mode; no watermark, so no row is late.
+def stream_minute_counts(logs: DataFrame, late_after: str | None = None) -> DataFrame:
+    """Minute counts of a stream of log rows, for update mode.
 
-    The state keeps every key for good, as the stored counts do. ``stream_ingest`` needs no state:
-    it appends each batch's own counts.
+    With ``late_after`` (say "1 day") a minute is forgotten once rows that much later have come,
+    and rows behind that are left out, so the state stays bounded. Without it no row is late and
+    the state keeps every key, as the stored counts do. ``stream_ingest`` needs no state: it
+    appends each batch's own counts.
     """
-    minute = F.window("timestamp", "1 minute")["start"].alias("bucket_start")
-    return logs.groupBy(minute, "service", "level").agg(F.count("*").alias("count"))
+    if late_after is not None:
+        logs = logs.withWatermark("timestamp", late_after)
+    minute = F.window("timestamp", "1 minute")
+    counts = logs.groupBy(minute, "service", "level").agg(F.count("*").alias("count"))
+    return counts.select(F.col("window.start").alias("bucket_start"), "service", "level", "count")

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -279,6 +280,48 @@ def test_stateful_minute_counts(spark, tmp_path):
     assert got.count() == minute_counts(logs).count()
 
 
+def test_replays_are_named_by_their_bodies(spark, tmp_path):
+    from tallylog.streaming.ingest import drop_replays, read_body_stream
+
+    source = body_files(tmp_path / "in", copies=2)
+    kept = drop_replays(read_body_stream(spark, source), "1 hour")
+    seen = []
+    query = (
+        kept.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect()))
+        .option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    drain(query)
+    digest = lambda body: hashlib.sha256(body.encode()).hexdigest()
+    assert seen and all(r["batch_id"] == digest(r["body"]) for r in seen)
+    assert len({r["batch_id"] for r in seen}) == len(seen)
+
+
+def test_late_minutes_are_left_out(spark, tmp_path):
+    source = tmp_path / "in"
+    stream = lambda: spark.readStream.schema("timestamp timestamp, service string, level string").parquet(str(source))
+    seen = []
+
+    def run():
+        query = (
+            stream_minute_counts(stream(), "1 hour")
+            .writeStream.outputMode("update")
+            .foreachBatch(lambda df, _: seen.extend(df.collect()))
+            .option("checkpointLocation", str(tmp_path / "c"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        drain(query)
+
+    add = lambda made: log_frame(spark, made).select("timestamp", "service", "level").write.mode("append").parquet(str(source))
+    add(rows(2, range(3)))
+    run()
+    add(rows(1, range(5)))  # a day late
+    run()
+    assert sum(r["count"] for r in seen) == 3
+
+
 def test_dropping_expired_days(spark, tmp_path):
     path = str(tmp_path / "logs")
     t.append_logs(log_frame(spark, [r for d in range(1, 8) for r in rows(d, [d])]), path)
