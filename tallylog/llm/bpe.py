@@ -28,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,14 +271,14 @@ def _encode_whole(
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of texts; text_hash tells rows that share an id apart. Equal rows (id and text) get
-    a running number in their batch, so that each keeps its own chunks."""
+    """Chunks of texts; text_hash tells rows that share an id apart. It also has the row's place
+    in the input, so that of equal rows (id and text) each keeps its own chunks."""
+    part_id = TaskContext.get().partitionId()
     for number, batch in enumerate(batches):
         for row, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(1))):
             text = text.as_py()
-            # a place in the input: a repeated task may number otherwise, but a row's chunks
-            # are made together, so they always share their name
-            name = f"{hashlib.blake2b(text.encode(), digest_size=12).hexdigest()}-{number}-{row}"
+            # whatever the place, a row's chunks are made together and share their name
+            name = f"{hashlib.blake2b(text.encode(), digest_size=12).hexdigest()}-{part_id}-{number}-{row}"
             cuts = list(cut_chunks(text, chunk))
             for low in range(0, len(cuts), 16):
                 part = cuts[low : low + 16]

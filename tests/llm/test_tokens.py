@@ -56,6 +56,10 @@ def test_encode_and_decode(spark, reference):
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(encoded, RANKS).where("doc_id >= 900").collect()}
     assert back == {900: rows[-5][1].encode(), 901: rows[-4][1].encode()}
     assert bpe.encode(df.where("doc_id < 0"), RANKS, public_tokenizers.PATTERN).collect() == []
+    # equal long rows at equal places of different partitions
+    long = brute.frame(spark, [(1, "some words " * 900)] * 6).repartition(3)
+    again = bpe.encode(long, RANKS, public_tokenizers.PATTERN, chunk=4096).collect()
+    assert [r.n_tokens for r in again] == [len(reference.encode_ordinary("some words " * 900))] * 6
 
 
 def test_ids_are_the_library_tokenizers():
