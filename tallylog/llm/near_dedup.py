@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tallylog.llm.components import connected
 from tallylog.llm.repeats import keyed, own_id
-from tallylog.llm.shared import cut, text_slices
+from tallylog.llm.shared import cut, split_join, text_slices
 from tallylog.llm.words import distinct_pairs, mix, split_words
 
 SHINGLE_WORDS = 5
@@ -61,8 +61,8 @@ def least_agreement(percent: int, tokens: int = TOKENS) -> int:
 
 
 def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """k_id, k_th, n_shingles, set_id (16 bytes) and tokens (TOKENS longs) of keyed rows; set_id
-    and tokens are null for empty sets."""
+    """k_id, k_th, n_shingles, set_id (16 bytes), tokens (8 bytes for each of TOKENS) and sketch (the
+    last byte of each) of keyed rows; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,25 +83,24 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
                 spread = np.zeros(high - low, np.int64)
                 spread[full] = np.arange(len(full))
                 take = pa.array(spread, mask=empty)
-                token_lists = pa.FixedSizeListArray.from_arrays(pa.array(tokens.ravel().view(np.int64)), TOKENS)
-                id_bytes = pa.array([x.tobytes() for x in ids], pa.binary())
+                wide = tokens.astype(">u8").view(np.uint8).reshape(-1, 8 * TOKENS)
+                columns = (ids.view(np.uint8).reshape(-1, 16), wide, wide[:, 7::8])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low),
                         batch.column(1).slice(low, high - low),
                         pa.array(count.astype(np.int64)),
-                        id_bytes.take(take),
-                        token_lists.cast(pa.list_(pa.int64())).take(take),
+                        *(pa.array([x.tobytes() for x in c], pa.binary()).take(take) for c in columns),
                     ],
-                    ["k_id", "k_th", "n_shingles", "set_id", "tokens"],
+                    ["k_id", "k_th", "n_shingles", "set_id", "tokens", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "k_id long, k_th int, n_shingles long, set_id binary, tokens array<long>")
+    return rows.mapInArrow(run, "k_id long, k_th int, n_shingles long, set_id binary, tokens binary, sketch binary")
 
 
 def _node_links(members: DataFrame, agree: int) -> DataFrame:
-    """Links (a, b) of the sets of nodes (node, set_id, tokens): each set with the least of those
-    it is connected with in the node."""
+    """Links (a, b) of the sets of nodes (node, set_id, data): each set with the least of those it
+    is connected with in the node. Tokens are compared by the bytes in `data`."""
 
     def linked(node: np.ndarray, ids: list[bytes], tokens: np.ndarray) -> pa.RecordBatch:
         label = np.arange(len(ids))
@@ -138,9 +137,9 @@ def _node_links(members: DataFrame, agree: int) -> DataFrame:
             # the last node goes on with the next batch
             end = len(node) if last else int(np.searchsorted(node, node[-1]))
             ids = table.column("set_id").slice(0, end).to_pylist()
-            lists = table.column("tokens").combine_chunks().slice(0, end)
+            data = b"".join(table.column("data").slice(0, end).to_pylist())
             if end:
-                yield linked(node[:end], ids, lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, TOKENS))
+                yield linked(node[:end], ids, np.frombuffer(data, np.uint8).reshape(end, -1)[:, :TOKENS])
             held = table.slice(end).to_batches()
             n = len(node) - end
 
@@ -153,35 +152,41 @@ def _node_links(members: DataFrame, agree: int) -> DataFrame:
         if held:
             yield from flush(True)
 
-    ordered = members.select("node", "set_id", "tokens").repartition("node").sortWithinPartitions("node")
+    ordered = members.select("node", "set_id", "data").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the sets (set_id, tokens) which agree in enough tokens."""
+    """Links (a, b) that connect the sets (set_id, tokens, sketch) which agree in enough tokens.
+
+    A member of a node is (node, set_id, data): data is the sketch and the tree's tokens, one for
+    each level, so rows stay short. What shares a node is written to the shared folder, level by
+    level.
+    """
     agree = least_agreement(percent)
-    found = None
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    members = sets.select("set_id", "tokens", tree)
-    members = members.withColumn("node", F.xxhash64("tree", F.get("tokens", F.col("tree"))))
+    token = lambda level: F.substring(F.col("tokens"), 8 * (F.col("tree") + TREES * level) + 1, F.lit(8))
+    data = F.concat("sketch", *[token(level) for level in range(LEVELS)])
+    step = lambda level: F.substring("data", TOKENS + 8 * level + 1, 8)
+    members = sets.select("set_id", "tokens", "sketch", tree).select("set_id", "tree", data.alias("data"))
+    members = members.select(F.xxhash64("tree", step(0)).alias("node"), "set_id", "data")
+    found = None
     for level in range(LEVELS):
         sizes = members.groupBy("node").agg(F.count("*").alias("_n"), F.min("set_id").alias("_pivot")).where("_n > 1")
-        sized = members.join(sizes, "node")
-        last = level == LEVELS - 1
-        small = sized.where(F.col("_n") <= SMALL_NODE)
-        links = _node_links(small, agree)
+        sized = cut(split_join(members, sizes, ["node"]))
+        links = _node_links(sized.where(F.col("_n") <= SMALL_NODE), agree)
         large = sized.where(F.col("_n") > SMALL_NODE)
-        if last:
-            # blocks of the node, with the pivot's tokens in each
-            block = F.xxhash64("node", F.pmod(F.xxhash64("set_id", "node"), F.ceil(F.col("_n") / SMALL_NODE)))
-            blocks = large.withColumn("block", block)
-            pivot = blocks.select("block", F.col("_pivot").alias("set_id")).distinct()
-            guests = pivot.join(sets.select("set_id", "tokens"), "set_id").select(F.col("block").alias("node"), "set_id", "tokens")
-            own = blocks.where(F.col("set_id") != F.col("_pivot")).select(F.col("block").alias("node"), "set_id", "tokens")
-            links = links.unionByName(_node_links(own.unionByName(guests), agree))
+        if level < LEVELS - 1:
+            members = large.select(F.xxhash64("node", step(level + 1)).alias("node"), "set_id", "data")
         else:
-            token = F.get("tokens", F.col("tree") + TREES * (level + 1))
-            members = large.select("set_id", "tokens", "tree", F.xxhash64("node", token).alias("node"))
+            # blocks of the node, with its least set in each
+            number = F.pmod(F.xxhash64("set_id", "node"), F.ceil(F.col("_n") / SMALL_NODE))
+            blocks = large.withColumn("block", F.xxhash64("node", number))
+            own = blocks.where(F.col("set_id") != F.col("_pivot")).select(F.col("block").alias("node"), "set_id", "data")
+            pivots = blocks.where(F.col("set_id") == F.col("_pivot")).select("node", "set_id", "data")
+            places = blocks.select("node", "block").distinct()
+            guests = places.join(pivots, "node").select(F.col("block").alias("node"), "set_id", "data")
+            links = links.unionByName(_node_links(own.unionByName(guests), agree))
         found = links if found is None else found.unionByName(links)
     return found
 
@@ -328,25 +333,34 @@ def _kept() -> Column:
 def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """k_id, k_th, n_shingles and component_id of keyed rows."""
     signed = cut(signatures(rows, words))  # numbers only; read several times below
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(
-        F.first("tokens").alias("tokens"),
-        F.first("n_shingles").alias("n_shingles"),
-        F.min(F.struct("k_id", "k_th")).alias("one"),
-        F.min(own_id()).alias("least_id"),
+    sets = cut(
+        signed.where("set_id is not null").groupBy("set_id").agg(
+            F.first("tokens").alias("tokens"),
+            F.first("sketch").alias("sketch"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.min(F.struct("k_id", "k_th")).alias("one"),
+            F.min(own_id()).alias("least_id"),
+        )
     )
-    found = connected(candidate_links(sets, percent)).withColumnRenamed("node", "set_id")
-    clusters = sets.select("set_id", "n_shingles").join(found, "set_id")
+    named = connected(candidate_links(sets, percent)).withColumnRenamed("node", "set_id")
+    clusters = sets.select("set_id", "n_shingles", "one").join(named, "set_id")
 
     def confirmed(blocks: DataFrame) -> DataFrame:
-        places = blocks.join(sets.select("set_id", "one.*"), "set_id")
-        texts = rows.join(places, ["k_id", "k_th"]).select("block", "set_id", "text")
-        return _confirmed(texts, words, percent)
-
-    labels = connected(confirmed(_blocks(clusters)))
-    rest = cut(_rest_blocks(clusters, labels))
-    if not rest.isEmpty():
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = connected(known.unionByName(confirmed(rest)))
+        texts = rows.join(blocks.select("block", "set_id", "one.*"), ["k_id", "k_th"])
+        return _confirmed(texts.select("block", "set_id", "text"), words, percent)
+
+    sizes = clusters.groupBy("label").agg(F.sum("n_shingles").alias("_total"))
+    if sizes.where(F.col("_total") > CLUSTER_SHINGLES).isEmpty():
+        # a cluster is a block, so its links are the labels
+        links = confirmed(clusters.select("set_id", "one", F.col("label").alias("block")))
+        labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    else:
+        places = sets.select("set_id", "one")
+        labels = connected(confirmed(_blocks(clusters.drop("one")).join(places, "set_id")))
+        rest = cut(_rest_blocks(clusters.drop("one"), labels))
+        if not rest.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = connected(known.unionByName(confirmed(rest.join(places, "set_id"))))
     members = sets.select("set_id", "least_id").join(labels, F.col("set_id") == F.col("node"), "left")
     members = members.select("set_id", "least_id", F.coalesce("label", "set_id").alias("label"))
     names = members.groupBy("label").agg(F.min("least_id").alias("component_id"))

@@ -58,6 +58,21 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for a right side that is an aggregate by these keys.
+
+    Spark would deal the left side out as the aggregate is, and then cannot split the task of a
+    key with very many rows. With rewritten keys both sides are dealt out for the join, and skewed
+    tasks are split. Keys are longs, strings or binary; a null key joins nothing.
+    """
+    kinds = dict(right.dtypes)
+    rewrite = lambda c: F.bitwise_not(c) if kinds[c] == "bigint" else F.hex(c)
+    names = [f"_key{i}" for i in range(len(keys))]
+    one = left.select("*", *[rewrite(c).alias(n) for c, n in zip(keys, names)])
+    other = right.select(*[c for c in right.columns if c not in keys], *[rewrite(c).alias(n) for c, n in zip(keys, names)])
+    return one.join(other, names, how).drop(*names)
+
+
 def row_key(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
     """Columns k_id and k_th that tell rows apart: the id (null has a value of its own) and a
     digest of the text, so that rows which share an id but not a text stay apart."""
