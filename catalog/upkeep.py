@@ -227,6 +227,21 @@ def upkeep_report(spark, sf_dir):
     return maintenance.run_upkeep(spark, out, NOW, RETENTION_DAYS)
 
 
+def compact_live(spark, sf_dir):
+    """Committed tables after a compaction, a batch that came while it ran, and another one."""
+    out = tables.LogTables(fresh_path(spark, "tables"))
+    rows = logs(spark, sf_dir)
+    part = F.minute("timestamp") % 4
+    add = lambda n: tables.write_batch(rows.where(part == n), n, out.logs, out.rollup, out.commits)
+    add(0)
+    add(1)
+    maintenance.compact_tables(spark, out)
+    add(2)
+    maintenance.compact_tables(spark, out, whole=True)
+    add(3)
+    return _days_beside_counts(spark, out)
+
+
 def write_batch_retry(spark, sf_dir):
     """A batch whose first attempt had more days and rows than the one that is committed."""
     out = tables.LogTables(fresh_path(spark, "tables"))
@@ -243,6 +258,7 @@ QUERIES = {
     for f in (
         run_upkeep_committed,
         upkeep_report,
+        compact_live,
         write_batch_retry,
         planned_days,
         route_partition,
@@ -371,6 +387,9 @@ ORACLES = {
         (SELECT count(*) FROM logs WHERE timestamp < {_CUT} AND (CAST(timestamp AS DATE) = {_CUT_DAY}
             OR CAST(timestamp AS DATE) NOT IN (SELECT day FROM plan))) AS deleted,
         FALSE AS drop_budget_reached""",
+    "compact_live": f"""{WITH_LOGS}
+        SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS rows,
+        CAST(count(*) AS BIGINT) AS counted FROM logs GROUP BY 1""",
     "write_batch_retry": f"""{WITH_LOGS}
         SELECT strftime(timestamp, '%Y-%m-%d') AS day, count(*) AS rows,
         CAST(count(*) AS BIGINT) AS counted FROM logs

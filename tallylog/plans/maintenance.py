@@ -17,16 +17,19 @@ from tallylog.operators.retention import (
     upcoming_days,
 )
 from tallylog.operators.rollup import minute_counts
-from tallylog.schema import COMMIT_FIELDS, LOG_KEYS, LOG_SCHEMA
+from tallylog.schema import COMMIT_FIELDS, LOG_KEYS, LOG_SCHEMA, ROLLUP_KEYS, ROLLUP_SCHEMA
 from tallylog.session import configure, materialize, remove_folder
 from tallylog.sources.tables import (
     LogTables,
     clustered,
-    committed_positions,
+    commit_states,
     day_folders,
     file_system,
+    remove_attempt,
     scan_logs,
     scan_tagged,
+    write_commit,
+    write_part,
 )
 
 _DAYS = "name string, start timestamp, end timestamp"
@@ -123,25 +126,86 @@ def delete_rows(spark: SparkSession, path: str, victims: DataFrame, committed: b
 
 
 def compact_commits(spark: SparkSession, commits_path: str) -> int:
-    """Replace the many small commit files by one with each writer's last batch.
+    """Replace the many small commit files by one with each writer's state.
 
-    Readers use the highest number per writer, so they may look at any moment: the new file is
+    Readers use the highest numbers per writer, so they may look at any moment: the new file is
     there before the files it sums up go, and later commits are not touched. Returns how many
     files went.
     """
     root, fs = file_system(spark, commits_path)
     old = [status.getPath() for status in fs.listStatus(root) if status.isFile()]
-    positions = committed_positions(spark, commits_path)
-    if not positions:
+    states = commit_states(spark, commits_path)
+    if not states:
         return 0
-    last = spark.createDataFrame(sorted(positions.items()), "writer string, batch_id long")
-    rows = last.withColumn("committed_at", F.current_timestamp())
-    rows.coalesce(1).write.mode("append").parquet(commits_path)
+    write_commit(
+        spark,
+        commits_path,
+        [(w, last, merged if merged >= 0 else None) for w, (merged, last) in sorted(states.items())],
+    )
     for path in old:
         fs.delete(path, False)
     return len(old)
 
 
+#: The writer under whose name merged batches lie.
+MERGED = "_merged"
+
+
+def compact_tables(spark: SparkSession, tables: LogTables, whole: bool = False) -> int:
+    """Merge the committed batches into one, for logs and minute counts; how many writers' were.
+
+    Only batches since the last compaction are read and written, so a run costs what has come
+    since; with ``whole`` the earlier merged batches are merged, too. The merged batch becomes
+    visible, and the others stop to be, with one commit file. Ingest may go on: a batch that is
+    committed meanwhile has a higher number and stays visible. Folders of merged batches are
+    removed by the next run, so readers that have begun find their files. Minute counts are
+    summed up to one row per key of the merged batches.
+    """
+    configure(spark)
+    states = commit_states(spark, tables.commits)
+    merged, last = states.get(MERGED, (-1, -1))
+    for path in (tables.logs, tables.rollup):
+        _finish_replacing(spark, path)
+        _remove_merged(spark, path, states)
+    names = {w: s for w, s in states.items() if s[0] < s[1] and (whole or w != MERGED)}
+    if not names:
+        return 0
+    chosen = F.col("writer").isin(sorted(names))
+    number = last + 1
+    for path in (tables.logs, tables.rollup):
+        remove_attempt(spark, path, MERGED, number)
+
+    def rows(path, schema):
+        return scan_tagged(spark, path, schema, tables.commits, states).where(chosen)
+
+    logs = rows(tables.logs, LOG_SCHEMA).select(*LOG_SCHEMA.fieldNames())
+    write_part(clustered(logs, "service", "timestamp"), tables.logs, MERGED, number)
+    counts = rows(tables.rollup, ROLLUP_SCHEMA).groupBy("event_date", *ROLLUP_KEYS)
+    summed = counts.agg(F.sum("count").alias("count")).select(*ROLLUP_SCHEMA.fieldNames())
+    write_part(clustered(summed, *ROLLUP_KEYS), tables.rollup, MERGED, number)
+    done = [(w, s[1], s[1]) for w, s in sorted(names.items()) if w != MERGED]
+    keep = last if whole else merged
+    write_commit(
+        spark, tables.commits, [*done, (MERGED, number, keep if keep >= 0 else None)]
+    )
+    return len(names)
+
+
+def _remove_merged(spark: SparkSession, path: str, states: dict[str, tuple[int, int]]) -> None:
+    """Remove the folders of batches that were merged; names only, no data is read."""
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    _, fs = file_system(spark, path)
+    for day in day_folders(spark, path).values():
+        for writer in [status.getPath() for status in fs.listStatus(day) if status.isDirectory()]:
+            name = unescape(writer.getName().removeprefix("writer="))
+            merged, _ = states.get(name, (-1, -1))
+            if merged < 0:
+                continue
+            for batch in [status.getPath() for status in fs.listStatus(writer)]:
+                if int(batch.getName().removeprefix("batch_id=")) <= merged:
+                    fs.delete(batch, True)
+
+
 def _write_days(spark: SparkSession, tables: LogTables, days: DataFrame) -> None:
     rows = days.orderBy("start").collect()  # one short row per day
     spark.createDataFrame(rows, _DAYS).coalesce(1).write.mode("overwrite").parquet(tables.days)

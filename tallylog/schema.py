@@ -37,7 +37,14 @@ ROLLUP_KEYS = ["bucket_start", "service", "level"]
 # Added by batch commits: who wrote the rows and in which of its batches.
 COMMIT_FIELDS = [T.StructField("writer", T.StringType()), T.StructField("batch_id", T.LongType())]
 
-COMMIT_SCHEMA = T.StructType(COMMIT_FIELDS + [T.StructField("committed_at", T.TimestampType())])
+# ``retired`` says that the writer's batches up to that number have been merged into others.
+COMMIT_SCHEMA = T.StructType(
+    COMMIT_FIELDS
+    + [
+        T.StructField("committed_at", T.TimestampType()),
+        T.StructField("retired", T.LongType()),
+    ]
+)
 
 REQUEST_SCHEMA = T.StructType(
     [

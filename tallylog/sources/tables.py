@@ -8,8 +8,10 @@ Layout below a root folder::
 
 A batch writes its logs, then its minute counts, then one commit row. A writer's batches are
 numbered upwards and run one after another, so the highest committed number per writer tells
-readers what to see: everything up to it. That is one small value per writer, however many
-batches there were, and it selects folders rather than rows.
+readers what to see: everything up to it. Compaction (``plans.maintenance.compact_tables``) merges
+batches into one of its own and commits both at once, the merged batch and up to where the
+others are merged. So there are two small values per writer, however many batches there were,
+they select folders rather than rows, and folders and writers to read stay few.
 """
 
 from __future__ import annotations
@@ -107,6 +109,11 @@ def append_logs(df: DataFrame, path: str, by_day: bool = True) -> None:
     rows.write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def write_part(df: DataFrame, path: str, writer: str, batch_id: int) -> None:
+    """Write a batch's folders of one table; nobody sees them before the batch is committed."""
+    _write_part(df, path, writer, batch_id)
+
+
 def _write_part(df: DataFrame, path: str, writer: str, batch_id: int) -> None:
     tagged = df.withColumn("writer", F.lit(writer)).withColumn(
         "batch_id", F.lit(batch_id).cast("long")
@@ -119,16 +126,32 @@ def _write_part(df: DataFrame, path: str, writer: str, batch_id: int) -> None:
     )
 
 
-def committed_positions(spark: SparkSession, commits_path: str) -> dict[str, int]:
-    """Highest committed batch per writer; one row per writer reaches the driver."""
+def commit_states(spark: SparkSession, commits_path: str) -> dict[str, tuple[int, int]]:
+    """(highest merged, highest committed) batch per writer; one row per writer reaches the
+    driver. Batches between the two are to be read."""
     try:
         commits = spark.read.schema(COMMIT_SCHEMA).parquet(commits_path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return {}
-    rows = commits.groupBy("writer").agg(F.max("batch_id").alias("batch_id")).collect()
-    return {row["writer"]: row["batch_id"] for row in rows}
+    rows = commits.groupBy("writer").agg(
+        F.coalesce(F.max("retired"), F.lit(-1)).alias("retired"), F.max("batch_id").alias("batch_id")
+    )
+    return {row["writer"]: (row["retired"], row["batch_id"]) for row in rows.collect()}
+
+
+def committed_positions(spark: SparkSession, commits_path: str) -> dict[str, int]:
+    """Highest committed batch per writer."""
+    return {writer: last for writer, (_, last) in commit_states(spark, commits_path).items()}
+
+
+def write_commit(spark: SparkSession, commits_path: str, rows: list[tuple[str, int, int | None]]) -> None:
+    """Commit (writer, batch, merged up to) rows together: one file, so all of them or none."""
+    made = spark.createDataFrame(rows, "writer string, batch_id long, retired long").select(
+        "writer", "batch_id", F.current_timestamp().alias("committed_at"), "retired"
+    )
+    made.coalesce(1).write.mode("append").parquet(commits_path)
 
 
 def _run_all(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
@@ -184,31 +207,35 @@ def write_batch(
             lambda: _write_part(counts, rollup_path, writer, batch_id),
         ],
     )
-    commit = spark.range(0, 1, 1, 1).select(  # one partition, one file
-        F.lit(writer).alias("writer"),
-        F.lit(batch_id).cast("long").alias("batch_id"),
-        F.current_timestamp().alias("committed_at"),
-    )
-    commit.write.mode("append").parquet(commits_path)
+    write_commit(spark, commits_path, [(writer, batch_id, None)])
     return True
 
 
-def _is_committed(positions: dict[str, int]) -> Column:
+def _is_committed(states: dict[str, tuple[int, int]]) -> Column:
+    """Whether a row is to be read. Writers all of whose batches are merged need no term."""
     visible = [
-        (F.col("writer") == F.lit(writer)) & (F.col("batch_id") <= F.lit(last))
-        for writer, last in sorted(positions.items())
+        (F.col("writer") == F.lit(writer))
+        & (F.col("batch_id") > F.lit(merged))
+        & (F.col("batch_id") <= F.lit(last))
+        for writer, (merged, last) in sorted(states.items())
+        if merged < last
     ]
     return functools.reduce(operator.or_, visible) if visible else F.lit(False)
 
 
 def scan_tagged(
-    spark: SparkSession, path: str, schema: T.StructType, commits_path: str
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    commits_path: str,
+    states: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """Committed rows with the writer and the batch they came with."""
+    """Committed rows with the writer and the batch they came with; ``states`` are those of
+    :func:`commit_states` to read by, the present ones unless given."""
     configure(spark)
     tagged = T.StructType(schema.fields + COMMIT_FIELDS)
     rows = spark.read.schema(tagged).parquet(path)
-    return rows.where(_is_committed(committed_positions(spark, commits_path)))
+    return rows.where(_is_committed(states or commit_states(spark, commits_path)))
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType, commits_path: str | None):

@@ -8,6 +8,7 @@ from helpers import entry, log_frame, plan_text
 from tallylog.operators import audit, retention
 from tallylog.operators.metrics import storage_summary
 from tallylog.operators.rollup import minute_counts, verify_rollup
+from tallylog.plans import maintenance
 from tallylog.plans.ingest import ingest
 from tallylog.plans.maintenance import (
     compact_commits,
@@ -76,6 +77,51 @@ def test_commit_files_are_summed_up(spark, tmp_path):
     assert ids(spark, out) == [0, 1, 2, 7, 9]
 
 
+def folders(tmp_path, table="logs"):
+    return sorted("/".join(p.parts[-2:]) for p in (tmp_path / "t" / table).glob("*/*/*"))
+
+
+def test_live_compaction(spark, tmp_path, monkeypatch):
+    out = t.LogTables(str(tmp_path / "t"))
+    for n in range(3):
+        write(log_frame(spark, rows(1, [n])), n, out, "a b")
+    write(log_frame(spark, rows(1, [7])), 0, out, "c")
+    real = maintenance.write_commit
+
+    def meanwhile(*arguments):  # a batch is committed while the compaction runs
+        assert ids(spark, out) == [0, 1, 2, 7]
+        write(log_frame(spark, rows(1, [8])), 3, out, "a b")
+        assert ids(spark, out) == [0, 1, 2, 7, 8]
+        real(*arguments)
+
+    agree = lambda: verify_rollup(
+        t.scan_logs(spark, out.logs, out.commits), t.scan_rollup(spark, out.rollup, out.commits)
+    ).isEmpty()
+    begun = t.scan_logs(spark, out.logs, out.commits)
+    begun.count()
+    monkeypatch.setattr(maintenance, "write_commit", meanwhile)
+    assert maintenance.compact_tables(spark, out) == 2
+    monkeypatch.setattr(maintenance, "write_commit", real)
+    assert ids(spark, out) == [0, 1, 2, 7, 8] and agree()
+    assert begun.count() == 4  # its files are still there
+    assert t.commit_states(spark, out.commits) == {"a b": (2, 3), "c": (0, 0), "_merged": (-1, 0)}
+    # the next run removes what was merged before, and merges what has come since
+    assert maintenance.compact_tables(spark, out) == 1
+    assert folders(tmp_path) == ["writer=_merged/batch_id=0", "writer=_merged/batch_id=1", "writer=a b/batch_id=3"]
+    assert ids(spark, out) == [0, 1, 2, 7, 8] and agree()
+    # numbers go on, a merged batch is not written again, commits can be summed up
+    assert not write(log_frame(spark, rows(1, [9])), 2, out, "a b")
+    compact_commits(spark, out.commits)
+    assert write(log_frame(spark, rows(2, [9])), 4, out, "a b")
+    assert maintenance.compact_tables(spark, out, whole=True) == 2
+    assert maintenance.compact_tables(spark, out) == 0
+    assert folders(tmp_path) == ["writer=_merged/batch_id=2", "writer=_merged/batch_id=2"]
+    assert folders(tmp_path, "rollup") == folders(tmp_path)
+    assert ids(spark, out) == [0, 1, 2, 7, 8, 9] and agree()
+    stored = t.scan_rollup(spark, out.rollup, out.commits)
+    assert stored.groupBy("bucket_start", "service", "level").count().where("count > 1").isEmpty()
+
+
 def test_nothing_committed_yet(spark, tmp_path):
     out = t.LogTables(str(tmp_path / "t"))
     t._write_part(log_frame(spark, rows(1, [1])), out.logs, "batch", 0)
