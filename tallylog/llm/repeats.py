@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.shared import cut, text_slices, whole_text
+from tallylog.llm.shared import cut, split_join, text_slices, whole_text
 from tallylog.llm.words import BYTE, prefix_sums, split_words, stretches
 
 PLACE_BITS = 24
@@ -154,12 +154,12 @@ def screen(rows: DataFrame, units: Units, width: int, k: int) -> tuple[DataFrame
     )
     shared = by_anchor.where("_n > 1").select("anchor", (F.col("_low") != F.col("_high")).alias("mixed"))
     # read several times below, so written once to the shared folder
-    candidates = cut(found.join(shared, "anchor"))
+    candidates = cut(split_join(found, shared, ["anchor"]))
     alike = candidates.where(~F.col("mixed"))
     mixed = candidates.where("mixed")
     place = F.struct("k_id", "k_th", "start", "count")
     kinds = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-    twice = mixed.join(kinds.where("_n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
+    twice = split_join(mixed, kinds.where("_n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi")
     names = ["k_id", "k_th", "start", "count"]
     decided = alike.select(names).unionByName(twice.select(names))
     return decided, kinds.select("anchor", "_first.*", (F.col("_n") == 1).alias("single"))

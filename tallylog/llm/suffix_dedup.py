@@ -15,7 +15,9 @@ is a repeat; every byte under a repeat is removed, at all its places. Windows li
    A leaf with two suffixes or more is an interval of the suffix array whose common prefixes are
    as long as a window: a repeat.
 3. An anchor with more than HOT_STRETCHES different stretches is too large for one task. Its
-   windows are counted by hash instead, with partial counts before the shuffle.
+   stretches are cut into pieces of a few windows, always at the same distances from the anchor;
+   pieces that stand twice are decided as a whole, and of the others, with one of each kind, the
+   windows are counted by hash, with partial counts before each shuffle.
 
 Texts are bytes in UTF-8; what stays may end inside a character. Null or empty text and texts
 shorter than a window lose nothing and repeat nothing. Rows with equal texts are repeats of each
@@ -32,15 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.repeats import by_document, byte_units, covered, keyed, own_id, screen
-from tallylog.llm.shared import binary, text_slices
+from tallylog.llm.repeats import PLACE_BITS, by_document, byte_units, covered, keyed, own_id, screen
+from tallylog.llm.shared import binary, split_join, text_slices
 from tallylog.llm.words import BYTE, prefix_sums, stretches
 
 WIDTH = 200
 #: Bytes of an anchor's k-gram in the screening.
 GRAM = 40
 SHALLOW_BYTES = 32
-HOT_STRETCHES = 2000
+#: Different stretches of an anchor that one task sorts: some 15 MB of text and 300 MB of places.
+HOT_STRETCHES = 50_000
+#: Windows of a piece of a hot anchor's stretch.
+PIECE_WINDOWS = 8
 #: Bytes of stretches sorted at once; stretches of one anchor stay together.
 SORT_BYTES = 1 << 20
 
@@ -234,31 +239,58 @@ def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
     return together.mapInArrow(run, "k_id long, k_th int, start int, count int")
 
 
-def _counted_repeats(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
-    """Repeated windows of open segments, one by one, by counting window hashes."""
+def _anchor_of(sums: np.ndarray, first: int, width: int, gram: int) -> int:
+    """Place of the anchor of the window at `first`: its least k-gram, the leftmost of equal ones."""
+    places = np.arange(first, first + width - gram + 1)
+    shift = np.uint64(PLACE_BITS)
+    return first + int(np.argmin(stretches(sums, places, places + gram) >> shift))
+
+
+def _pieces(rows: DataFrame, open_: DataFrame, width: int, gram: int, windows: int) -> DataFrame:
+    """Hashes (hash, k_id, k_th, start, count) of the listed segments' pieces of up to `windows`
+    windows, cut at multiples of that many bytes from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column(2)):
                 sums = prefix_sums(BYTE[data])
                 for i in range(low, high):
-                    listed = batch.column(3)[i].as_py()
-                    place = np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in listed])
+                    place, count = [], []
+                    for s in batch.column(3)[i].as_py():
+                        first, end = s["start"], s["start"] + s["count"]
+                        align = _anchor_of(sums, int(offsets[i - low]) + first, width, gram) if windows > 1 else 0
+                        cuts = [x for x in range(first, end) if x == first or (x + offsets[i - low] - align) % windows == 0]
+                        place += cuts
+                        count += [b - a for a, b in zip(cuts, [*cuts[1:], end])]
+                    place, count = np.array(place, np.int64), np.array(count, np.int64)
                     first = offsets[i - low] + place
+                    hashes = stretches(sums, first, first + count + width - 1, seed=2)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(stretches(sums, first, first + width, seed=2).view(np.int64)),
+                            pa.array(hashes.view(np.int64)),
                             pa.array([batch.column(0)[i].as_py()] * len(place), pa.int64()),
                             pa.array([batch.column(1)[i].as_py()] * len(place), pa.int32()),
                             pa.array(place.astype(np.int32)),
+                            pa.array(count.astype(np.int32)),
                         ],
-                        ["hash", "k_id", "k_th", "start"],
+                        ["hash", "k_id", "k_th", "start", "count"],
                     )
 
     joined = rows.join(by_document(open_), ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    windows = joined.mapInArrow(run, "hash long, k_id long, k_th int, start int")
-    again = windows.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
-    return windows.join(again, "hash", "left_semi").select("k_id", "k_th", "start", F.lit(1).alias("count"))
+    return joined.mapInArrow(run, "hash long, k_id long, k_th int, start int, count int")
+
+
+def _counted_repeats(rows: DataFrame, open_: DataFrame, width: int, gram: int) -> DataFrame:
+    """Repeated windows of open segments, as segments, by counting pieces, then windows."""
+    names = ["k_id", "k_th", "start", "count"]
+
+    def twice(found: DataFrame) -> DataFrame:
+        again = found.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
+        return split_join(found, again, ["hash"], "left_semi").select(names)
+
+    pieces = _pieces(rows, open_, width, gram, PIECE_WINDOWS)
+    kinds = pieces.groupBy("hash").agg(F.min(F.struct(*names)).alias("_first"))
+    return twice(pieces).unionByName(twice(_pieces(rows, kinds.select("_first.*"), width, gram, 1)))
 
 
 def find_repeats(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -266,8 +298,8 @@ def find_repeats(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     `count` windows that stand elsewhere, too, from byte `start` on."""
     decided, open_ = screen(rows, byte_units, width, gram)
     hot = open_.groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_STRETCHES).select("anchor")
-    sorted_ = _sorted_repeats(_stretch_rows(rows, open_.join(hot, "anchor", "left_anti"), width), width)
-    counted = _counted_repeats(rows, open_.join(hot, "anchor", "left_semi"), width)
+    sorted_ = _sorted_repeats(_stretch_rows(rows, split_join(open_, hot, ["anchor"], "left_anti"), width), width)
+    counted = _counted_repeats(rows, split_join(open_, hot, ["anchor"], "left_semi"), width, gram)
     return by_document(decided.unionByName(sorted_).unionByName(counted))
 
 
