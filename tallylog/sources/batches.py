@@ -27,7 +27,7 @@ def _one_element(kind: str, path: str) -> Column:
     object it cannot have closed the array. Of repeated keys, escaped or not, the last counts.
     """
     framed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
-    alone = F.size(F.try_variant_get(framed, "$", "array<variant>")) == 1
+    alone = F.try_variant_get(framed, "$[1]", "variant").isNull()
     return F.when(alone & _end_is_reached(), F.try_variant_get(framed, path, kind))
 
 
