@@ -50,6 +50,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: measures and the base rule."""
+    measured = quality.add_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return measured.withColumn("base_failed", quality.base_failed()).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6 that SQL can express: words, places and labels of the base phrases."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 200-byte strings that stand anywhere else."""
     kept = suffix_dedup.kept_bytes(table(spark, sf_dir, "documents"))
@@ -101,6 +116,53 @@ select page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) as text,
 from decoded
 """
 
+QUALITY_SQL = r"""
+with words as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
+    from documents
+), lines as (
+    select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from words
+), grams as (
+    select doc_id, p, array_to_string(ws[p:p+2], ' ') as gram
+    from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as p from words)
+), twice as (
+    select doc_id, p from grams qualify count(*) over (partition by doc_id, gram) > 1
+), covered as (
+    select doc_id, count(distinct i) as n from (select doc_id, unnest(range(p, p + 3)) as i from twice) group by 1
+), measured as (
+    select doc_id, len(ws) as n_words,
+           CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as BIGINT) as word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+           len(ls) - len(list_distinct(ls)) as n_dup_lines,
+           coalesce(n, 0) as n_repeat_words
+    from words join lines using (doc_id) left join covered using (doc_id)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from measured
+"""
+
+LICENSE_SQL = r"""
+with words as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+    from documents
+), places as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from words),
+found as (
+    select doc_id, p - 1 as place, case
+        when ws[p] = 'mit' and ws[p+1] = 'license' then 'mit'
+        when ws[p] = 'apache' and ws[p+1] = 'license' then 'apache'
+        when ws[p] = 'general' and ws[p+1] = 'public' and ws[p+2] = 'license' then 'gpl' end as label
+    from places
+), summed as (
+    select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word,
+           string_agg(distinct label, ',' order by label) as base_labels
+    from found where label is not null group by 1
+)
+select doc_id, len(ws) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels
+from words left join summed using (doc_id)
+"""
+
 OP8_SQL = r"""
 with recursive words as (
     select doc_id, regexp_extract_all(
@@ -173,10 +235,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_block_repeats": op9_block_repeats,
     "op10_warc": op10_warc,
+    "quality_measures": quality_measures,
+    "license_places": license_places,
 }
 
 ORACLES: dict[str, str] = {
     "op1_html_extraction": OP1_SQL,
+    "quality_measures": QUALITY_SQL,
+    "license_places": LICENSE_SQL,
     "op8_near_duplicates": OP8_SQL,
     "op9_block_repeats": OP9_SQL,
     "op10_warc": OP10_SQL,
