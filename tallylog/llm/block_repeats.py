@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm.repeats import NO_ID, by_document, covered, keyed, own_id, screen, word_units
-from tallylog.llm.shared import text_slices
+from tallylog.llm.shared import split_join, text_slices
 from tallylog.llm.words import prefix_sums, split_words, stretches
 
 WIDTH = 35
@@ -109,14 +109,14 @@ def find_repeats(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     probes = _rolling(rows, by_document(open_), width, block, probes=True)
     aligned = F.col("place") % block == 0
     index = probes.groupBy("hash").agg(F.count("*").alias("_n"), F.max(aligned).alias("_indexed"))
-    hits = probes.join(index.where("_n > 1 and _indexed").select("hash"), "hash", "left_semi")
+    hits = split_join(probes, index.where("_n > 1 and _indexed").select("hash"), ["hash"], "left_semi")
     # the windows that contain a hit start up to width - block words before it
     start = F.greatest(F.col("place") - (width - block), F.lit(0))
     around = hits.select("k_id", "k_th", start.alias("start"), (F.col("place") - start + 1).alias("count"))
 
     windows = _rolling(rows, by_document(around), width, block, probes=False)
     again = windows.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
-    repeats = windows.join(again, "hash", "left_semi")
+    repeats = split_join(windows, again, ["hash"], "left_semi")
     return by_document(
         decided.unionByName(repeats.select("k_id", "k_th", F.col("place").alias("start"), F.lit(1).alias("count")))
     )
