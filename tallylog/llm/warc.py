@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.shared import fresh_folder
+from tallylog.llm.shared import fresh_folder, split_join
 
 #: Payloads shorter than this are always written whole.
 MIN_REVISIT_BYTES = 1000
@@ -62,13 +62,12 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     order = F.struct(F.col("page_id"), F.col("url"))
     first = (
         rows.where(F.col("n_bytes") >= min_bytes)
-        .groupBy(F.col("digest").alias("of"), F.col("n_bytes").alias("of_bytes"))
+        .groupBy("digest", "n_bytes")
         .agg(F.max(order).alias("first"), F.count("*").alias("copies"))
         .where("copies > 1")
     )
-    same = (F.col("digest") == F.col("of")) & (F.col("n_bytes") == F.col("of_bytes"))
-    joined = rows.join(first, same, "left")
-    again = F.col("of").isNotNull() & ~order.eqNullSafe(F.col("first"))
+    joined = split_join(rows, first, ["digest", "n_bytes"], "left")
+    again = F.col("copies").isNotNull() & ~order.eqNullSafe(F.col("first"))
     return joined.select(
         "page_id",
         "url",
