@@ -197,7 +197,7 @@ def conversation_search(spark, sf_dir):
     messages = turns.select(
         "conv_id", "turn", "role", F.col("text").alias("message")
     )
-    return where_matching(messages, LogFilters(q="Please")).select("conv_id", "turn", "role")
+    return where_matching(messages, LogFilters(q="The ")).select("conv_id", "turn", "role")
 
 
 QUERIES = {name: _filtered(**arguments) for name, (arguments, _) in _FILTERS.items()}
@@ -264,7 +264,7 @@ ORACLES.update(
             '00000000-0000-4000-8000-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id,
             CAST(length(text) AS INTEGER) AS length FROM documents WHERE contains(text, '%')""",
         "conversation_search": """SELECT conv_id, turn, role FROM conversations
-            WHERE contains(lower(text), 'please')""",
+            WHERE contains(lower(text), 'the ')""",
         "scenario_recent_page": _page_sql(between(DAY)),
         "scenario_service_page": _page_sql(f"service = 'service-007' AND {between(WEEK)}"),
         "scenario_level_page": _page_sql(f"level = 'error' AND {between(WEEK)}"),

@@ -82,7 +82,7 @@ def missing_partitions(spark, sf_dir):
 
 
 def missing_upcoming_days(spark, sf_dir):
-    upcoming = retention.upcoming_days(spark, "2024-01-28T23:59:59.999Z")
+    upcoming = retention.upcoming_days(spark, "2024-01-30T23:59:59.999Z")
     return _bounds(retention.missing_partitions(upcoming, _listing(spark, sf_dir)))
 
 
@@ -335,7 +335,7 @@ ORACLES = {
     "missing_partitions": f"""{WITH_LOGS}, {_PLAN}, {_NAMED} SELECT name, {_DAY_BOUNDS}
         FROM plan WHERE name NOT IN (SELECT name FROM named)""",
     "missing_upcoming_days": f"""{WITH_LOGS}, {_NAMED},
-        {_days_sql("DATE '2024-01-28'", "DATE '2024-01-30'", "upcoming")}
+        {_days_sql("DATE '2024-01-30'", "DATE '2024-02-01'", "upcoming")}
         SELECT name, {_DAY_BOUNDS} FROM upcoming WHERE name NOT IN (SELECT name FROM named)""",
     "days_with_default_rows": f"""{WITH_LOGS}, {_PLAN}, {_plan_sql(40, "wide")}, {_DEFAULT}
         SELECT name, {_DAY_BOUNDS} FROM wide
