@@ -24,7 +24,8 @@ than a shingle is one shingle; null text or one without words has an empty set,
 nothing and is a component by itself. The component id is its least document id. Rows that share
 an id and a set are one document; rows that share an id only are compared like others. Null ids
 come after all others: a component of null ids alone has a null id, and its rows are kept. Other
-columns are ignored by `near_duplicates`, kept by `keep_first`. An empty table gives no rows.
+columns are ignored by `near_duplicates`, kept by `keep_first` and `keep_one`. `keep_first` gives
+all rows that carry the component's id, `keep_one` a single one of them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.llm.components import connected
-from tallylog.llm.repeats import keyed, own_id
+from tallylog.llm.repeats import NO_ID, keyed, own_id
 from tallylog.llm.shared import cut, split_join, text_slices
 from tallylog.llm.words import distinct_pairs, mix, split_words
 
@@ -330,15 +331,16 @@ def _kept() -> Column:
     return F.col("component_id").eqNullSafe(own_id())
 
 
-def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """k_id, k_th, n_shingles and component_id of keyed rows."""
+def _groups(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of keyed rows, and the sets with the label of their component: set_id, least_id,
+    one (the key of a row of the least id, null ids last) and label."""
     signed = cut(signatures(rows, words))  # numbers only; read several times below
     sets = cut(
         signed.where("set_id is not null").groupBy("set_id").agg(
             F.first("tokens").alias("tokens"),
             F.first("sketch").alias("sketch"),
             F.first("n_shingles").alias("n_shingles"),
-            F.min(F.struct("k_id", "k_th")).alias("one"),
+            F.min(F.struct((F.col("k_id") == NO_ID).alias("late"), "k_id", "k_th")).alias("one"),
             F.min(own_id()).alias("least_id"),
         )
     )
@@ -346,7 +348,7 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     clusters = sets.select("set_id", "n_shingles", "one").join(named, "set_id")
 
     def confirmed(blocks: DataFrame) -> DataFrame:
-        texts = rows.join(blocks.select("block", "set_id", "one.*"), ["k_id", "k_th"])
+        texts = rows.join(blocks.select("block", "set_id", "one.k_id", "one.k_th"), ["k_id", "k_th"])
         return _confirmed(texts.select("block", "set_id", "text"), words, percent)
 
     sizes = clusters.groupBy("label").agg(F.sum("n_shingles").alias("_total"))
@@ -361,8 +363,13 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
         if not rest.isEmpty():
             known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
             labels = connected(known.unionByName(confirmed(rest.join(places, "set_id"))))
-    members = sets.select("set_id", "least_id").join(labels, F.col("set_id") == F.col("node"), "left")
-    members = members.select("set_id", "least_id", F.coalesce("label", "set_id").alias("label"))
+    members = sets.select("set_id", "least_id", "one").join(labels, F.col("set_id") == F.col("node"), "left")
+    return signed, members.select("set_id", "least_id", "one", F.coalesce("label", "set_id").alias("label"))
+
+
+def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """k_id, k_th, n_shingles and component_id of keyed rows."""
+    signed, members = _groups(rows, words, percent)
     names = members.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_set = members.join(names, "label").select("set_id", "component_id")
     found = signed.select("k_id", "k_th", "n_shingles", "set_id").join(by_set, "set_id", "left")
@@ -379,3 +386,34 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCE
     text = F.coalesce(F.col("text"), F.lit(""))
     own = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.hash(text).alias("k_th"))
     return own.join(found, ["k_id", "k_th"], "left_semi").select(*[F.col("_row")[c].alias(c) for c in names])
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with its own columns: that of the least id, null ids last, and of
+    the least text digest where rows share it. Of rows that share id and text the one with the
+    least digest of the other columns stays. Of rows without words those that share an id are one
+    document; with null ids each is one."""
+    names = docs.columns
+    other = F.to_json(F.struct(*[c for c in names if c != "text"]))
+    rows = docs.select(F.struct(*names).alias("_row"), F.xxhash64(other, F.col("text").isNull()).alias("_order"), "doc_id", "text")
+    signed, members = _groups(keyed(rows), words, percent)
+    full = members.groupBy("label").agg(F.min("one").alias("one")).select("one.k_id", "one.k_th")
+    empty = signed.where("set_id is null").select("k_id", "k_th")
+    named = empty.where(F.col("k_id") != NO_ID).groupBy("k_id").agg(F.min("k_th").alias("k_th"))
+    unnamed = empty.where(F.col("k_id") == NO_ID).distinct()
+    chosen = full.select("*", F.lit(True).alias("once")).unionByName(named.select("*", F.lit(True).alias("once")))
+    chosen = chosen.unionByName(unnamed.select("*", F.lit(False).alias("once")))
+    copies = signed.groupBy("k_id", "k_th").agg(F.count("*").alias("_n"))
+    # numbers only; read twice below
+    chosen = cut(chosen.join(copies, ["k_id", "k_th"]).select("k_id", "k_th", (F.col("once") & (F.col("_n") > 1)).alias("again")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = rows.select(
+        "_row", "_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.hash(text).alias("k_th")
+    )
+    kept = own.join(chosen.where("not again"), ["k_id", "k_th"], "left_semi").select("_row")
+    again = chosen.where("again").select("k_id", "k_th")
+    if not again.isEmpty():
+        # copies are summed up before they are dealt out
+        copied = split_join(own, again, ["k_id", "k_th"], "left_semi").groupBy("k_id", "k_th")
+        kept = kept.unionByName(copied.agg(F.min_by("_row", "_order").alias("_row")).select("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) for c in names])

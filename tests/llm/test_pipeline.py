@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -53,6 +54,30 @@ def test_pipeline_against_brute_force(spark):
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == expected
 
 
+def test_one_row_of_each_group_keeps_its_text(spark):
+    rnd = random.Random(21)
+    text = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(90)) for _ in range(6)]
+    near = text[3].replace(" ", " more ", 1)  # a near copy
+    rows = [
+        (1, text[0]), (1, text[0]), (1, text[0]),  # a row three times
+        (None, text[1]), (None, text[1]),  # null ids alone
+        (None, text[2]), (2, text[2]),  # a null id after all others
+        (3, text[3]), (3, near), (4, near),  # near copies that share the least id
+        (3, text[4]),  # the same id, a document of its own
+        (5, text[5]),
+        (6, None), (6, None), (None, ""), (None, ""),
+    ]
+    docs = brute.frame(spark, rows).repartition(3)
+    one = corpus_pipeline.near_deduplication(spark, docs, SF)
+    assert one.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in one.collect())
+    third = next(t for t in (text[3], near) if found[3, t])
+    expected = [(1, text[0]), (None, text[1]), (2, text[2]), (3, third), (3, text[4]), (5, text[5]), (6, None), (None, ""), (None, "")]
+    assert found == Counter(expected)
+    whole = corpus_pipeline.substring_deduplication(spark, spark.createDataFrame(one.collect(), one.schema), SF)
+    assert Counter((r.doc_id, r.text) for r in whole.collect()) == Counter(expected)
+
+
 def test_registry():
     names = [n for n in contract.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
