@@ -8,8 +8,10 @@ Jaccard similarity reaches the threshold, and linked documents form components.
    set goes to the node named by its least shingle hash under the tree's hash function for that
    level. Nodes with one set end. Small nodes are compared exhaustively by all minwise tokens of
    their sets. Larger nodes branch again, by the next level's token; what is still large at the
-   last level is cut into blocks that share a pivot. Two sets at similarity 0.8 miss each other in
-   all of ten first levels once in ten million times.
+   last level is cut into blocks that share a pivot, and sets that these leave apart from most of
+   their node are compared with all of it. Two sets at similarity 0.8 miss each other in all of
+   ten first levels once in ten million times, in all of ten last levels, where every token is
+   hot, 8 times in ten thousand.
 3. Sets that agree in enough minwise tokens form clusters, which are larger than the components
    sought. Each set belongs to one cluster, so full texts are brought together once.
 4. Confirmation: within a cluster full sets are compared, breadth first, each set with all that
@@ -17,7 +19,8 @@ Jaccard similarity reaches the threshold, and linked documents form components.
    than CLUSTER_SHINGLES is cut into blocks, anew in each of three rounds, with the same pivots in
    all of them; its links are joined up by the components of all blocks together.
 
-Limits on nodes and blocks bound memory; beyond them trees, rounds and pivots carry the recall.
+Limits on nodes and blocks bound memory, not what is compared: each node's sets are all compared or
+connected already, so only the trees carry the recall.
 
 Words are runs of characters other than space and tab to carriage return. A text with fewer words
 than a shingle is one shingle; null text or one without words has an empty set, is linked with
@@ -49,6 +52,8 @@ TREES, LEVELS = 10, 3
 TOKENS = TREES * LEVELS
 #: Sets of a node that is compared exhaustively.
 SMALL_NODE = 128
+#: Sets of a larger one that are compared with each other in a task, from either side.
+NODE_PART = 2048
 #: Shingles of a cluster, and of a block of a larger one, confirmed in one task.
 CLUSTER_SHINGLES = 4_000_000
 ROUNDS, PIVOTS = 3, 32
@@ -171,7 +176,7 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     step = lambda level: F.substring("data", TOKENS + 8 * level + 1, 8)
     members = sets.select("set_id", "tokens", "sketch", tree).select("set_id", "tree", data.alias("data"))
     members = members.select(F.xxhash64("tree", step(0)).alias("node"), "set_id", "data")
-    found = None
+    found = crowded = None
     for level in range(LEVELS):
         sizes = members.groupBy("node").agg(F.count("*").alias("_n"), F.min("set_id").alias("_pivot")).where("_n > 1")
         sized = cut(split_join(members, sizes, ["node"]))
@@ -180,7 +185,8 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
         if level < LEVELS - 1:
             members = large.select(F.xxhash64("node", step(level + 1)).alias("node"), "set_id", "data")
         else:
-            # blocks of the node, with its least set in each
+            # blocks of the node, with its least set in each; the rest of it is compared below
+            crowded = large
             number = F.pmod(F.xxhash64("set_id", "node"), F.ceil(F.col("_n") / SMALL_NODE))
             blocks = large.withColumn("block", F.xxhash64("node", number))
             own = blocks.where(F.col("set_id") != F.col("_pivot")).select(F.col("block").alias("node"), "set_id", "data")
@@ -189,7 +195,37 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
             guests = places.join(pivots, "node").select(F.col("block").alias("node"), "set_id", "data")
             links = links.unionByName(_node_links(own.unionByName(guests), agree))
         found = links if found is None else found.unionByName(links)
-    return found
+    if crowded.isEmpty():
+        return found
+    labels = connected(found)
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return known.unionByName(_node_links(_rest_of_nodes(crowded, labels), agree))
+
+
+def _rest_of_nodes(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (node, set_id, data) that bring each set of a large node (node, set_id, data) which is
+    not connected with most of the node together with every set of the node: a block for each pair
+    of a part of the former and a part of the latter."""
+    named = crowded.select("node", "set_id", "data").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = cut(named.withColumn("label", F.coalesce("label", "set_id")))
+    by_label = named.groupBy("node", "label").agg(F.count("*").alias("n"))
+    largest = by_label.groupBy("node").agg(
+        F.sum("n").alias("_n"), F.max("n").alias("_in_largest"), F.max_by("label", F.struct("n", "label")).alias("_largest")
+    )
+    parts = largest.where("_n > _in_largest").select(
+        "node", "_largest",
+        F.ceil(F.col("_n") / NODE_PART).cast("long").alias("_parts"),
+        F.ceil((F.col("_n") - F.col("_in_largest")) / NODE_PART).cast("long").alias("_rests"),
+    )
+    placed = split_join(named, parts, ["node"])
+    part, rest = F.pmod(F.xxhash64("set_id"), "_parts"), F.pmod(F.xxhash64("set_id"), "_rests")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - F.lit(1).cast("long")))
+    every = placed.select("node", "set_id", "data", part.alias("_part"), numbers("_rests").alias("_rest"))
+    # a set that is in the block already is not a guest there, too
+    guests = placed.where("label <> _largest").select(
+        "node", "set_id", "data", part.alias("_own"), numbers("_parts").alias("_part"), rest.alias("_rest")
+    ).where("_part <> _own").drop("_own")
+    return every.unionByName(guests).select(F.xxhash64("node", "_part", "_rest").alias("node"), "set_id", "data")
 
 
 def linked_components(sizes: np.ndarray, shingles: np.ndarray, percent: int) -> np.ndarray:

@@ -46,6 +46,41 @@ def test_cut_clusters_meet_again(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == brute.components(rows, 4, 80)
 
 
+def hot_sets(seed, n, pairs, groups=12):
+    """(set_id, tokens, sketch) of sets whose tokens are all hot: in each tree a set has the three
+    tokens of one of a few groups. The last `pairs` sets agree in five trees with one before."""
+    rng = np.random.default_rng(seed)
+    group = rng.integers(0, groups, (n, near_dedup.TREES))
+    for i in range(pairs):
+        group[n - pairs + i] = np.where(rng.permutation(near_dedup.TREES) < 5, group[i], group[n - pairs + i])
+    values = rng.integers(0, 2**63, (groups, near_dedup.TOKENS))
+    tokens = np.stack([values[np.tile(g, near_dedup.LEVELS), np.arange(near_dedup.TOKENS)] for g in group]).astype(">u8")
+    sketch = tokens.view(np.uint8)[:, 7::8]
+    return [(b"%08d" % i, t.tobytes(), k.tobytes()) for i, (t, k) in enumerate(zip(tokens, sketch))], sketch
+
+
+def agreeing(sketch):
+    """Least set each is connected with by agreeing in enough tokens."""
+    label = np.arange(len(sketch))
+    near = [np.flatnonzero((sketch == k).sum(axis=1) >= near_dedup.least_agreement(80)) for k in sketch]
+    while True:
+        least = np.array([label[x].min() for x in near])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def test_hot_tokens_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 8)
+    monkeypatch.setattr(near_dedup, "NODE_PART", 20)
+    sets, sketch = hot_sets(14, 400, 60)
+    expected = agreeing(sketch)
+    assert len(set(expected.tolist())) > 200
+    links = near_dedup.candidate_links(spark.createDataFrame(sets, "set_id binary, tokens binary, sketch binary"), 80)
+    found = {int(bytes(r.node)): int(bytes(r.label)) for r in connected(links).collect()}
+    assert [found.get(i, i) for i in range(400)] == expected.tolist()
+
+
 def test_linked_components_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(20):
