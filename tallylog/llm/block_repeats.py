@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.repeats import NO_ID, by_document, covered, keyed, own_id, screen, word_units
-from tallylog.llm.shared import split_join, text_slices
+from tallylog.llm.repeats import by_document, covered, keyed, own_id, screen, word_units
+from tallylog.llm.shared import row_key, split_join, text_slices
 from tallylog.llm.words import prefix_sums, split_words, stretches
 
 WIDTH = 35
@@ -96,7 +96,7 @@ def _rolling(rows: DataFrame, listed: DataFrame, width: int, block: int, probes:
                 )
 
     joined = rows.join(listed, ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    return joined.mapInArrow(run, "hash long, k_id long, k_th int, place int")
+    return joined.mapInArrow(run, "hash long, k_id long, k_th long, place int")
 
 
 def find_repeats(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -161,10 +161,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     repeats = find_repeats(keyed(docs), width, gram)
     names = docs.columns
     whole = docs.select(F.struct(*names).alias("_row"))
-    text = F.coalesce(F.col("_row.text"), F.lit(""))
-    rows = whole.select(
-        F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.hash(text).alias("k_th"), "_row"
-    )
+    rows = whole.select(*row_key("_row.doc_id", "_row.text"), "_row")
     joined = rows.join(repeats, ["k_id", "k_th"], "left")
 
     @F.pandas_udf("string")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tallylog.llm.components import connected
 from tallylog.llm.repeats import NO_ID, keyed, own_id
-from tallylog.llm.shared import cut, split_join, text_slices
+from tallylog.llm.shared import cut, row_key, split_join, text_slices
 from tallylog.llm.words import distinct_pairs, mix, split_words
 
 SHINGLE_WORDS = 5
@@ -101,7 +101,7 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
                     ["k_id", "k_th", "n_shingles", "set_id", "tokens", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "k_id long, k_th int, n_shingles long, set_id binary, tokens binary, sketch binary")
+    return rows.mapInArrow(run, "k_id long, k_th long, n_shingles long, set_id binary, tokens binary, sketch binary")
 
 
 def _node_links(members: DataFrame, agree: int) -> DataFrame:
@@ -419,8 +419,7 @@ def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCE
     rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "text")
     key = keyed(rows)
     found = _components(key, words, percent).where(_kept()).select("k_id", "k_th").distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = rows.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k_id"), F.hash(text).alias("k_th"))
+    own = rows.select("_row", *row_key())
     return own.join(found, ["k_id", "k_th"], "left_semi").select(*[F.col("_row")[c].alias(c) for c in names])
 
 
@@ -442,10 +441,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT
     copies = signed.groupBy("k_id", "k_th").agg(F.count("*").alias("_n"))
     # numbers only; read twice below
     chosen = cut(chosen.join(copies, ["k_id", "k_th"]).select("k_id", "k_th", (F.col("once") & (F.col("_n") > 1)).alias("again")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = rows.select(
-        "_row", "_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.hash(text).alias("k_th")
-    )
+    own = rows.select("_row", "_order", *row_key())
     kept = own.join(chosen.where("not again"), ["k_id", "k_th"], "left_semi").select("_row")
     again = chosen.where("again").select("k_id", "k_th")
     if not again.isEmpty():

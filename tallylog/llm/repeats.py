@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.shared import cut, split_join, text_slices, whole_text
+from tallylog.llm.shared import cut, row_key, split_join, text_slices, whole_text
 from tallylog.llm.words import BYTE, prefix_sums, split_words, stretches
 
 PLACE_BITS = 24
@@ -94,12 +94,8 @@ def _segments(values: np.ndarray, bounds: np.ndarray, low: int, width: int, k: i
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """k_id, k_th and text: a row's id (null has a value of its own) with a short digest of its
-    text, which tells rows apart that share an id."""
-    text = whole_text()
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k_id"), F.hash(text).alias("k_th"), text.alias("text")
-    )
+    """k_id, k_th and text of each row (`row_key`)."""
+    return docs.select(*row_key(), whole_text().alias("text"))
 
 
 def own_id() -> Column:
@@ -138,7 +134,7 @@ def segment_rows(rows: DataFrame, units: Units, width: int, k: int) -> DataFrame
                     ["anchor", "stretch", "k_id", "k_th", "start", "count"],
                 )
 
-    return rows.mapInArrow(run, "anchor long, stretch long, k_id long, k_th int, start int, count int")
+    return rows.mapInArrow(run, "anchor long, stretch long, k_id long, k_th long, start int, count int")
 
 
 def screen(rows: DataFrame, units: Units, width: int, k: int) -> tuple[DataFrame, DataFrame]:

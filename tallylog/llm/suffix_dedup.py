@@ -184,12 +184,12 @@ def _stretch_rows(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
             yield batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         names = ["anchor", "k_id", "k_th", "start", "count", "single", "stretch"]
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names)
 
     joined = rows.join(listed, ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    return joined.mapInArrow(run, "anchor long, k_id long, k_th int, start int, count int, single boolean, stretch binary")
+    return joined.mapInArrow(run, "anchor long, k_id long, k_th long, start int, count int, single boolean, stretch binary")
 
 
 def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
@@ -214,7 +214,7 @@ def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r["k_id"] for r in own], pa.int64()),
-                pa.array([r["k_th"] for r in own], pa.int32()),
+                pa.array([r["k_th"] for r in own], pa.int64()),
                 pa.array([r["start"] + s for r, s in zip(own, step[first].tolist())], pa.int32()),
                 pa.array(n, pa.int32()),
             ],
@@ -236,7 +236,7 @@ def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
             yield found(held)
 
     together = stretch_rows.repartition("anchor").sortWithinPartitions("anchor")
-    return together.mapInArrow(run, "k_id long, k_th int, start int, count int")
+    return together.mapInArrow(run, "k_id long, k_th long, start int, count int")
 
 
 def _anchor_of(sums: np.ndarray, first: int, width: int, gram: int) -> int:
@@ -269,7 +269,7 @@ def _pieces(rows: DataFrame, open_: DataFrame, width: int, gram: int, windows: i
                         [
                             pa.array(hashes.view(np.int64)),
                             pa.array([batch.column(0)[i].as_py()] * len(place), pa.int64()),
-                            pa.array([batch.column(1)[i].as_py()] * len(place), pa.int32()),
+                            pa.array([batch.column(1)[i].as_py()] * len(place), pa.int64()),
                             pa.array(place.astype(np.int32)),
                             pa.array(count.astype(np.int32)),
                         ],
@@ -277,7 +277,7 @@ def _pieces(rows: DataFrame, open_: DataFrame, width: int, gram: int, windows: i
                     )
 
     joined = rows.join(by_document(open_), ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    return joined.mapInArrow(run, "hash long, k_id long, k_th int, start int, count int")
+    return joined.mapInArrow(run, "hash long, k_id long, k_th long, start int, count int")
 
 
 def _counted_repeats(rows: DataFrame, open_: DataFrame, width: int, gram: int) -> DataFrame:

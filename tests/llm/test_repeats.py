@@ -98,3 +98,15 @@ def test_empty_tables(spark):
     empty = brute.frame(spark, [(1, "a")]).where("doc_id > 1")
     assert block_repeats.kept_words(empty).collect() == []
     assert suffix_dedup.kept_bytes(empty).collect() == []
+
+
+def test_texts_of_equal_short_digests_stay_apart(spark):
+    """Two texts with null ids whose 32-bit hashes are equal; one holds a repeated passage."""
+    passage, clean = " ".join(f"p{i}" for i in range(60)), " ".join(f"c{i}" for i in range(60))
+    many = spark.range(200_000).selectExpr(f"concat('{passage} a', id) as a", f"concat('{clean} b', id) as b")
+    same = many.selectExpr("a", "hash(a) as h").join(many.selectExpr("b", "hash(b) as h"), "h").first()
+    docs = brute.frame(spark, [(None, same.a), (None, same.b), (1, passage)], more=False)
+    words = {bytes(r.kept).decode() for r in block_repeats.kept_words(docs).collect()}
+    assert words == {same.a.split()[-1], same.b, ""}
+    assert {r.text for r in block_repeats.remove_repeats(docs).collect()} >= {same.b}
+    assert same.b in {bytes(r.kept).decode() for r in suffix_dedup.kept_bytes(docs).collect()}
