@@ -50,11 +50,15 @@ def byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def byte_level_encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """An encoder with the ids of a byte-level BPE tokenizer file, special tokens in texts being
-    ordinary text. It needs the file's merges to be in the order of their ids, so that an id is a
-    rank, and refuses other files."""
+    """An encoder with the ids of a byte-level BPE tokenizer file, its added tokens being special
+    ones. It needs the file's merges to be in the order of their ids, so that an id is a rank, and
+    added tokens that take no part of the text around them, and refuses other files."""
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        content = json.load(file)
+    model, added = content["model"], content.get("added_tokens") or []
+    if any(t.get(option) for t in added for option in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens depend on the text around them")
+    special = {t["content"]: t["id"] for t in added}
     byte = byte_of()
     vocabulary: dict[str, int] = model["vocab"]
     merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
@@ -64,9 +68,9 @@ def byte_level_encoding(path: str, pattern: str) -> tiktoken.Encoding:
     ranks = {
         bytes(byte[c] for c in token): rank
         for token, rank in vocabulary.items()
-        if all(c in byte for c in token)
+        if token not in special and all(c in byte for c in token)
     }
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenize_pieces(
@@ -83,7 +87,7 @@ def tokenize_pieces(
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = code.encode_to_numpy(text.as_py(), disallowed_special=()).astype("<u4").tobytes() + end
+                ids = code.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 start, stop, piece = 0, n % capacity or capacity, 0
                 while start < n:

@@ -71,6 +71,18 @@ def test_ids_are_the_library_tokenizers():
         assert code.encode_ordinary(text) == model.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_library_tokenizers(spark):
+    model = Tokenizer.from_file(MODEL)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}\n\n y <|endoftext| {end.upper()}", f"a{end}b  ", "none"]
+    found = packing.tokenize_pieces(
+        brute.frame(spark, list(enumerate(texts))), MODEL, public_tokenizers.PATTERN, keep_ids=True
+    ).collect()
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in found}
+    assert ids == {i: [*model.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, 0]
+
+
 def placed(counts, capacity):
     bins, used = defaultdict(list), Counter()
     for length, low, high, first, offset, copies in packing.plan_packing(counts, capacity):
