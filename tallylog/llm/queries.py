@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import block_repeats, bpe, fingerprints, html_extract, licenses, near_dedup, packing, quality, suffix_dedup, warc
+from tallylog.llm import block_repeats, bpe, fingerprints, html_extract, licenses, manifest, near_dedup, packing, quality, suffix_dedup, warc
 from tallylog.llm.shared import cut, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +99,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle tree over all documents, with a proof for each and what tampering does to it."""
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 # The pages' markup in SQL: the article, its blocks ended by a space, and the references that occur.
 OP1_SQL = r"""
 with articles as (
@@ -224,6 +229,66 @@ select page_id, payload_bytes, payload_digest,
 from largest
 """
 
+def _manifest_sql(levels: int = 6, top_levels: int = 4) -> str:
+    """The manifest in SQL, for sources of up to 16 ** levels rows. Level k of a tree is grouped
+    from the one below where the tree has more than 16 ** (k - 1) leaves."""
+    field = lambda value: f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # one byte of the CRC: eight shifts, each with the polynomial where a bit falls out
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    digits = "list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::bigint, {digits}), lambda c, b: {step}), 4294967295)"
+
+    def tree(name: str, group: str, depth: int) -> str:
+        parts = []
+        for k in range(depth):
+            near = f"over (partition by {group}, i // 16 order by i rows between"
+            parts.append(f"""{name}{k}s as (select *,
+                case when n > {16**k} then coalesce(string_agg(node, '') {near} unbounded preceding and 1 preceding), '') end as l,
+                case when n > {16**k} then coalesce(string_agg(node, '') {near} 1 following and unbounded following), '') end as r
+                from {name}{k})""")
+            parts.append(f"""{name}{k + 1} as (select {group}, i // 16 as i, any_value(n) as n,
+                case when any_value(n) > {16**k} then sha256(string_agg(node, '' order by i)) else any_value(node) end as node
+                from {name}{k} group by {group}, i // 16)""")
+        return ",\n".join(parts)
+
+    def climb(name: str, group: str, depth: int, start: str) -> tuple[str, str, str]:
+        joins, proof, node = "", [], start
+        for k in range(depth):
+            t = f"{name}{k}s"
+            joins += f" join {t} on {t}.{group} is not distinct from d.{group} and {t}.i = d.{name}_i // {16**k}"
+            proof.append(f"coalesce({t}.l || {t}.r, '')")
+            node = f"case when {t}.l is null then {node} else sha256({t}.l || {node} || {t}.r) end"
+        return joins, " || ".join(proof), node
+
+    own, own_proof, folded = climb("a", "source", levels, "d.shown")
+    top, top_proof, ended = climb("b", "whole", top_levels, "d.folded")
+    return f"""
+with plain as (select doc_id, source, {leaf("text")} as leaf, case when {crc} % 5 = 0 then {leaf(lowered)} end as other from documents),
+leaves as (
+    select doc_id, source, leaf as node, coalesce(other, leaf) as shown, count(*) over (partition by source) as n,
+           row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i
+    from plain
+), a0 as (select source, i, n, node from leaves),
+{tree("a", "source", levels)},
+subroots as (
+    select source, node, 0 as whole, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n
+    from a{levels}
+), b0 as (select whole, i, n, node from subroots),
+{tree("b", "whole", top_levels)},
+within as (
+    select d.doc_id, d.source, d.node as leaf, {own_proof} as proof, {folded} as folded
+    from (select *, i as a_i from leaves) d {own}
+), placed as (
+    select w.*, s.node as subroot, s.whole, s.i as b_i from within w join subroots s on s.source is not distinct from w.source
+)
+select d.doc_id, d.leaf, d.subroot, r.node as root, sha256(d.proof || {top_proof}) as proof_sha256,
+       {ended} as folded_root, {ended} = r.node as verified
+from placed d cross join b{top_levels} r {top}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -235,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_block_repeats": op9_block_repeats,
     "op10_warc": op10_warc,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "quality_measures": quality_measures,
     "license_places": license_places,
 }
@@ -246,4 +312,5 @@ ORACLES: dict[str, str] = {
     "op8_near_duplicates": OP8_SQL,
     "op9_block_repeats": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op13_merkle_manifest": _manifest_sql(),
 }
