@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallylog.llm.shared import cut, split_join
@@ -12,28 +12,31 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (columns a and b, any type with an order): the
     label is the least node that can be reached.
 
-    Large stars and small stars take turns: every node hands its greater neighbours to the least
-    one it knows, then its smaller ones, until nothing moves. Least neighbours are found with
-    partial aggregates, so a node with very many links is no hot key there; the joins on it are
-    split by Spark. Each round is written to the shared folder. Links of a node to itself make it a
-    component of its own; null ends are ignored.
+    Each round a node hands its smaller neighbours to the least of them, its parent, and all move on
+    to the parent's own parent, so paths are halved; it ends when nothing moves. A round is five
+    shuffles and one write to the shared folder. Parents are found with partial aggregates, so a
+    node with very many links is no hot key there; the joins on it are split by Spark. Links of a
+    node to itself make it a component of its own; null ends are ignored.
     """
     ends = links.where("a is not null and b is not null")
     ends = cut(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     pairs = ends.where("u <> v")
-    state = None
     while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = split_join(large, low, ["u"])
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        parent = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        handed = split_join(pairs.select("u", "v"), parent, ["u"]).select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+            F.col("m").alias("v"),
+            (F.col("v") != F.col("m")).alias("moved"),
+        )
+        grand = parent.select(F.col("u").alias("v"), F.col("m").alias("g"))
+        hopped = split_join(handed, grand, ["v"], "left").select(
+            "u", F.coalesce("g", "v").alias("v"), (F.col("moved") | F.col("g").isNotNull()).alias("moved")
+        )
+        seen = Observation()
+        now = hopped.groupBy("u", "v").agg(F.max("moved").alias("moved"))
+        pairs = cut(now.observe(seen, F.max(F.col("moved").cast("int")).alias("moved")))
+        if not seen.get["moved"]:
             break
-        state = now
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     alone = ends.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("label"))
     found = pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
