@@ -12,7 +12,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallylog.llm import block_repeats, bpe, fingerprints, html_extract, licenses, manifest, near_dedup, packing, quality, suffix_dedup, warc
+from tallylog.llm import (
+    block_repeats,
+    bpe,
+    fingerprints,
+    html_extract,
+    licenses,
+    manifest,
+    near_dedup,
+    packing,
+    quality,
+    simhash,
+    suffix_dedup,
+    warc,
+    whitening,
+)
 from tallylog.llm.shared import cut, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +113,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and its component of fingerprints four bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of each embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12 that SQL can express: exact deviations from the mean."""
+    return whitening.deviations(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle tree over all documents, with a proof for each and what tampering does to it."""
     return manifest.manifest(table(spark, sf_dir, "documents"))
@@ -229,6 +258,19 @@ select page_id, payload_bytes, payload_digest,
 from largest
 """
 
+DEVIATION_SQL = """
+with good as (
+    select vec_id, embedding, row_number() over () as row_id from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c::double))) = 0
+), x as (
+    select row_id, vec_id, unnest(range(len(embedding))) as dim,
+           unnest(list_transform(embedding, lambda c: floor(1024 * c::double)::bigint + 100000))::hugeint as x from good
+), sums as (select dim, sum(x)::hugeint as s, count(*)::hugeint as n from x group by dim)
+select vec_id, any_value(n)::bigint as n, sum((n * x - s) * (n * x - s))::bigint as deviation
+from x join sums using (dim) group by row_id, vec_id
+"""
+
+
 def _manifest_sql(levels: int = 6, top_levels: int = 4) -> str:
     """The manifest in SQL, for sources of up to 16 ** levels rows. Level k of a tree is grouped
     from the one below where the tree has more than 16 ** (k - 1) leaves."""
@@ -300,7 +342,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_block_repeats": op9_block_repeats,
     "op10_warc": op10_warc,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
+    "embedding_deviations": embedding_deviations,
     "quality_measures": quality_measures,
     "license_places": license_places,
 }
@@ -313,4 +358,5 @@ ORACLES: dict[str, str] = {
     "op9_block_repeats": OP9_SQL,
     "op10_warc": OP10_SQL,
     "op13_merkle_manifest": _manifest_sql(),
+    "embedding_deviations": DEVIATION_SQL,
 }
