@@ -6,29 +6,33 @@ Jaccard similarity reaches the threshold, and linked documents form components.
 1. Equal sets are one from here on (by a 128-bit digest), however many copies there are.
 2. Chosen paths: each of TREES independent trees branches the sets by selected minwise tokens: a
    set goes to the node named by its least shingle hash under the tree's hash function for that
-   level. Nodes with one set end. Small nodes are compared exhaustively by all minwise tokens of
-   their sets. Larger nodes branch again, by the next level's token; what is still large at the
-   last level is cut into blocks that share a pivot, and sets that these leave apart from most of
-   their node are compared with all of it. Two sets at similarity 0.8 miss each other in all of
-   ten first levels once in ten million times, in all of ten last levels, where every token is
-   hot, 8 times in ten thousand.
+   level. Small nodes are compared exhaustively by all minwise tokens of their sets. Larger nodes
+   branch again, by the next level's token, and are compared exhaustively at the last level. All
+   of this happens in the node's task, up to NODE_PART sets; a larger node is branched before it is
+   dealt out, and if it is still larger at the last level it is cut into blocks that share pivots,
+   and sets that these leave apart from most of their node are compared with all of it. Two sets at
+   similarity 0.8 miss each other in all of ten first levels once in ten million times, in all of
+   ten last levels, where every token is hot, 8 times in ten thousand.
 3. Sets that agree in enough minwise tokens form clusters, which are larger than the components
    sought. Each set belongs to one cluster, so full texts are brought together once.
 4. Confirmation: within a cluster full sets are compared, breadth first, each set with all that
    are not reached yet, so nothing but components and no pair leaves the task. A cluster of more
-   than CLUSTER_SHINGLES is cut into blocks, anew in each of three rounds, with the same pivots in
-   all of them; its links are joined up by the components of all blocks together.
+   than CLUSTER_SHINGLES is cut into blocks with the same pivots in all of them, whose components
+   are joined up; then all sets outside the cluster's largest component are compared with all of
+   it, block by block, so its links are exact, too.
 
-Limits on nodes and blocks bound memory, not what is compared: each node's sets are all compared or
-connected already, so only the trees carry the recall.
+The limits bound how many sets and shingles a task holds (of one set at a time, however long), not
+what is compared: each node's sets are all compared or connected already, so only the trees carry
+the recall. What is left of a node or cluster beyond them is compared in time with the square of
+what is not connected with most of it.
 
 Words are runs of characters other than space and tab to carriage return. A text with fewer words
 than a shingle is one shingle; null text or one without words has an empty set, is linked with
 nothing and is a component by itself. The component id is its least document id. Rows that share
 an id and a set are one document; rows that share an id only are compared like others. Null ids
 come after all others: a component of null ids alone has a null id, and its rows are kept. Other
-columns are ignored by `near_duplicates`, kept by `keep_first` and `keep_one`. `keep_first` gives
-all rows that carry the component's id, `keep_one` a single one of them. An empty table gives no rows.
+columns are ignored by `near_duplicates` and kept by `keep_one`, which gives a single row of each
+component. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,11 +56,14 @@ TREES, LEVELS = 10, 3
 TOKENS = TREES * LEVELS
 #: Sets of a node that is compared exhaustively.
 SMALL_NODE = 128
-#: Sets of a larger one that are compared with each other in a task, from either side.
-NODE_PART = 2048
+#: Sets of a node that one task branches on and compares; larger ones are branched, in the end cut,
+#: before.
+NODE_PART = 1 << 14
+#: Large nodes that are broadcast; more are joined by a shuffle.
+BROADCAST_NODES = 10_000
 #: Shingles of a cluster, and of a block of a larger one, confirmed in one task.
 CLUSTER_SHINGLES = 4_000_000
-ROUNDS, PIVOTS = 3, 32
+PIVOTS = 32
 
 
 def least_agreement(percent: int, tokens: int = TOKENS) -> int:
@@ -104,33 +111,75 @@ def signatures(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "k_id long, k_th long, n_shingles long, set_id binary, tokens binary, sketch binary")
 
 
-def _node_links(members: DataFrame, agree: int) -> DataFrame:
-    """Links (a, b) of the sets of nodes (node, set_id, data): each set with the least of those it
-    is connected with in the node. Tokens are compared by the bytes in `data`."""
+def _branched(group: np.ndarray, level: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows and their groups (ascending) once groups of more than SMALL_NODE have
+    branched by the next levels' tokens, as far as there are any."""
+    order = np.arange(len(group))
+    while True:
+        large = (np.bincount(group)[group] > SMALL_NODE) & (level < LEVELS - 1)
+        if not large.any():
+            return order, group
+        level = level + large
+        token = np.where(large, steps[order, level], 0)
+        by = np.lexsort((token, group))
+        order, level, group, token = order[by], level[by], group[by], token[by]
+        new = np.zeros(len(group), np.int64)
+        new[1:] = (group[1:] != group[:-1]) | (token[1:] != token[:-1])
+        group = np.cumsum(new)
+
+
+def _near_pairs(group: np.ndarray, tokens: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that connect all rows which agree in enough tokens."""
+    sizes = np.bincount(group)
+    one, other = [], []
+    # small groups in one go: each row with the next, with the one after next, and so on
+    here = np.flatnonzero(sizes[group] <= SMALL_NODE)
+    for step in range(1, SMALL_NODE):
+        here = here[here + step < len(group)]
+        here = here[group[here + step] == group[here]]
+        if not len(here):
+            break
+        near = here[(tokens[here] == tokens[here + step]).sum(axis=1) >= agree]
+        one.append(near)
+        other.append(near + step)
+    # large ones breadth first: each row with all that are not reached yet
+    for g in np.flatnonzero(sizes > SMALL_NODE).tolist():
+        left = np.flatnonzero(group == g)
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                close = (tokens[left] == tokens[x]).sum(axis=1) >= agree
+                near = left[close]
+                one.append(np.full(len(near), x))
+                other.append(near)
+                queue += near.tolist()
+                left = left[~close]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *other])
+
 
-    def linked(node: np.ndarray, ids: list[bytes], tokens: np.ndarray) -> pa.RecordBatch:
+def _node_links(members: DataFrame, agree: int) -> DataFrame:
+    """Links (a, b) of the sets of nodes (node, level, set_id, data): each set with the least row it
+    is connected with in the node. Nodes branch on from their level; tokens are compared by the
+    sketches in `data`."""
+
+    def linked(node: np.ndarray, level: np.ndarray, ids: list[bytes], data: np.ndarray) -> pa.RecordBatch:
+        steps = np.ascontiguousarray(data[:, TOKENS:]).view(np.int64)
+        order, group = _branched(np.cumsum(np.diff(node, prepend=node[:1]) != 0), level, steps)
+        one, other = _near_pairs(group, data[order, :TOKENS], agree)
         label = np.arange(len(ids))
-        one, other = [], []
-        for step in range(1, len(ids)):
-            here = np.flatnonzero(node[step:] == node[:-step])
-            if not len(here):
+        while len(one):
+            least = np.minimum(label[one], label[other])
+            before = label.copy()
+            np.minimum.at(label, one, least)
+            np.minimum.at(label, other, least)
+            label = label[label]
+            if np.array_equal(label, before):
                 break
-            near = here[(tokens[here] == tokens[here + step]).sum(axis=1) >= agree]
-            one.append(near)
-            other.append(near + step)
-        if one:
-            one, other = np.concatenate(one), np.concatenate(other)
-            while True:
-                least = np.minimum(label[one], label[other])
-                before = label.copy()
-                np.minimum.at(label, one, least)
-                np.minimum.at(label, other, least)
-                if np.array_equal(label, before):
-                    break
-        moved = np.flatnonzero(label != np.arange(len(ids))).tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in moved], pa.binary()), pa.array([ids[label[i]] for i in moved], pa.binary())], ["a", "b"]
-        )
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        pick = lambda at: pa.array([ids[i] for i in order[at].tolist()], pa.binary())
+        return pa.RecordBatch.from_arrays([pick(moved), pick(label[moved])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -142,10 +191,10 @@ def _node_links(members: DataFrame, agree: int) -> DataFrame:
             node = table.column("node").to_numpy()
             # the last node goes on with the next batch
             end = len(node) if last else int(np.searchsorted(node, node[-1]))
-            ids = table.column("set_id").slice(0, end).to_pylist()
-            data = b"".join(table.column("data").slice(0, end).to_pylist())
             if end:
-                yield linked(node[:end], ids, np.frombuffer(data, np.uint8).reshape(end, -1)[:, :TOKENS])
+                ids = table.column("set_id").slice(0, end).to_pylist()
+                data = np.frombuffer(b"".join(table.column("data").slice(0, end).to_pylist()), np.uint8).reshape(end, -1)
+                yield linked(node[:end], table.column("level").to_numpy()[:end], ids, data)
             held = table.slice(end).to_batches()
             n = len(node) - end
 
@@ -158,16 +207,17 @@ def _node_links(members: DataFrame, agree: int) -> DataFrame:
         if held:
             yield from flush(True)
 
-    ordered = members.select("node", "set_id", "data").repartition("node").sortWithinPartitions("node")
+    ordered = members.select("node", "level", "set_id", "data").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the sets (set_id, tokens, sketch) which agree in enough tokens.
 
-    A member of a node is (node, set_id, data): data is the sketch and the tree's tokens, one for
-    each level, so rows stay short. What shares a node is written to the shared folder, level by
-    level.
+    A member of a node is (node, level, set_id, data): data is the sketch and the tree's tokens, one
+    for each level, so rows stay short. They are dealt out once, by node; a node of up to NODE_PART
+    sets is branched, as far as the levels go, by its task. A larger one is branched before that,
+    which is known from a count by node.
     """
     agree = least_agreement(percent)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
@@ -175,31 +225,32 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     data = F.concat("sketch", *[token(level) for level in range(LEVELS)])
     step = lambda level: F.substring("data", TOKENS + 8 * level + 1, 8)
     members = sets.select("set_id", "tokens", "sketch", tree).select("set_id", "tree", data.alias("data"))
-    members = members.select(F.xxhash64("tree", step(0)).alias("node"), "set_id", "data")
-    found = crowded = None
+    members = members.select(F.xxhash64("tree", step(0)).alias("node"), F.lit(0).alias("level"), "set_id", "data")
     for level in range(LEVELS):
-        sizes = members.groupBy("node").agg(F.count("*").alias("_n"), F.min("set_id").alias("_pivot")).where("_n > 1")
-        sized = cut(split_join(members, sizes, ["node"]))
-        links = _node_links(sized.where(F.col("_n") <= SMALL_NODE), agree)
-        large = sized.where(F.col("_n") > SMALL_NODE)
+        hot = cut(members.where(F.col("level") == level).groupBy("node").count().where(F.col("count") > NODE_PART))
+        if hot.isEmpty():
+            return _node_links(members, agree)
+        hot = hot.select("node", F.col("count").alias("_n"))
+        known = members.join(F.broadcast(hot), "node", "left") if hot.count() <= BROADCAST_NODES else split_join(members, hot, ["node"], "left")
+        large = F.col("_n").isNotNull()
         if level < LEVELS - 1:
-            members = large.select(F.xxhash64("node", step(level + 1)).alias("node"), "set_id", "data")
-        else:
-            # blocks of the node, with its least set in each; the rest of it is compared below
-            crowded = large
-            number = F.pmod(F.xxhash64("set_id", "node"), F.ceil(F.col("_n") / SMALL_NODE))
-            blocks = large.withColumn("block", F.xxhash64("node", number))
-            own = blocks.where(F.col("set_id") != F.col("_pivot")).select(F.col("block").alias("node"), "set_id", "data")
-            pivots = blocks.where(F.col("set_id") == F.col("_pivot")).select("node", "set_id", "data")
-            places = blocks.select("node", "block").distinct()
-            guests = places.join(pivots, "node").select(F.col("block").alias("node"), "set_id", "data")
-            links = links.unionByName(_node_links(own.unionByName(guests), agree))
-        found = links if found is None else found.unionByName(links)
-    if crowded.isEmpty():
-        return found
-    labels = connected(found)
-    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return known.unionByName(_node_links(_rest_of_nodes(crowded, labels), agree))
+            below = F.when(large, F.xxhash64("node", step(level + 1))).otherwise(F.col("node"))
+            members = known.select(below.alias("node"), (F.col("level") + large.cast("int")).alias("level"), "set_id", "data")
+    # sets that agree in all of a tree's tokens: blocks with the same pivots in each, then the rest
+    crowded, ends = known.where(large).drop("level"), F.lit(LEVELS - 1).alias("level")
+    blocks = F.ceil(F.col("_n") / NODE_PART).cast("long")
+    number = F.pmod(F.xxhash64("set_id", "node"), blocks)
+    own = crowded.select(F.xxhash64("node", number).alias("node"), ends, "set_id", "data")
+    residue = F.pmod(F.xxhash64("set_id"), F.lit(PIVOTS)).alias("_residue")
+    pivots = crowded.groupBy("node", blocks.alias("_blocks"), residue).agg(F.min(F.struct("set_id", "data")).alias("_pivot"))
+    guests = pivots.select(
+        "node", "_pivot.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_number")
+    ).where(F.pmod(F.xxhash64("set_id", "node"), F.col("_blocks")) != F.col("_number"))
+    guests = guests.select(F.xxhash64("node", "_number").alias("node"), ends, "set_id", "data")
+    rows = known.where(~large).select("node", "level", "set_id", "data").unionByName(own).unionByName(guests)
+    labels = connected(_node_links(rows, agree))
+    ends_ = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return ends_.unionByName(_node_links(_rest_of_nodes(crowded, labels).withColumn("level", F.lit(LEVELS - 1)), agree))
 
 
 def _rest_of_nodes(crowded: DataFrame, labels: DataFrame) -> DataFrame:
@@ -271,7 +322,7 @@ def _confirmed(members: DataFrame, words: int, percent: int) -> DataFrame:
     its component there."""
 
     def linked(rows: list[tuple[bytes, str]]) -> pa.RecordBatch:
-        known = dict(rows)  # one text for each set
+        known = dict(rows)
         ids = sorted(known)
         sizes, parts = [], []
         texts = pa.array([known[i] for i in ids], pa.string())
@@ -308,20 +359,15 @@ def _blocks(clusters: DataFrame) -> DataFrame:
     sized = clusters.join(sizes, "label")
     whole = sized.where(F.col("_total") <= CLUSTER_SHINGLES).select("set_id", F.xxhash64("label").alias("block"))
     large = sized.where(F.col("_total") > CLUSTER_SHINGLES).withColumn(
-        "_blocks", F.ceil(2 * F.col("_total") / CLUSTER_SHINGLES).cast("int")
+        "_blocks", F.ceil(2 * F.col("_total") / CLUSTER_SHINGLES).cast("long")
     )
-    rounds = large.select("*", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))).alias("_round"))
-    number = F.pmod(F.xxhash64("set_id", "_round"), F.col("_blocks"))
-    dealt = rounds.select("set_id", F.xxhash64("label", "_round", number).alias("block"))
+    dealt = large.select("set_id", F.xxhash64("label", F.pmod(F.xxhash64("set_id"), F.col("_blocks"))).alias("block"))
     # per cluster and residue one set is a pivot: it goes to all blocks
-    residue = F.pmod(F.xxhash64("set_id"), F.lit(PIVOTS))
+    residue = F.pmod(F.xxhash64("set_id", F.lit("pivot")), F.lit(PIVOTS))
     pivots = large.groupBy("label", "_blocks", residue).agg(F.min("set_id").alias("set_id"))
-    everywhere = pivots.select(
-        "label", "_blocks", "set_id", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))).alias("_round")
-    ).select(
-        "set_id", "label", "_round", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_number")
-    )
-    guests = everywhere.select("set_id", F.xxhash64("label", "_round", F.col("_number").cast("long")).alias("block"))
+    guests = pivots.select(
+        "set_id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_number")
+    ).select("set_id", F.xxhash64("label", "_number").alias("block"))
     return whole.unionByName(dealt).unionByName(guests).distinct()
 
 
@@ -383,8 +429,11 @@ def _groups(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     named = connected(candidate_links(sets, percent)).withColumnRenamed("node", "set_id")
     clusters = sets.select("set_id", "n_shingles", "one").join(named, "set_id")
 
+    # copies of a row are one before texts are dealt out
+    single = rows.groupBy("k_id", "k_th").agg(F.first("text").alias("text"))
+
     def confirmed(blocks: DataFrame) -> DataFrame:
-        texts = rows.join(blocks.select("block", "set_id", "one.k_id", "one.k_th"), ["k_id", "k_th"])
+        texts = single.join(blocks.select("block", "set_id", "one.k_id", "one.k_th"), ["k_id", "k_th"])
         return _confirmed(texts.select("block", "set_id", "text"), words, percent)
 
     sizes = clusters.groupBy("label").agg(F.sum("n_shingles").alias("_total"))
@@ -413,16 +462,6 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return found.select("k_id", "k_th", "n_shingles", alone.alias("component_id"))
 
 
-def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, with their own columns, that are the least of their component."""
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), "doc_id", "text")
-    key = keyed(rows)
-    found = _components(key, words, percent).where(_kept()).select("k_id", "k_th").distinct()
-    own = rows.select("_row", *row_key())
-    return own.join(found, ["k_id", "k_th"], "left_semi").select(*[F.col("_row")[c].alias(c) for c in names])
-
-
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with its own columns: that of the least id, null ids last, and of
     the least text digest where rows share it. Of rows that share id and text the one with the

@@ -81,6 +81,33 @@ def test_hot_tokens_lose_no_pair(spark, monkeypatch):
     assert [found.get(i, i) for i in range(400)] == expected.tolist()
 
 
+@pytest.mark.parametrize("part", [20, 1000])
+def test_nodes_branch_in_and_before_their_task(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 8)
+    monkeypatch.setattr(near_dedup, "NODE_PART", part)
+    rng = np.random.default_rng(15)
+    # first tokens of all trees are the same for all sets, second ones for half of them, third ones differ
+    tokens = rng.integers(0, 2**63, (300, near_dedup.TOKENS)).astype(">u8")
+    tokens[:, : near_dedup.TREES] = tokens[0, : near_dedup.TREES]
+    tokens[:150, near_dedup.TREES : 2 * near_dedup.TREES] = tokens[0, near_dedup.TREES : 2 * near_dedup.TREES]
+    for i in range(0, 300, 3):
+        tokens[i + 1] = np.where(rng.random(near_dedup.TOKENS) < 0.8, tokens[i], tokens[i + 1])
+    sketch = tokens.view(np.uint8)[:, 7::8]
+    sets = [(b"%08d" % i, t.tobytes(), k.tobytes()) for i, (t, k) in enumerate(zip(tokens, sketch))]
+    links = near_dedup.candidate_links(spark.createDataFrame(sets, "set_id binary, tokens binary, sketch binary"), 80)
+    found = {int(bytes(r.node)): int(bytes(r.label)) for r in connected(links).collect()}
+    for i in range(0, 300, 3):
+        assert (found.get(i, i) == found.get(i + 1, i + 1)) == ((sketch[i] == sketch[i + 1]).sum() >= near_dedup.least_agreement(80))
+
+
+def test_many_equal_rows_are_one(spark):
+    text, near = " ".join(f"w{i}" for i in range(60)), " ".join([*(f"w{i}" for i in range(59)), "x"])
+    rows = [(None, text)] * 2000 + [(3, near), (4, text)]
+    found = near_dedup.near_duplicates(brute.frame(spark, rows, more=False), 4).collect()
+    assert len(found) == 2002 and {r.component_id for r in found} == {3}
+    assert [r.doc_id for r in near_dedup.keep_one(brute.frame(spark, rows), 4).collect()] == [3]
+
+
 def test_linked_components_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -111,8 +138,8 @@ def test_edges(spark):
         [(None, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (6, 1, 6, True), (7, 1, 6, False), (None, 1, None, True)],
         key=str,
     )
-    kept = near_dedup.keep_first(brute.frame(spark, rows))
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "6", "None"]
+    kept = near_dedup.keep_one(brute.frame(spark, rows))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6", "None"]
     assert kept.columns == brute.frame(spark, rows).columns
 
 

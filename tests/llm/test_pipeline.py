@@ -80,7 +80,7 @@ def test_one_row_of_each_group_keeps_its_text(spark):
 
 def test_registry():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in contract.queries()
     assert {n for n in contract.oracle_sql() if n.startswith("op") and n[2].isdigit()} == {
         "op1_html_extraction", "op8_near_duplicates", "op9_block_repeats", "op10_warc",
