@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.functions.binding import computed_once
-from tallylog.llm.shared import whole_text
+from tallylog.llm.shared import cut, row_key, split_join, whole_text
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -218,7 +218,11 @@ def judge(measured: DataFrame, model: VoteModel, keep_from: float = KEEP_FROM) -
 
 
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    measured = add_measures(docs.select("text"))
-    judged = judge(add_measures(docs), fit(measured), keep_from)
-    return judged.where("kept").select(*docs.columns)
+    """The documents that are kept, with their own columns. The measures are made once and held, as
+    numbers, by the rows' keys; rows of one key have one text and so one verdict."""
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("_row"), *row_key())
+    held = cut(add_measures(docs.select(*row_key(), "text")).drop("text"))
+    kept = judge(held, fit(held), keep_from).where("kept").select("k_id", "k_th").distinct()
+    found = split_join(rows, kept, ["k_id", "k_th"], "left_semi")
+    return found.select(*[F.col("_row")[c].alias(c) for c in names])
