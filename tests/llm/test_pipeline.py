@@ -83,5 +83,5 @@ def test_registry():
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in contract.queries()
     assert {n for n in contract.oracle_sql() if n.startswith("op") and n[2].isdigit()} == {
-        "op1_html_extraction", "op8_near_duplicates", "op9_block_repeats", "op10_warc",
+        "op1_html_extraction", "op8_near_duplicates", "op9_block_repeats", "op10_warc", "op13_merkle_manifest",
     }
