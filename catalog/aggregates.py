@@ -105,6 +105,17 @@ for _case, (_arguments, _on_logs, _on_minutes) in _CASES.items():
     QUERIES[f"aggregate_{_case}"] = _routed(_filters, "1h", "level")
     ORACLES[f"aggregate_{_case}"] = _sql(_on_minutes or _on_logs, "1h", "level")
 
+# Ranges whose whole minutes come from the minute counts and whose cut minutes from the logs.
+_EXACT = {
+    "cut_since": ({"since": "2024-01-04T23:59:59.75Z", "until": "2024-01-09T06:00:00Z"}, "5m", "service"),
+    "cut_until": ({"since": "2024-01-04T00:00:00Z", "until": "2024-01-09T06:30:00.000001Z"}, "1d", None),
+    "one_level": ({"level": "warn", **UNALIGNED}, "1m", "service"),
+}
+for _case, (_arguments, _bucket, _group) in _EXACT.items():
+    _level = "level = 'warn' AND " if "level" in _arguments else ""
+    QUERIES[f"aggregate_exact_{_case}"] = _routed(LogFilters(**_arguments), _bucket, _group, exact=True)
+    ORACLES[f"aggregate_exact_{_case}"] = _sql(_level + between(_arguments), _bucket, _group)
+
 QUERIES["aggregate_unaligned_exact"] = _routed(LogFilters(**UNALIGNED), "1h", "level", exact=True)
 ORACLES["aggregate_unaligned_exact"] = _sql(between(UNALIGNED), "1h", "level")
 

@@ -21,6 +21,7 @@ from catalog.common import (
 from tallylog.functions.timestamps import timestamp_text
 from tallylog.operators import audit, paging
 from tallylog.operators.filters import LogFilters, where_matching
+from tallylog.operators.rollup import build_rollup
 from tallylog.plans.scenarios import scenarios
 
 NEEDLE = "nEeDlE_%\\pAtH"
@@ -120,6 +121,20 @@ def widening_page(spark, sf_dir):
     return shown(paging.newest_page(logs(spark, sf_dir), filters, PAGE_LIMIT))
 
 
+def _guided_page(filters, position=None):
+    """A page that minute counts bound."""
+
+    def run(spark, sf_dir):
+        rows = logs(spark, sf_dir)
+        counts = build_rollup(rows)
+        return shown(paging.newest_page(rows, filters, PAGE_LIMIT, position, rollup=counts))
+
+    return run
+
+
+_GUIDED = ("recent_page", "service_page", "level_page")
+
+
 def formatted_page(spark, sf_dir):
     filters = LogFilters(**WEEK)
     page = paging.list_logs(logs(spark, sf_dir), filters, PAGE_LIMIT)
@@ -202,6 +217,8 @@ def conversation_search(spark, sf_dir):
 
 QUERIES = {name: _filtered(**arguments) for name, (arguments, _) in _FILTERS.items()}
 QUERIES.update({f"scenario_{n}": _scenario_page(n) for n, s in SCENARIOS.items() if not s.bucket})
+QUERIES.update({f"guided_{n}": _guided_page(SCENARIOS[n].filters) for n in _GUIDED})
+QUERIES["guided_continued_page"] = _guided_page(LogFilters(service="service-007"), POSITION)
 QUERIES.update(
     {
         f.__name__: f
@@ -273,6 +290,7 @@ ORACLES.update(
             r"contains(lower(message), 'needle_%\path') AND " + between(WEEK)
         ),
         "continued_page": _page_sql(_AFTER),
+        "guided_continued_page": _page_sql(f"service = 'service-007' AND {_AFTER}"),
         "tied_page": f"""{_HOURLY},
             page AS (SELECT * FROM hourly WHERE {between(WEEK)} {_NEWEST} LIMIT 101)
             SELECT {PUBLIC} FROM page""",
@@ -320,3 +338,4 @@ ORACLES.update(
             WHERE level = 'error'""",
     }
 )
+ORACLES.update({f"guided_{n}": ORACLES[f"scenario_{n}"] for n in _GUIDED})

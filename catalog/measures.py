@@ -109,6 +109,15 @@ def sample_intervals(spark, sf_dir):
     return samples.select("run", "elapsed_ms", "interval_ms")
 
 
+def sample_intervals_tied(spark, sf_dir):
+    """Times cut to the minute, so that many samples of a run share one; their numbers order them."""
+    rows = events(spark, sf_dir)
+    samples = adapters.events_as_resources(rows.withColumn("ts", F.date_trunc("minute", "ts")))
+    tied = samples.select("run", (F.floor(F.col("elapsed_ms") / 3600000) * 3600000).cast("double").alias("elapsed_ms"))
+    found = metrics.sample_intervals(tied)
+    return found.groupBy("run", "elapsed_ms", "interval_ms").agg(F.count("*").alias("samples"))
+
+
 def assess_targets(spark, sf_dir):
     """Each run's own figures against the targets. Two runs are left without failed requests and
     one without failed ticks, so verdicts differ."""
@@ -207,6 +216,7 @@ QUERIES = {
         freshness,
         resource_peaks,
         sample_intervals,
+        sample_intervals_tied,
         assess_targets,
         merged_attributes,
         result_checksum,
@@ -343,6 +353,11 @@ ORACLES = {
           CAST(epoch_us(ts) // 1000 AS DOUBLE) AS elapsed_ms FROM events)
         SELECT run, elapsed_ms, elapsed_ms - lag(elapsed_ms)
           OVER (PARTITION BY run ORDER BY elapsed_ms) AS interval_ms FROM samples""",
+    "sample_intervals_tied": """WITH samples AS (SELECT 'run-' || (user_id % 5) AS run,
+          CAST(epoch_us(ts) // 3600000000 * 3600000 AS DOUBLE) AS elapsed_ms FROM events),
+        steps AS (SELECT run, elapsed_ms, elapsed_ms - lag(elapsed_ms)
+          OVER (PARTITION BY run ORDER BY elapsed_ms) AS interval_ms FROM samples)
+        SELECT run, elapsed_ms, interval_ms, count(*) AS samples FROM steps GROUP BY ALL""",
     "assess_targets": f"""WITH {_REQUESTS.replace("requests AS", "every AS", 1)},
         requests AS (SELECT * FROM every WHERE run NOT IN ('run-1', 'run-2')
           OR (outcome = 'success' AND rejected = 0)),

@@ -176,7 +176,16 @@ def argument_micros(text: str) -> int:
 
 def argument_canonical(text: str) -> str:
     """Canonical UTC text of a valid argument text."""
-    second, fraction = argument_instant(text)
+    return _canonical(*argument_instant(text))
+
+
+def micros_canonical(micros: int) -> str:
+    """Canonical UTC text of epoch microseconds."""
+    second, rest = divmod(micros, 1000000)
+    return _canonical(second, f"{rest:06d}".rstrip("0"))
+
+
+def _canonical(second: int, fraction: str) -> str:
     days, rest = divmod(second, 86400)
     ordinal = days + _EPOCH
     cycle = 0 if ordinal >= 1 else 1

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallylog.fixed import BUCKETS
-from tallylog.functions.timestamps import timestamp_text
+from tallylog.functions.timestamps import argument_micros, micros_canonical, timestamp_text
 from tallylog.operators.filters import (
     LogFilters,
     all_of,
@@ -17,6 +20,9 @@ from tallylog.operators.filters import (
 )
 
 
+MINUTE_MICROS = 60_000_000
+
+
 def group_value(group_by: str | None) -> Column:
     """The grouping column, or a typed null when there is none."""
     return F.lit(None).cast("string") if group_by is None else F.col(group_by)
@@ -63,6 +69,18 @@ def rollup_bucket_count(
     )
 
 
+def whole_minutes(filters: LogFilters) -> tuple[LogFilters | None, list[LogFilters]]:
+    """The range's whole minutes, None if it has none, and what its ends cut off minutes."""
+    low, high = argument_micros(filters.since), argument_micros(filters.until)
+    first, last = -(-low // MINUTE_MICROS) * MINUTE_MICROS, high // MINUTE_MICROS * MINUTE_MICROS
+    if first >= last:
+        return None, [filters]
+    part = lambda since, until: dataclasses.replace(
+        filters, since=micros_canonical(since), until=micros_canonical(until)
+    )
+    return part(first, last), [part(a, b) for a, b in ((low, first), (last, high)) if a < b]
+
+
 def aggregate(
     logs: DataFrame,
     rollup: DataFrame,
@@ -73,13 +91,25 @@ def aggregate(
 ) -> DataFrame:
     """Bucket counts from the rollup where it can answer, else from the logs.
 
-    With bounds inside a minute the rollup includes or leaves out that minute as a whole;
-    ``exact=True`` counts the logs instead.
+    With bounds inside a minute the rollup includes or leaves out that minute as a whole.
+    ``exact=True`` takes the whole minutes between the bounds from the rollup and counts the logs of
+    the minutes that the bounds cut, two at most; a range with no whole minute is counted from the
+    logs alone.
     """
     check_aggregation(filters, bucket, group_by)
-    if can_use_rollup(filters) and not exact:
+    if not can_use_rollup(filters):
+        return bucket_count(logs, filters, bucket, group_by)
+    if not exact:
         return rollup_bucket_count(rollup, filters, bucket, group_by)
-    return bucket_count(logs, filters, bucket, group_by)
+    whole, ends = whole_minutes(filters)
+    parts = [bucket_count(logs, end, bucket, group_by) for end in ends]
+    if whole is not None:
+        parts.append(rollup_bucket_count(rollup, whole, bucket, group_by))
+    if len(parts) == 1:
+        return parts[0]
+    # a bucket has one row of each part at most
+    counts = functools.reduce(DataFrame.unionByName, parts)
+    return counts.groupBy("bucket_start", "group").agg(F.sum("count").alias("count"))
 
 
 def order_buckets(counts: DataFrame) -> DataFrame:

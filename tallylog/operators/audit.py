@@ -60,11 +60,30 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
         raise ValueError(f"duplicate key in batch: {', '.join(keys)}")
 
 
+# Bits of the key filter: 2048 bitmaps of 4096 bytes, so 8 MB at most are broadcast.
+KEY_FILTER_BITS = 1 << 26
+
+
+def may_hold(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``stored`` whose key may be one of ``batch``: a bit for each key's hash, set by the
+    batch. Rows without their bit go before any shuffle; a bit set by another key lets a row pass,
+    as it would in any such filter, so the keys are compared after it."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(KEY_FILTER_BITS))
+    bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    bits = batch.select(bucket.alias("_bucket"), at.alias("_at")).groupBy("_bucket")
+    maps = bits.agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    probed = stored.select("*", bucket.alias("_bucket"), at.cast("int").alias("_at"))
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = probed.join(F.broadcast(maps), "_bucket").where(F.getbit(byte, F.col("_at") % 8) == 1)
+    return found.select(*stored.columns)
+
+
 def already_stored(df: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key the log table has. The day is matched too, so that only the day
-    folders ``df`` touches are read."""
+    folders ``df`` touches are read, and stored keys that the batch cannot have go before the
+    shuffle."""
     keys = ["event_date", *LOG_KEYS]
-    return df.join(stored.select(*keys), keys, "left_semi")
+    return df.join(may_hold(stored.select(*keys), df, keys), keys, "left_semi")
 
 
 def audit_result_rows(rows: DataFrame) -> DataFrame:

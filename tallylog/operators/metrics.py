@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +20,6 @@ from tallylog.fixed import (
     TARGET_ROWS_PER_SECOND,
 )
 from tallylog.functions.timestamps import timestamp_text
-from tallylog.operators.paging import numbered
 from tallylog.schema import LOG_SCHEMA
 from tallylog.session import settle
 
@@ -51,79 +53,73 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return condition
 
 
+# Cells of the histogram for each factor of e; a cell is 0.024 % wide.
+CELLS_PER_E = 4096
+# Cells that hold a rank, three per key at most, up to which they reach the driver.
+LOCAL_CELLS = 10_000
+
+
+def _cell(x: Column) -> Column:
+    """A number that never falls as the sample grows; the logarithm never does."""
+    return F.when(x == 0, F.lit(-(1 << 40))).otherwise(F.floor(F.log(x) * CELLS_PER_E)).cast("long")
+
+
 def latency_summary(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Sample count and nearest-rank p50, p95, p99 per key; never interpolated.
 
-    Equal samples of a key are counted first. The distinct ones are range-partitioned by
-    (key, sample), so even one key with most of the samples spreads over all tasks; partition
-    totals then name the one partition that holds each rank. Without samples the percentiles
-    are null. (``percentile_disc`` gives the same numbers but keeps all samples of a key in one
-    buffer.)
+    A histogram in order-preserving cells is counted per key, with partial counts, so one key with
+    most of the samples sends a row per task and cell. Running totals name the cells that hold the
+    ranks. Cells of one value are done; of the others the samples are read once more, counted by
+    value, and the rank is taken from these counts. No samples are sorted or written. Without
+    samples the percentiles are null. (``percentile_disc`` gives the same numbers but keeps all
+    samples of a key in one buffer.)
     """
     keys = list(keys or [])
-    samples = df.select(*keys, _checked(column).alias("_x"), F.lit(0).alias("_all"))
     by = [*keys, "_all"]
-    # A key without samples keeps a row that counts nothing.
-    distinct = samples.groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
-    order = [*by, "_x"]
-    placed = settle(
-        distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    )
-    # Without keys the summary has one row even when there is nothing to count.
-    totals = placed.groupBy(*keys).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("sample_count"), F.lit(0).alias("_all")
+    samples = df.select(*keys, F.lit(0).alias("_all"), _checked(column).alias("_x"))
+    samples = samples.withColumn("_cell", _cell(F.col("_x")))
+    # A key without samples keeps a cell that counts nothing.
+    cells = samples.groupBy(*by, "_cell").agg(
+        F.count("_x").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
     )
-    by_part = Window.partitionBy(*by).orderBy("_part")
-    whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = (
-        placed.groupBy(*by, "_part")
-        .agg(F.sum("_n").alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(by_part))
-        .withColumn("_total", F.sum("_rows").over(whole))
-    )
-    ranks = F.array(
-        *(
-            F.struct(
-                F.lit(p).alias("p"),
-                # ceil(p * n / 100) in whole numbers
-                F.expr(f"({p} * _total + 99) div 100").alias("rank"),
-            )
-            for p in PERCENTILES
-        )
-    )
-    wanted = (
-        parts.withColumn("_rank", F.explode(ranks))
-        .where(
-            (F.col("_rank.rank") <= F.col("_upto"))
-            & (F.col("_rank.rank") > F.col("_upto") - F.col("_rows"))
-        )
-        .groupBy(*by, "_part")
-        .agg(
-            F.collect_list("_rank").alias("_ranks"),  # three at most
-            F.first(F.col("_upto") - F.col("_rows")).alias("_before"),
-        )
+    whole = Window.partitionBy(*by)
+    running = cells.select(
+        "*",
+        (F.sum("_n").over(whole.orderBy("_cell")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(whole).alias("sample_count"),
     )
-    inside = Window.partitionBy(*by, "_part").orderBy("_x")
-    right = placed.alias("v")
-    hit = (
-        right.join(wanted.alias("w"), _same(placed, wanted, [*by, "_part"]))
-        .select(*(F.col(f"v.{c}") for c in [*by, "_part", "_x", "_n"]), "_ranks", "_before")
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_rank", F.explode("_ranks"))
-        .where(
-            (F.col("_rank.rank") <= F.col("_end"))
-            & (F.col("_rank.rank") > F.col("_end") - F.col("_n"))
-        )
-        .groupBy(*by)
-        .agg(
-            *(
-                F.max(F.when(F.col("_rank.p") == p, F.col("_x"))).alias(f"p{p}")
-                for p in PERCENTILES
-            )
+    # ceil(p * n / 100) in whole numbers
+    rank = lambda p: F.expr(f"({p} * sample_count + 99) div 100") - F.col("_before")
+    ranks = F.array(*(F.struct(F.lit(p).alias("p"), rank(p).alias("at")) for p in PERCENTILES))
+    inside = lambda n: (lambda r: (r["at"] > 0) & (r["at"] <= n))
+    found = running.withColumn("_ranks", F.filter(ranks, inside(F.col("_n")))).where(
+        (F.size("_ranks") > 0) | (F.col("sample_count") == 0)
+    ).select(*by, "_cell", "_low", "_high", "sample_count", "_ranks")
+    few = found.limit(LOCAL_CELLS + 1).collect()
+    open_, small = True, lambda frame: frame
+    if len(few) <= LOCAL_CELLS:
+        small = F.broadcast
+        if not keys and not few:  # one row even when there is nothing to count
+            few = [(0, None, None, None, 0, [])]
+        open_ = any(row[-4] != row[-3] for row in few if row[-1])
+        found = df.sparkSession.createDataFrame(few, found.schema)
+    values = found.where("_low = _high").select(*by, F.explode("_ranks.p").alias("p"), F.col("_low").alias("_x"))
+    if open_:
+        wanted = small(found.where("_low < _high"))
+        hit = samples.alias("s").join(wanted.alias("w"), _same(samples, wanted, [*by, "_cell"]))
+        counted = hit.groupBy(*(F.col(f"s.{c}").alias(c) for c in [*by, "_cell", "_x"])).agg(
+            F.count("*").alias("_n"), F.first("w._ranks").alias("_ranks")
         )
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_x"))
+        picked = counted.withColumn("_before", upto - F.col("_n")).select(
+            *by, "_x", "_n", F.explode(F.transform("_ranks", lambda r: F.struct(r["p"].alias("p"), (r["at"] - F.col("_before")).alias("at")))).alias("_r")
+        ).where((F.col("_r.at") > 0) & (F.col("_r.at") <= F.col("_n")))
+        values = values.unionByName(picked.select(*by, F.col("_r.p").alias("p"), "_x"))
+    named = values.groupBy(*by).agg(
+        *(F.max(F.when(F.col("p") == p, F.col("_x"))).alias(f"p{p}") for p in PERCENTILES)
     )
-    left = totals.alias("t")
-    return left.join(hit.alias("h"), _same(totals, hit, by), "left").select(
+    totals = found.groupBy(*by).agg(F.max("sample_count").alias("sample_count"))
+    return totals.alias("t").join(small(named.alias("h")), _same(totals, named, by), "left").select(
         *(F.col(f"t.{k}") for k in keys), "sample_count", *(f"p{p}" for p in PERCENTILES)
     )
 
@@ -317,21 +313,49 @@ def resource_peaks(samples: DataFrame, keys: list[str]) -> DataFrame:
 def sample_intervals(samples: DataFrame, key: str = "run") -> DataFrame:
     """Time since the previous sample of the same run; null for its first one.
 
-    Samples are numbered across range partitions and matched with the number before, so a run
-    with very many samples is not sorted in one task as a window over it would be.
+    Samples are dealt out once, by ranges of run and time, so a run with very many samples is not
+    sorted in one task as a window over it would be. Within a range each sample looks at the one
+    before it; the first one looks at the last one of the range before, of which there is one per
+    range. Samples of one time go by their other columns (those that have an order).
     """
-    placed = numbered(samples, F.col(key), F.col("elapsed_ms")).drop("total")
-    before = placed.select(
-        (F.col("position") + 1).alias("position"),
-        F.col(key).alias("_key"),
-        F.col("elapsed_ms").alias("_before"),
+    names = samples.columns
+    ordered = (T.AtomicType, T.NullType)
+    rest = [f.name for f in samples.schema if f.name not in (key, "elapsed_ms") and isinstance(f.dataType, ordered)]
+    order = [F.col(c) for c in (key, "elapsed_ms", *rest)]
+    placed = settle(
+        samples.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
-    interval = F.when(F.col("_key").eqNullSafe(F.col(key)), F.col("elapsed_ms") - F.col("_before"))
-    return (
-        placed.join(before, "position", "left")
-        .withColumn("interval_ms", interval)
-        .drop("position", "_key", "_before")
+    last = placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(
+        F.max_by(F.struct(F.col(key).alias("k"), F.col("elapsed_ms").alias("e")), "_at").alias("last")
     )
+    ends = last.orderBy("part").collect()  # one row per range
+    before = {row["part"]: (end["last"]["k"], end["last"]["e"]) for end, row in zip(ends, ends[1:])}
+    where, when = names.index(key), names.index("elapsed_ms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, times, at = batch.column(where), batch.column(when), batch.column(len(names))
+            if carried is None:
+                first = before.get(at[0].as_py() >> 33)
+                some = (None, None) if first is None else first
+                carried = pa.array([some[0]], keys.type), pa.array([some[1]], times.type)
+                alone = first is None
+            earlier = pa.concat_arrays([carried[0], keys.slice(0, len(keys) - 1)])
+            both_null = pc.and_(pc.is_null(keys), pc.is_null(earlier))
+            same = pc.or_(pc.fill_null(pc.equal(keys, earlier), False), both_null)
+            steps = pc.subtract(times, pa.concat_arrays([carried[1], times.slice(0, len(times) - 1)]))
+            if alone:  # the very first sample of all
+                same = pa.concat_arrays([pa.array([False]), same.slice(1)])
+                alone = False
+            carried = keys.slice(len(keys) - 1), times.slice(len(times) - 1)
+            steps = pc.if_else(same, steps, pa.scalar(None, steps.type)).cast(pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], steps], [*names, "interval_ms"])
+
+    schema = T.StructType([*samples.schema.fields, T.StructField("interval_ms", T.DoubleType())])
+    return placed.mapInArrow(run, schema)
 
 
 # --- verdicts and comparisons -----------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import dataclasses
 import hashlib
 import json
 import re
@@ -19,8 +20,10 @@ from tallylog.functions.timestamps import (
     argument_instant,
     argument_micros,
     canonical_timestamp,
+    micros_canonical,
     timestamp_text,
 )
+from tallylog.operators.aggregate import MINUTE_MICROS, can_use_rollup, rollup_bucket_count
 from tallylog.operators.filters import (
     LogFilters,
     before_position,
@@ -69,20 +72,68 @@ def _page_rows(logs, filters, limit, position, columns) -> DataFrame:
     return newest_first(rows.select(*columns)).limit(limit + 1)
 
 
+# Any instant; for bounds that are not given.
+_EARLIEST, _LATEST = "0001-01-01T00:00:00.000Z", "9999-12-31T00:00:00.000Z"
+
+
+def page_floor(
+    rollup: DataFrame,
+    filters: LogFilters,
+    limit: int = DEFAULT_LIMIT,
+    position: tuple[str, str] | None = None,
+) -> int | None:
+    """Epoch microseconds of the minute from which on a page surely is full, by the minute counts;
+    None where fewer rows than that are counted.
+
+    Whole minutes before the upper bound are summed up newest first. Each has a row at least, so the
+    newest ``limit + 1`` of them are enough, and no more reach the driver. Counts may outlive rows
+    only where all older rows are gone, too (as in retention by days).
+    """
+    check_limit(limit)
+    uppers = [argument_micros(text) for text in (filters.until, position and position[0]) if text]
+    high = (min(uppers) if uppers else argument_micros(_LATEST)) // MINUTE_MICROS * MINUTE_MICROS
+    low = argument_micros(filters.since or _EARLIEST)
+    if low >= high:
+        return None
+    window = dataclasses.replace(filters, since=filters.since or _EARLIEST, until=micros_canonical(high))
+    minutes = rollup_bucket_count(rollup, window, "1m").where("count > 0")
+    newest = minutes.orderBy(F.desc("bucket_start")).limit(limit + 1)
+    total = 0
+    for row in newest.select(F.unix_micros("bucket_start").alias("at"), "count").collect():
+        total += row["count"]
+        if total > limit:
+            return row["at"]
+    return None
+
+
+def _rows_from(logs: DataFrame, micros: int) -> DataFrame:
+    """Rows from an instant on, in whole days, too, where the rows have their day."""
+    low = F.timestamp_micros(F.lit(micros))
+    rows = logs.where(F.col("timestamp") >= low)
+    return rows.where(F.col("event_date") >= F.to_date(low)) if day_column(logs) else rows
+
+
 def newest_page(
     logs: DataFrame,
     filters: LogFilters,
     limit: int = DEFAULT_LIMIT,
     position: tuple[str, str] | None = None,
     first_days: int = 1,
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of :func:`find_page`, read with as little as possible.
 
-    First only the ordering and filter columns are read, of the newest ``first_days`` day folders,
+    With minute counts, and filters they know, one small read of these says how far back the page
+    reaches (:func:`page_floor`), and the logs are read from there on, once.
+
+    Without them, first only the ordering and filter columns are read, of the newest ``first_days`` day folders,
     then of twice as many, and so on until the page is full or ``since`` is reached. That settles
     how old the page's last row is, and messages and attributes are read from there on only.
     Needs an ``event_date`` column, ``since``, and ``until`` or a position.
     """
+    if rollup is not None and can_use_rollup(filters):
+        floor = page_floor(rollup, filters, limit, position)
+        return find_page(logs if floor is None else _rows_from(logs, floor), filters, limit, position)
     if filters.since is None or (filters.until is None and position is None):
         raise ValueError("a page over day folders needs 'since' and 'until' or a position")
     uppers = [text for text in (filters.until, position and position[0]) if text]
@@ -100,8 +151,7 @@ def newest_page(
             break
         days *= 2
     if found["last"] is not None:
-        last = F.timestamp_micros(F.lit(found["last"]))
-        recent = recent.where((F.col("timestamp") >= last) & (F.col("event_date") >= F.to_date(last)))
+        recent = _rows_from(recent, found["last"])
     return find_page(recent, filters, limit, position)
 
 
@@ -261,13 +311,16 @@ def list_logs(
     filters: LogFilters = LogFilters(),
     limit: int = DEFAULT_LIMIT,
     cursor: str | None = None,
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
     """One page ``(logs, next_cursor)``, continued from ``cursor`` when given.
 
-    Where the rows carry their day and the page has both bounds, days are read only as far back
-    as the page needs.
+    With minute counts that can answer the filters, or where the rows carry their day and the page
+    has both bounds, logs are read only as far back as the page needs.
     """
     position = decode_cursor(cursor, filters) if cursor is not None else None
+    if rollup is not None and can_use_rollup(filters):
+        return format_page(newest_page(logs, filters, limit, position, rollup=rollup), filters, limit)
     bounded = filters.since is not None and (filters.until is not None or position is not None)
     read = newest_page if bounded and "event_date" in logs.columns else find_page
     return format_page(read(logs, filters, limit, position), filters, limit)
@@ -330,10 +383,8 @@ def page_all(logs: DataFrame, filters: LogFilters, page_size: int) -> DataFrame:
     The pages are those a reader gets by following continuation tokens on unchanged data.
     """
     check_limit(page_size)
-    found = where_matching(logs, filters)
-    # only the keys are sorted and written; a key has one row
-    keys = numbered(found.select("timestamp", "id"), F.desc("timestamp"), F.desc("id"))
-    rows = keys if set(found.columns) == {"timestamp", "id"} else found.join(keys, ["timestamp", "id"])
+    # rows are dealt out once and numbered where they land
+    rows = numbered(where_matching(logs, filters), F.desc("timestamp"), F.desc("id"))
     return rows.withColumn("page", F.floor(F.col("position") / page_size).cast("long") + 1)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tallylog.operators.aggregate import aggregate, bucket_count
 from tallylog.operators.filters import LogFilters
-from tallylog.operators.paging import find_page
+from tallylog.operators.paging import find_page, newest_page
 
 
 @dataclass(frozen=True)
@@ -21,8 +21,10 @@ class Scenario:
     group_by: str | None = None
 
     def run(self, logs: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
-        if self.bucket is None:
+        if self.bucket is None and rollup is None:
             return find_page(logs, self.filters, self.limit)
+        if self.bucket is None:
+            return newest_page(logs, self.filters, self.limit, rollup=rollup)
         if rollup is None:
             return bucket_count(logs, self.filters, self.bucket, self.group_by)
         return aggregate(logs, rollup, self.filters, self.bucket, self.group_by)

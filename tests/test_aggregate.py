@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from helpers import log_frame, plan_text
 from tallylog.operators import aggregate as agg
 from tallylog.operators.filters import LogFilters
 from tallylog.operators.rollup import build_rollup, merge_rollup, minute_counts, verify_rollup
+from tallylog.sources.tables import append_logs, scan_logs
 
 ROWS = [
     (1, "2026-08-09T10:00:00.000000Z", "error", "checkout", "Payment DECLINED literal % _ \\ path", {"retries": "3", "enabled": "true", "toString": "to-string"}),
@@ -108,6 +111,42 @@ def test_rollup_counts_whole_minutes(logs, rollup):
     assert total(exact=False) == 2  # minute 10:00 is left out, 10:04 is included
 
 
+def test_exact_counts_of_any_range(logs, rollup):
+    rnd = random.Random(2)
+    instant = lambda: f"2026-08-09T{rnd.choice([10, 11])}:0{rnd.randint(0, 5)}:{rnd.choice([0, 0, 30, 59]):02d}.{rnd.choice(['0', '5', '999999'])}Z"
+    for _ in range(25):
+        since, until = sorted((instant(), instant()))
+        filters = LogFilters(service=rnd.choice([None, "checkout"]), since=since, until=until)
+        bucket, group = rnd.choice(["1m", "5m", "1h"]), rnd.choice([None, "level"])
+        got = _rows(agg.aggregate(logs, rollup, filters, bucket, group, exact=True))
+        assert got == _rows(agg.bucket_count(logs, filters, bucket, group))
+
+
+def test_range_parts():
+    part = lambda since, until: agg.whole_minutes(LogFilters(since=f"2025-05-01T{since}Z", until=f"2025-05-01T{until}Z"))
+    ends = lambda parts: [(p.since[11:], p.until[11:]) for p in parts]
+    whole, cut = part("10:00:30.5", "10:04:12.25")
+    assert ends([whole, *cut]) == [("10:01:00.000Z", "10:04:00.000Z"), ("10:00:30.500Z", "10:01:00.000Z"), ("10:04:00.000Z", "10:04:12.250Z")]
+    whole, cut = part("10:00:00", "10:04:00.000001")
+    assert ends([whole, *cut]) == [("10:00:00.000Z", "10:04:00.000Z"), ("10:04:00.000Z", "10:04:00.000001Z")]
+    for since, until in (("10:00:10", "10:00:50"), ("10:00:30", "10:01:20"), ("10:00:30", "10:01:00"), ("10:00:00", "10:00:00")):
+        whole, cut = part(since, until)
+        assert whole is None and len(cut) == 1
+
+
+def test_exact_counts_read_logs_of_two_minutes(spark, tmp_path):
+    rows = [(n, f"2025-05-{1 + n % 9:02d}T10:{n % 60:02d}:{n % 50:02d}Z", "info", "s", "m", {}) for n in range(300)]
+    append_logs(log_frame(spark, rows), str(tmp_path / "logs"))
+    logs = scan_logs(spark, str(tmp_path / "logs"))
+    filters = LogFilters(since="2025-05-02T10:01:30Z", until="2025-05-08T10:07:20Z")
+    plan = plan_text(agg.aggregate(logs, build_rollup(log_frame(spark, rows)), filters, "1d", exact=True))
+    scans = [part for part in plan.split("\n\n") if "Scan parquet" in part and "PushedFilters" in part]
+    assert len(scans) == 2
+    for scan, day, low, high in zip(sorted(scans, key=lambda x: "2025-05-08" in x), ("02", "08"), ("10:01:30.0", "10:07:00.0"), ("10:02:00.0", "10:07:20.0")):
+        assert f"GreaterThanOrEqual(timestamp,2025-05-{day} {low})" in scan and f"LessThan(timestamp,2025-05-{day} {high})" in scan
+        assert "PartitionFilters" in scan and "event_date" in scan.split("PartitionFilters")[1]
+
+
 def test_routing(logs, rollup):
     plain, text = LogFilters(**RANGE), LogFilters(q="path", **RANGE)
     by_rollup = plan_text(agg.aggregate(logs, rollup, plain, "1h"))

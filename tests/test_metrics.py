@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import plan_text
 from tallylog.operators import metrics as m
 from tallylog.schema import REQUEST_SCHEMA
 from tallylog.sources.synthetic import synthetic_logs
@@ -49,6 +50,37 @@ def test_percentiles_of_skewed_groups(spark):
     }
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_percentiles_of_close_and_far_samples(spark, monkeypatch, local):
+    """Samples that share a cell, one cell with all ranks, zeros, tiny and huge ones; also with more
+    cells than the driver takes."""
+    if not local:
+        monkeypatch.setattr(m, "LOCAL_CELLS", 2)
+    rng = random.Random(5)
+    groups = {
+        "close": [1000 + rng.random() * 1e-6 for _ in range(900)],
+        "steps": [math.nextafter(3.0, 4) if i % 3 else 3.0 for i in range(50)],
+        "zeros": [0.0] * 60 + [-0.0] * 5 + [5e-324, 1e-300, 1.7e308],
+        "spread": [10 ** rng.uniform(-12, 12) for _ in range(500)],
+        None: [float(i) for i in range(1, 101)],
+        "none": [None],
+    }
+    rows = [(k, x) for k, xs in groups.items() for x in xs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r["k"]: tuple(r)[1:] for r in m.latency_summary(df, "x", ["k"]).collect()}
+    full = {k: [x for x in xs if x is not None] for k, xs in groups.items()}
+    assert got == {k: (len(xs), *(nearest_rank(xs, p) if xs else None for p in (50, 95, 99))) for k, xs in full.items()}
+
+
+def test_percentiles_sort_and_write_nothing(spark):
+    df = spark.range(5000).select((F.col("id") % 977 / 7).alias("x"), (F.col("id") % 3).alias("k"))
+    plan = plan_text(m.latency_summary(df, "x", ["k"]))
+    assert "rangepartitioning" not in plan
+    # the samples are joined where they are, with a few cells
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf")])
 def test_bad_samples(spark, bad):
     df = spark.createDataFrame([(1.0,), (bad,)], "x double")
@@ -142,6 +174,25 @@ def test_resources(spark):
     ]
 
 
+def test_intervals_across_ranges_and_ties(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]) if i % 3 else "hot", float(rng.randint(0, 300)), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "run string, elapsed_ms double, note long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = m.sample_intervals(df)
+        got = sorted(map(tuple, found.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected, before = [], None
+    for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        expected.append((*row, None if before is None or before[0] != row[0] else row[1] - before[1]))
+        before = row
+    assert got == sorted(expected, key=str)
+    assert "Join" not in plan_text(found) and found.columns == ["run", "elapsed_ms", "note", "interval_ms"]
+    assert m.sample_intervals(df.where("note < 0")).collect() == []
+
+
 def test_ticks(spark):
     rows = [
         ("r", 1.0, 5.0, "success", 1.0),
