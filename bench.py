@@ -72,12 +72,12 @@ def timed(action, repeat: int = 3, warm: int = 1) -> float:
     return statistics.median(seconds)
 
 
-def store(spark, logs, label):
+def store(spark, logs, label, attribute):
     out = tables.LogTables(fresh_path(spark, label))
-    tables.append_logs(logs, out.logs)
-    counts = build_rollup(tables.scan_logs(spark, out.logs))
-    counts.write.partitionBy("event_date").parquet(out.rollup)
-    return tables.scan_logs(spark, out.logs), tables.scan_rollup(spark, out.rollup)
+    tables.append_logs(logs, out.logs, promoted=[attribute])
+    stored = tables.scan_logs(spark, out.logs, promoted=[attribute])
+    build_rollup(stored).write.partitionBy("event_date").parquet(out.rollup)
+    return stored, tables.scan_rollup(spark, out.rollup)
 
 
 def run_scenarios(times, prefix, logs, counts, named):
@@ -97,7 +97,7 @@ def main() -> None:
     rates: dict[str, float] = {}
 
     events = spark.read.parquet(f"{SF_DIR}/events.parquet")
-    logs, counts = store(spark, adapters.events_as_logs(events), "events")
+    logs, counts = store(spark, adapters.events_as_logs(events), "events", "k")
     named = scenarios(
         "2024-01-29T00:00:00Z",
         "2024-01-23T00:00:00Z",
@@ -131,7 +131,7 @@ def main() -> None:
         rates[f"{name}_rows_per_sec"] = entries / times[name]
 
     made, made_counts = store(
-        spark, synthetic_logs(spark, ROWS, 20260810, REFERENCE_TS), "synthetic"
+        spark, synthetic_logs(spark, ROWS, 20260810, REFERENCE_TS), "synthetic", "tenant_id"
     )
     windows = ("2026-08-09T12:00:00.000Z", "2026-08-03T12:00:00.000Z", REFERENCE_TS)
     run_scenarios(times, "synthetic_", made, made_counts, scenarios(*windows))

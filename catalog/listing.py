@@ -23,6 +23,8 @@ from tallylog.operators import audit, paging
 from tallylog.operators.filters import LogFilters, where_matching
 from tallylog.operators.rollup import build_rollup
 from tallylog.plans.scenarios import scenarios
+from tallylog.session import fresh_path
+from tallylog.sources.tables import append_logs, scan_logs
 
 NEEDLE = "nEeDlE_%\\pAtH"
 SCENARIOS = scenarios(DAY["since"], WEEK["since"], DAY["until"], attribute=("k", "69"), q=NEEDLE)
@@ -135,6 +137,21 @@ def _guided_page(filters, position=None):
 _GUIDED = ("recent_page", "service_page", "level_page")
 
 
+def promoted_attribute_page(spark, sf_dir):
+    """The attribute page on a stored table that keeps the attribute in a column of its own."""
+    path = fresh_path(spark, "promoted")
+    append_logs(logs(spark, sf_dir), path, promoted=["k"])
+    return shown(SCENARIOS["attribute_page"].run(scan_logs(spark, path, promoted=["k"])))
+
+
+def filter_two_attributes(spark, sf_dir):
+    """Two attributes that rows have: the given one and one that repeats the level."""
+    rows = logs(spark, sf_dir)
+    more = F.map_concat("attributes_search", F.create_map(F.lit("severity"), F.col("level")))
+    found = where_matching(rows.withColumn("attributes_search", more), LogFilters(attributes={"k": "69", "severity": "error"}))
+    return shown(found)
+
+
 def formatted_page(spark, sf_dir):
     filters = LogFilters(**WEEK)
     page = paging.list_logs(logs(spark, sf_dir), filters, PAGE_LIMIT)
@@ -228,6 +245,8 @@ QUERIES.update(
             continued_page,
             tied_page,
             widening_page,
+            promoted_attribute_page,
+            filter_two_attributes,
             formatted_page,
             next_page,
             page_positions,
@@ -291,6 +310,8 @@ ORACLES.update(
         ),
         "continued_page": _page_sql(_AFTER),
         "guided_continued_page": _page_sql(f"service = 'service-007' AND {_AFTER}"),
+        "promoted_attribute_page": _page_sql(f"k = '69' AND {between(WEEK)}"),
+        "filter_two_attributes": _filter_sql("k = '69' AND level = 'error'"),
         "tied_page": f"""{_HOURLY},
             page AS (SELECT * FROM hourly WHERE {between(WEEK)} {_NEWEST} LIMIT 101)
             SELECT {PUBLIC} FROM page""",

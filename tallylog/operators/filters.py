@@ -18,6 +18,7 @@ from tallylog.functions.timestamps import (
     instant_literal,
     last_day_before,
 )
+from tallylog.schema import promoted_column
 
 NUL = "\u0000"
 
@@ -106,7 +107,16 @@ def contains_ignoring_case(text: Column, part: str) -> Column:
     return F.contains(F.lower(text), F.lower(F.lit(part)))
 
 
-def attribute_equals(key: str, value: str) -> Column:
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def attribute_equals(key: str, value: str, columns: Iterable[str] = ()) -> Column:
+    """By the attribute's own column where there is one: that reaches the Parquet files."""
+    own = promoted_column(key)
+    if own in columns:
+        return quoted(own) == F.lit(value)
     return F.element_at("attributes_search", F.lit(key)) == F.lit(value)
 
 
@@ -129,15 +139,18 @@ def time_clauses(
     return clauses
 
 
-def build_predicate(filters: LogFilters, day: str | None = None) -> Column:
-    """AND of all given parts. Pass ``day="event_date"`` for day-partitioned tables."""
+def build_predicate(
+    filters: LogFilters, day: str | None = None, columns: Iterable[str] = ()
+) -> Column:
+    """AND of all given parts. Pass ``day="event_date"`` for day-partitioned tables, and the table's
+    columns where some attributes have their own."""
     clauses = []
     if filters.service is not None:
         clauses.append(F.col("service") == F.lit(filters.service))
     if filters.level is not None:
         clauses.append(F.col("level") == F.lit(filters.level))
     clauses += time_clauses(filters, day=day)
-    clauses += [attribute_equals(key, value) for key, value in filters.attributes]
+    clauses += [attribute_equals(key, value, columns) for key, value in filters.attributes]
     if filters.q is not None:
         clauses.append(contains_ignoring_case(F.col("message"), filters.q))
     return all_of(clauses)
@@ -149,7 +162,7 @@ def day_column(df: DataFrame) -> str | None:
 
 def where_matching(logs: DataFrame, filters: LogFilters) -> DataFrame:
     """Rows of ``logs`` that ``filters`` select."""
-    return logs.where(build_predicate(filters, day_column(logs)))
+    return logs.where(build_predicate(filters, day_column(logs), logs.columns))
 
 
 def before_position(timestamp: str, id_: str, day: str | None = None) -> Column:

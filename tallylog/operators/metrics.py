@@ -53,10 +53,12 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return condition
 
 
-# Cells of the histogram for each factor of e; a cell is 0.024 % wide.
-CELLS_PER_E = 4096
-# Cells that hold a rank, three per key at most, up to which they reach the driver.
-LOCAL_CELLS = 10_000
+# Cells of the first histogram for each factor of e; a cell is 1.6 % wide.
+CELLS_PER_E = 64
+# Cells and bins that the driver takes of a histogram.
+LOCAL_CELLS = 50_000
+# Bins of a refined cell.
+FEWEST_BINS, MOST_BINS = 64, 4096
 
 
 def _cell(x: Column) -> Column:
@@ -64,62 +66,113 @@ def _cell(x: Column) -> Column:
     return F.when(x == 0, F.lit(-(1 << 40))).otherwise(F.floor(F.log(x) * CELLS_PER_E)).cast("long")
 
 
+def _counted() -> list[Column]:
+    return [F.count("_x").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high")]
+
+
+def _holding(cells: list, wanted: list[tuple[int, int]]) -> list[tuple[int, int, float, float, int]]:
+    """(p, rank inside, low, high, n) of the cells, in order, that hold the wanted (p, rank)s."""
+    found, before = [], 0
+    for cell in cells:
+        n = cell["n"]
+        found += [(p, at - before, cell["low"], cell["high"], n) for p, at in wanted if before < at <= before + n]
+        before += n
+    return found
+
+
 def latency_summary(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Sample count and nearest-rank p50, p95, p99 per key; never interpolated.
 
     A histogram in order-preserving cells is counted per key, with partial counts, so one key with
     most of the samples sends a row per task and cell. Running totals name the cells that hold the
-    ranks. Cells of one value are done; of the others the samples are read once more, counted by
-    value, and the rank is taken from these counts. No samples are sorted or written. Without
-    samples the percentiles are null. (``percentile_disc`` gives the same numbers but keeps all
-    samples of a key in one buffer.)
+    ranks; these are cut into bins between their least and greatest sample and counted again, until
+    a bin holds one value or what is left can be counted by value. Each round reads the samples once
+    and shuffles counts only; nothing is sorted or written, and the driver gets LOCAL_CELLS counts at
+    most. Where more keys than that allows have samples, the cells stay distributed
+    (:func:`_many_keys`). Without samples the percentiles are null. (``percentile_disc`` gives the same numbers but keeps all samples of a key
+    in one buffer.)
     """
     keys = list(keys or [])
     by = [*keys, "_all"]
-    samples = df.select(*keys, F.lit(0).alias("_all"), _checked(column).alias("_x"))
-    samples = samples.withColumn("_cell", _cell(F.col("_x")))
+    # adding zero makes a negative zero a plain one
+    x = (_checked(column) + F.lit(0.0)).alias("_x")
+    samples = df.select(*keys, F.lit(0).alias("_all"), x)
     # A key without samples keeps a cell that counts nothing.
-    cells = samples.groupBy(*by, "_cell").agg(
-        F.count("_x").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
-    )
+    cells = samples.groupBy(*by, _cell(F.col("_x")).alias("_cell")).agg(*_counted())
+    few = cells.orderBy(*by, "_cell").limit(LOCAL_CELLS + 1).collect()
+    if len(few) > LOCAL_CELLS:
+        return _many_keys(samples.withColumn("_cell", _cell(F.col("_x"))), cells, keys)
+    groups: dict[tuple, list] = {} if keys else {(): []}
+    for row in few:
+        groups.setdefault(tuple(row[: len(keys)]), []).append(row)
+    totals = {key: sum(row["n"] for row in rows) for key, rows in groups.items()}
+    # ceil(p * n / 100) in whole numbers
+    ranks = {key: [(p, (p * n + 99) // 100) for p in PERCENTILES if n] for key, n in totals.items()}
+    open_ = [(key, *hit) for key, rows in groups.items() for hit in _holding(rows, ranks[key])]
+    known: dict[tuple, float] = {}
+    key_fields = [df.schema[k] for k in keys]
+    while True:
+        known.update({(key, p): low for key, p, _, low, high, _ in open_ if low == high})
+        parts: dict[tuple, list[tuple[int, int]]] = {}
+        for key, p, at, low, high, n in open_:
+            if low != high:
+                parts.setdefault((key, low, high, n), []).append((p, at))
+        if not parts:
+            break
+        bins = max(FEWEST_BINS, min(MOST_BINS, LOCAL_CELLS // len(parts)))
+        fields = [*key_fields, *(T.StructField(n, t) for n, t in (("_all", T.IntegerType()), ("_part", T.IntegerType()), ("_low", T.DoubleType()), ("_high", T.DoubleType())))]
+        rows = [(*key, 0, i, low, high) for i, (key, low, high, _) in enumerate(parts)]
+        frame = F.broadcast(df.sparkSession.createDataFrame(rows, T.StructType(fields)))
+        inside = (samples["_x"] >= frame["_low"]) & (samples["_x"] <= frame["_high"])
+        met = samples.join(frame, _same(samples, frame, by) & inside)
+        place = (F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins
+        # what is left of few samples is counted by value
+        few_left = sum(n for _, _, _, n in parts) <= LOCAL_CELLS
+        bin_ = F.col("_x") if few_left else F.least(F.floor(place), F.lit(bins - 1)).cast("double")
+        counted = met.groupBy("_part", bin_.alias("_bin")).agg(*_counted())
+        found: dict[int, list] = {}
+        for row in sorted(counted.collect(), key=lambda r: (r["_part"], r["_bin"])):
+            found.setdefault(row["_part"], []).append(row)
+        open_ = [(key, *hit) for i, ((key, *_), want) in enumerate(parts.items()) for hit in _holding(found[i], want)]
+    out = [(*key, n, *(known.get((key, p)) for p in PERCENTILES)) for key, n in totals.items()]
+    fields = [T.StructField("sample_count", T.LongType()), *(T.StructField(f"p{p}", T.DoubleType()) for p in PERCENTILES)]
+    return df.sparkSession.createDataFrame(out, T.StructType([*key_fields, *fields]))
+
+
+def _many_keys(samples: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The summary of more keys than the driver takes cells of. The samples of a cell that holds a
+    rank are counted by value, and the rank is taken from these counts."""
+    by = [*keys, "_all"]
     whole = Window.partitionBy(*by)
     running = cells.select(
         "*",
-        (F.sum("_n").over(whole.orderBy("_cell")) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(whole).alias("sample_count"),
+        (F.sum("n").over(whole.orderBy("_cell")) - F.col("n")).alias("_before"),
+        F.sum("n").over(whole).alias("sample_count"),
     )
-    # ceil(p * n / 100) in whole numbers
     rank = lambda p: F.expr(f"({p} * sample_count + 99) div 100") - F.col("_before")
     ranks = F.array(*(F.struct(F.lit(p).alias("p"), rank(p).alias("at")) for p in PERCENTILES))
-    inside = lambda n: (lambda r: (r["at"] > 0) & (r["at"] <= n))
-    found = running.withColumn("_ranks", F.filter(ranks, inside(F.col("_n")))).where(
-        (F.size("_ranks") > 0) | (F.col("sample_count") == 0)
-    ).select(*by, "_cell", "_low", "_high", "sample_count", "_ranks")
-    few = found.limit(LOCAL_CELLS + 1).collect()
-    open_, small = True, lambda frame: frame
-    if len(few) <= LOCAL_CELLS:
-        small = F.broadcast
-        if not keys and not few:  # one row even when there is nothing to count
-            few = [(0, None, None, None, 0, [])]
-        open_ = any(row[-4] != row[-3] for row in few if row[-1])
-        found = df.sparkSession.createDataFrame(few, found.schema)
-    values = found.where("_low = _high").select(*by, F.explode("_ranks.p").alias("p"), F.col("_low").alias("_x"))
-    if open_:
-        wanted = small(found.where("_low < _high"))
-        hit = samples.alias("s").join(wanted.alias("w"), _same(samples, wanted, [*by, "_cell"]))
-        counted = hit.groupBy(*(F.col(f"s.{c}").alias(c) for c in [*by, "_cell", "_x"])).agg(
-            F.count("*").alias("_n"), F.first("w._ranks").alias("_ranks")
-        )
-        upto = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy("_x"))
-        picked = counted.withColumn("_before", upto - F.col("_n")).select(
-            *by, "_x", "_n", F.explode(F.transform("_ranks", lambda r: F.struct(r["p"].alias("p"), (r["at"] - F.col("_before")).alias("at")))).alias("_r")
-        ).where((F.col("_r.at") > 0) & (F.col("_r.at") <= F.col("_n")))
-        values = values.unionByName(picked.select(*by, F.col("_r.p").alias("p"), "_x"))
-    named = values.groupBy(*by).agg(
+    held = F.filter(ranks, lambda r: (r["at"] > 0) & (r["at"] <= F.col("n")))
+    found = settle(
+        running.withColumn("_ranks", held)
+        .where((F.size("_ranks") > 0) | (F.col("sample_count") == 0))
+        .select(*by, "_cell", "low", "high", "sample_count", "_ranks")
+    )
+    values = found.where("low = high").select(*by, F.explode("_ranks.p").alias("p"), F.col("low").alias("_x"))
+    wanted = found.where("low < high")
+    hit = samples.alias("s").join(wanted.alias("w"), _same(samples, wanted, [*by, "_cell"]))
+    counted = hit.groupBy(*(F.col(f"s.{c}").alias(c) for c in [*by, "_cell", "_x"])).agg(
+        F.count("*").alias("n"), F.first("w._ranks").alias("_ranks")
+    )
+    upto = F.sum("n").over(Window.partitionBy(*by, "_cell").orderBy("_x"))
+    inside = lambda r: (r["at"] > F.col("_upto") - F.col("n")) & (r["at"] <= F.col("_upto"))
+    picked = counted.withColumn("_upto", upto).select(
+        *by, F.explode(F.transform(F.filter("_ranks", inside), lambda r: r["p"])).alias("p"), "_x"
+    )
+    named = values.unionByName(picked).groupBy(*by).agg(
         *(F.max(F.when(F.col("p") == p, F.col("_x"))).alias(f"p{p}") for p in PERCENTILES)
     )
     totals = found.groupBy(*by).agg(F.max("sample_count").alias("sample_count"))
-    return totals.alias("t").join(small(named.alias("h")), _same(totals, named, by), "left").select(
+    return totals.alias("t").join(named.alias("h"), _same(totals, named, by), "left").select(
         *(F.col(f"t.{k}") for k in keys), "sample_count", *(f"p{p}" for p in PERCENTILES)
     )
 

@@ -16,6 +16,11 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 
+def promoted_column(key: str) -> str:
+    """Column of its own that a stored table may have for one attribute."""
+    return f"attribute_{key}"
+
+
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields if f.name != "event_date"]
 
 PUBLIC_COLUMNS = ["id", "timestamp", "level", "service", "message", "attributes"]

@@ -30,7 +30,14 @@ from pyspark.sql import types as T
 
 from tallylog.operators.audit import already_stored, require_unique
 from tallylog.operators.rollup import minute_counts
-from tallylog.schema import COMMIT_FIELDS, COMMIT_SCHEMA, LOG_KEYS, LOG_SCHEMA, ROLLUP_SCHEMA
+from tallylog.schema import (
+    COMMIT_FIELDS,
+    COMMIT_SCHEMA,
+    LOG_KEYS,
+    LOG_SCHEMA,
+    ROLLUP_SCHEMA,
+    promoted_column,
+)
 from tallylog.session import configure
 
 
@@ -102,11 +109,29 @@ def clustered(df: DataFrame, *inner: str, by_day: bool = True) -> DataFrame:
     return placed.sortWithinPartitions("event_date", *inner)
 
 
-def append_logs(df: DataFrame, path: str, by_day: bool = True) -> None:
-    """Append log rows to a plain day-partitioned table (no commits)."""
+def with_promoted(df: DataFrame, promoted: Iterable[str]) -> DataFrame:
+    """Log rows with a text column for each of these attributes, null where a row has none."""
+    own = {promoted_column(key): F.element_at("attributes_search", F.lit(key)) for key in promoted}
+    return df.withColumns(own) if own else df
+
+
+def bloom_options(promoted: Iterable[str]) -> dict[str, str]:
+    """Writer options that give the columns of these attributes Bloom filters. Parquet writes one
+    where a row group has too many values for a dictionary, which serves as well."""
+    return {f"parquet.bloom.filter.enabled#{promoted_column(key)}": "true" for key in promoted}
+
+
+def append_logs(df: DataFrame, path: str, by_day: bool = True, promoted: Iterable[str] = ()) -> None:
+    """Append log rows to a plain day-partitioned table (no commits).
+
+    ``promoted`` attributes get a column each, with a Bloom filter per row group, so that equality
+    on them is pushed down and skips row groups. A table has the same ones in all its files.
+    """
     configure(df.sparkSession)
-    rows = clustered(df, "service", "timestamp", by_day=by_day)
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+    promoted = list(promoted)
+    rows = clustered(with_promoted(df, promoted), "service", "timestamp", by_day=by_day)
+    writer = rows.write.mode("append").partitionBy("event_date").options(**bloom_options(promoted))
+    writer.parquet(path)
 
 
 def write_part(df: DataFrame, path: str, writer: str, batch_id: int) -> None:
@@ -245,9 +270,13 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType, commits_path: st
     return scan_tagged(spark, path, schema, commits_path).drop("writer", "batch_id")
 
 
-def scan_logs(spark: SparkSession, path: str, commits_path: str | None = None) -> DataFrame:
-    """The log table; with ``commits_path`` only what is committed."""
-    return _scan(spark, path, LOG_SCHEMA, commits_path)
+def scan_logs(
+    spark: SparkSession, path: str, commits_path: str | None = None, promoted: Iterable[str] = ()
+) -> DataFrame:
+    """The log table; with ``commits_path`` only what is committed. ``promoted`` are the attributes
+    that :func:`append_logs` gave a column in all files of the table."""
+    own = [T.StructField(promoted_column(key), T.StringType()) for key in promoted]
+    return _scan(spark, path, T.StructType(LOG_SCHEMA.fields + own), commits_path)
 
 
 def scan_rollup(spark: SparkSession, path: str, commits_path: str | None = None) -> DataFrame:
@@ -276,11 +305,15 @@ def compact_rollup(rollup: DataFrame, path: str) -> None:
     )
 
 
-def compact_logs(logs: DataFrame, path: str) -> None:
-    """Rewrite log rows of many small batches into few files per day in another folder."""
+def compact_logs(logs: DataFrame, path: str, promoted: Iterable[str] = ()) -> None:
+    """Rewrite log rows of many small batches into few files per day in another folder, with columns
+    for ``promoted`` attributes (which a table can gain in this way)."""
+    promoted = list(promoted)
+    rows = with_promoted(logs.select(*LOG_SCHEMA.fieldNames()), promoted)
     (
-        clustered(logs.select(*LOG_SCHEMA.fieldNames()), "service", "timestamp")
+        clustered(rows, "service", "timestamp")
         .write.mode("overwrite")
+        .options(**bloom_options(promoted))
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)

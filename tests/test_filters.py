@@ -8,6 +8,7 @@ from tallylog.operators.filters import (
     check_limit,
     where_matching,
 )
+from tallylog.sources.tables import append_logs, compact_logs, scan_logs
 
 ROWS = [
     (1, "2025-03-01T06:00:00Z", "debug", "mailer", "Queue drained: 0% left", {"shard": "7", "dry_run": "false"}),
@@ -125,8 +126,7 @@ def test_aggregation_arguments():
 
 def test_bounds_reach_the_scan(spark, tmp_path):
     """Day folders are pruned and the instant is checked against Parquet statistics."""
-    from tallylog.sources.tables import append_logs, scan_logs
-
+    
     path = str(tmp_path / "logs")
     append_logs(log_frame(spark, ROWS), path)
     filters = LogFilters(service="indexer", since="2025-03-01T06:10:00Z", until="2025-03-01T06:50:00Z")
@@ -137,3 +137,22 @@ def test_bounds_reach_the_scan(spark, tmp_path):
     assert "EqualTo(service,indexer)" in plan
     assert "ReadSchema: struct<timestamp:timestamp,id:string,service:string>" in plan
     assert found.count() == 1
+
+
+def test_promoted_attributes_reach_the_files(spark, tmp_path):
+    odd = "tick` and.dot"
+    rows = [(n, f"2025-07-0{1 + n % 3}T00:00:{n % 60:02d}Z", "info", "s", "m", {"tenant": f"t{n % 50}", odd: f"v{n % 7}"} if n % 4 else {}) for n in range(400)]
+    frame, path = log_frame(spark, rows), str(tmp_path / "logs")
+    append_logs(frame.where("id < '00000000-0000-4000-8000-000000000200'"), path, promoted=["tenant", odd])
+    append_logs(frame.where("id >= '00000000-0000-4000-8000-000000000200'"), path, promoted=["tenant", odd])
+    stored = scan_logs(spark, path, promoted=["tenant", odd])
+    for pairs in ({"tenant": "t7"}, {"tenant": "t7", odd: "v0"}, {odd: "v3"}, {"tenant": "none"}, {"other": "x"}):
+        filters = LogFilters(attributes=pairs, since="2025-07-01T00:00:00Z", until="2025-07-04T00:00:00Z")
+        ids = lambda df: sorted(r["id"] for r in where_matching(df, filters).collect())
+        assert ids(stored) == ids(frame)
+    plan = plan_text(where_matching(stored, LogFilters(attributes={"tenant": "t7"})).select("id"))
+    assert "EqualTo(attribute_tenant,t7)" in plan and "attributes_search" not in plan
+    compact_logs(scan_logs(spark, path), str(tmp_path / "again"), promoted=["tenant"])
+    again = scan_logs(spark, str(tmp_path / "again"), promoted=["tenant"])
+    found = where_matching(again, LogFilters(attributes={"tenant": "t7"})).count()
+    assert found == where_matching(frame, LogFilters(attributes={"tenant": "t7"})).count() > 0

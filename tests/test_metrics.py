@@ -50,12 +50,13 @@ def test_percentiles_of_skewed_groups(spark):
     }
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_percentiles_of_close_and_far_samples(spark, monkeypatch, local):
-    """Samples that share a cell, one cell with all ranks, zeros, tiny and huge ones; also with more
-    cells than the driver takes."""
-    if not local:
-        monkeypatch.setattr(m, "LOCAL_CELLS", 2)
+@pytest.mark.parametrize("cells", [50_000, 300, 2])
+def test_percentiles_of_close_and_far_samples(spark, monkeypatch, cells):
+    """Samples that share a cell, one cell with all ranks, zeros, tiny and huge ones; also refined by
+    bins, and with more cells than the driver takes."""
+    monkeypatch.setattr(m, "LOCAL_CELLS", cells)
+    if cells == 300:
+        monkeypatch.setattr(m, "CELLS_PER_E", 1)
     rng = random.Random(5)
     groups = {
         "close": [1000 + rng.random() * 1e-6 for _ in range(900)],
@@ -73,12 +74,18 @@ def test_percentiles_of_close_and_far_samples(spark, monkeypatch, local):
     assert got == {k: (len(xs), *(nearest_rank(xs, p) if xs else None for p in (50, 95, 99))) for k, xs in full.items()}
 
 
-def test_percentiles_sort_and_write_nothing(spark):
+def test_percentiles_sort_and_write_nothing(spark, monkeypatch):
+    monkeypatch.setattr(m, "settle", None)
     df = spark.range(5000).select((F.col("id") % 977 / 7).alias("x"), (F.col("id") % 3).alias("k"))
-    plan = plan_text(m.latency_summary(df, "x", ["k"]))
-    assert "rangepartitioning" not in plan
-    # the samples are joined where they are, with a few cells
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    context = spark.sparkContext
+    context.setJobGroup("percentiles", "percentiles")
+    try:
+        found = {r["k"]: tuple(r)[1:] for r in m.latency_summary(df, "x", ["k"]).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    groups = {k: [i % 977 / 7 for i in range(5000) if i % 3 == k] for k in range(3)}
+    assert found == {k: (len(xs), *(nearest_rank(xs, p) for p in (50, 95, 99))) for k, xs in groups.items()}
+    assert len(context.statusTracker().getJobIdsForGroup("percentiles")) <= 8  # two rounds and the result, stage by stage
 
 
 @pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf")])
