@@ -19,7 +19,8 @@ have.
 
 Words are runs of characters other than space and tab to carriage return, unchanged. Null or empty
 text, and texts shorter than a window, lose nothing and repeat nothing. Rows with equal texts are
-repeats of each other, also where they share an id. Null ids are kept apart by text. Other columns
+repeats of each other, also where they share an id; of rows with one id and text the segments are
+listed once. Null ids are kept apart by text. Other columns
 are ignored by `find_repeats` and kept by `remove_repeats`. An empty table gives an empty result.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.repeats import by_document, covered, keyed, own_id, screen, word_units
+from tallylog.llm.repeats import by_document, covered, keyed, own_id, screen, with_lists, word_units
 from tallylog.llm.shared import row_key, split_join, text_slices
 from tallylog.llm.words import prefix_sums, split_words, stretches
 
@@ -95,8 +96,7 @@ def _rolling(rows: DataFrame, listed: DataFrame, width: int, block: int, probes:
                     ["hash", "k_id", "k_th", "place"],
                 )
 
-    joined = rows.join(listed, ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    return joined.mapInArrow(run, "hash long, k_id long, k_th long, place int")
+    return with_lists(rows, listed).mapInArrow(run, "hash long, k_id long, k_th long, place int")
 
 
 def find_repeats(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -143,7 +143,7 @@ def _digests(rows: DataFrame, repeats: DataFrame, width: int) -> DataFrame:
                 ["k_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = rows.join(repeats, ["k_id", "k_th"], "left").select("k_id", "text", "segments")
+    joined = with_lists(rows, repeats, "left").select("k_id", "text", "segments")
     made = joined.mapInArrow(run, "k_id long, n_words long, n_removed long, kept binary")
     return made.select(own_id(), "n_words", "n_removed", "kept")
 
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     names = docs.columns
     whole = docs.select(F.struct(*names).alias("_row"))
     rows = whole.select(*row_key("_row.doc_id", "_row.text"), "_row")
-    joined = rows.join(repeats, ["k_id", "k_th"], "left")
+    joined = split_join(rows, repeats, ["k_id", "k_th"], "left")
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, segments: pd.Series) -> pd.Series:

@@ -161,9 +161,15 @@ def screen(rows: DataFrame, units: Units, width: int, k: int) -> tuple[DataFrame
     return decided, kinds.select("anchor", "_first.*", (F.col("_n") == 1).alias("single"))
 
 
-def by_document(segments_: DataFrame) -> DataFrame:
-    """Lists of (start, count) per row key: no longer than the document has windows."""
-    return segments_.groupBy("k_id", "k_th").agg(F.collect_list(F.struct("start", "count")).alias("segments"))
+def by_document(segments_: DataFrame, *also: str) -> DataFrame:
+    """Lists of (start, count, ...) per row key. Rows of one key have the same segments, which are
+    listed once, so a list is no longer than its text has windows, however many copies there are."""
+    return segments_.groupBy("k_id", "k_th").agg(F.collect_set(F.struct("start", "count", *also)).alias("segments"))
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """k_id, k_th, text and segments of keyed rows; a key with very many rows is split by Spark."""
+    return split_join(rows, lists, ["k_id", "k_th"], how).select("k_id", "k_th", "text", "segments")
 
 
 def covered(segments_: list[dict] | None, n: int, width: int) -> np.ndarray:

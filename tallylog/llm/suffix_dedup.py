@@ -21,7 +21,8 @@ is a repeat; every byte under a repeat is removed, at all its places. Windows li
 
 Texts are bytes in UTF-8; what stays may end inside a character. Null or empty text and texts
 shorter than a window lose nothing and repeat nothing. Rows with equal texts are repeats of each
-other, also where they share an id; null ids are kept apart by text. Other columns are ignored.
+other, also where they share an id; of rows with one id and text the segments are listed, and
+sorted, once; null ids are kept apart by text. Other columns are ignored.
 An empty table gives an empty result.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallylog.llm.repeats import PLACE_BITS, by_document, byte_units, covered, keyed, own_id, screen
+from tallylog.llm.repeats import PLACE_BITS, by_document, byte_units, covered, keyed, own_id, screen, with_lists
 from tallylog.llm.shared import binary, split_join, text_slices
 from tallylog.llm.words import BYTE, prefix_sums, stretches
 
@@ -164,7 +165,7 @@ def repeated_suffixes(text: bytes, places: np.ndarray, width: int, shallow: int
 
 def _stretch_rows(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
     """The bytes under open segments."""
-    listed = open_.groupBy("k_id", "k_th").agg(F.collect_list(F.struct("anchor", "start", "count", "single")).alias("segments"))
+    listed = by_document(open_, "anchor", "single")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +189,7 @@ def _stretch_rows(rows: DataFrame, open_: DataFrame, width: int) -> DataFrame:
         names = ["anchor", "k_id", "k_th", "start", "count", "single", "stretch"]
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names)
 
-    joined = rows.join(listed, ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    return joined.mapInArrow(run, "anchor long, k_id long, k_th long, start int, count int, single boolean, stretch binary")
+    return with_lists(rows, listed).mapInArrow(run, "anchor long, k_id long, k_th long, start int, count int, single boolean, stretch binary")
 
 
 def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
@@ -223,10 +223,14 @@ def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        size = 0
+        size, before = 0, None
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 for row in batch.slice(low, 1000).to_pylist():
+                    place = (row["anchor"], row["k_id"], row["k_th"], row["start"])
+                    if place == before:  # a copy of the row
+                        continue
+                    before = place
                     if size > SORT_BYTES and row["anchor"] != held[-1]["anchor"]:
                         yield found(held)
                         held, size = [], 0
@@ -235,7 +239,7 @@ def _sorted_repeats(stretch_rows: DataFrame, width: int) -> DataFrame:
         if held:
             yield found(held)
 
-    together = stretch_rows.repartition("anchor").sortWithinPartitions("anchor")
+    together = stretch_rows.repartition("anchor").sortWithinPartitions("anchor", "k_id", "k_th", "start")
     return together.mapInArrow(run, "k_id long, k_th long, start int, count int")
 
 
@@ -276,8 +280,7 @@ def _pieces(rows: DataFrame, open_: DataFrame, width: int, gram: int, windows: i
                         ["hash", "k_id", "k_th", "start", "count"],
                     )
 
-    joined = rows.join(by_document(open_), ["k_id", "k_th"]).select("k_id", "k_th", "text", "segments")
-    return joined.mapInArrow(run, "hash long, k_id long, k_th long, start int, count int")
+    return with_lists(rows, by_document(open_)).mapInArrow(run, "hash long, k_id long, k_th long, start int, count int")
 
 
 def _counted_repeats(rows: DataFrame, open_: DataFrame, width: int, gram: int) -> DataFrame:
@@ -324,6 +327,6 @@ def kept_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFra
                     ["k_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    joined = rows.join(repeats, ["k_id", "k_th"], "left").select("k_id", "text", "segments")
+    joined = with_lists(rows, repeats, "left").select("k_id", "text", "segments")
     made = joined.mapInArrow(run, "k_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return made.select(own_id(), "n_bytes", "n_removed", "n_spans", "kept")

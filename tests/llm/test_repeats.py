@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import brute
@@ -110,3 +111,21 @@ def test_texts_of_equal_short_digests_stay_apart(spark):
     assert words == {same.a.split()[-1], same.b, ""}
     assert {r.text for r in block_repeats.remove_repeats(docs).collect()} >= {same.b}
     assert same.b in {bytes(r.kept).decode() for r in suffix_dedup.kept_bytes(docs).collect()}
+
+
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+def test_many_copies_of_a_row_cost_what_other_copies_do(spark, unit):
+    """Rows with null ids and one text, beside a text that shares part of it."""
+    words = [f"w{i}" for i in range(300)]
+    long, part = " ".join(words), " ".join([*words[100:160], *(f"v{i}" for i in range(50))])
+    find = block_repeats.kept_words if unit == "words" else suffix_dedup.kept_bytes
+    seconds = {}
+    for name, ids in (("warm", range(50)), ("distinct", range(2000)), ("null", [None] * 2000)):
+        docs = brute.frame(spark, [(i, long) for i in ids] + [(9000, part)], more=False).repartition(4)
+        began = time.perf_counter()
+        found = find(docs).collect()
+        seconds[name] = time.perf_counter() - began
+        kept = {r.doc_id: bytes(r.kept).decode() for r in found}
+        assert len(found) == len(ids) + 1 and all(kept[i] == "" for i in ids)
+        assert kept[9000].split()[-49:] == [f"v{i}" for i in range(1, 50)] and "w130" not in kept[9000]
+    assert seconds["null"] < 1.5 * seconds["distinct"] + 3
