@@ -27,7 +27,7 @@ from tallylog.llm import (
     warc,
     whitening,
 )
-from tallylog.llm.shared import cut, table
+from tallylog.llm.shared import cut, fresh_folder, remove_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -107,10 +107,14 @@ def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written to WARC archives and read back."""
-    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    """Pages written to WARC archives and read back. What was read is held, without payloads, and
+    the archives go."""
+    folder = fresh_folder(spark, "warc")
+    archives = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    found = cut(warc.read_archives(archives, folder, with_payload=False).select(names))
+    remove_folder(spark, folder)
+    return found
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

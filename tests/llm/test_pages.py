@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import zlib
@@ -81,6 +82,31 @@ def test_round_trip(spark, tmp_path):
     assert empty.collect() == []
 
 
+def test_a_damaged_archive_fails(spark, tmp_path):
+    rows = [(i, "u", payload(i)) for i in range(5)]
+    folder = f"file://{tmp_path}/w"
+    archives = warc.write_archives(warc.plan_records(pages(spark, rows)), folder)
+    place = next((tmp_path / "w" / "archives").glob("*.gz"))
+    found = [zlib.decompress(d, 31) for d in split_members(place.read_bytes())]
+    found[0] = found[0].replace(b"<p>", b"<q>", 1)
+    place.write_bytes(b"".join(gzip.compress(d) for d in found))
+    with pytest.raises(Exception, match="digests of the record at 0"):
+        warc.read_archives(archives, folder).collect()
+    loose = warc.read_archives(archives, folder, strict=False).collect()
+    bad = [r for r in loose if not r.digests_ok]
+    assert len(bad) == 1 and bad[0].payload_digest == hashlib.sha1(bad[0].payload).hexdigest()
+
+
+def split_members(data):
+    out = []
+    while data:
+        inflate = zlib.decompressobj(31)
+        inflate.decompress(data)
+        out.append(data[: len(data) - len(inflate.unused_data)])
+        data = inflate.unused_data
+    return out
+
+
 def test_reading_is_incremental_and_strict():
     data = [warc.encode_record(i, "u", b"p" * 5000 * i, hashlib.sha1(b"p" * 5000 * i).hexdigest(), 5000 * i, "response", None) for i in range(4)]
     whole = b"".join(data)
