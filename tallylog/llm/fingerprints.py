@@ -10,17 +10,23 @@ A fingerprint is a string: the first 48 of the hash bits that the bound leaves o
 order. Equal texts have equal fingerprints. Null or empty text, or one of white space, has an empty
 fingerprint, which is like nothing (0), not even another empty one.
 
+A likeness is a share of the retained hashes, one in four of the shingles: from some 40 shingles on it
+is off by 0.15 at most as a rule, below that it is coarse, and a text of under ten may share no
+retained hash with a close edit.
+
 Neighbours (`compare_with_next`): rows follow one another by descending id, null ids last, rows
-that share an id by text; after the last comes the first, a single row follows itself. Other
-columns are ignored. An empty table gives an empty result. Rows are dealt out by id ranges, and
-the first row of each range is also given to the range before, so each text is shuffled once and
-no task sees more than its range.
+that share an id by a digest of the text; after the last comes the first, a single row follows
+itself. Other columns are ignored. An empty table gives an empty result. Rows are dealt out by ranges
+of ids, and where one id, or none, has more rows than a range, of ids and digests; the first row of
+each range is also given to the range before, so each text is shuffled once and no task sees more
+than its range. Rows with one id and one text stay together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +39,7 @@ from tallylog.llm.words import distinct_pairs, split_words
 
 SHINGLE_WORDS = 5
 #: One hash in so many stays.
-SCALE = 8
+SCALE = 4
 #: Rows that are compared at once, as far as their texts are short.
 ROWS, CHARS = 400, 1 << 20
 
@@ -98,49 +104,75 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fingerprint string, n_hashes long")
 
 
-def _range_number(doc_id: Column, bounds: list[int]) -> Column:
-    """How many bounds (descending) the id is below; a balanced tree of comparisons."""
+def _chunk(digest: Column, parts: int) -> Column:
+    """Which of `parts` equal ranges of digests one lies in."""
+    share = (digest.cast("double") + 2.0**63) / 2.0**64
+    return F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int")
+
+
+def _range_number(bounds: list[tuple[int, int]], null_parts: int) -> Column:
+    """Number of a row's range. A bound (id, parts), in descending order, is the least id of its
+    range; the rows of an id with several parts are dealt out to them by digest, as are null ids."""
+    doc_id, digest = F.col("doc_id"), F.col("digest")
+    offsets = [0]
+    for _, parts in bounds:
+        offsets.append(offsets[-1] + parts)
 
     def tree(low: int, high: int) -> Column:
+        """A balanced tree of comparisons."""
         if low == high:
-            return F.lit(low)
+            if low == len(bounds):
+                return F.lit(offsets[low])
+            bound, parts = bounds[low]
+            return F.lit(offsets[low]) + (F.when(doc_id == bound, _chunk(digest, parts)).otherwise(0) if parts > 1 else 0)
         middle = (low + high) // 2
-        return F.when(doc_id >= bounds[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+        return F.when(doc_id >= bounds[middle][0], tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    return F.when(doc_id.isNull(), len(bounds)).otherwise(tree(0, len(bounds)))
+    last = F.lit(offsets[-1] + 1) + _chunk(digest, null_parts)
+    return F.when(doc_id.isNull(), last).otherwise(tree(0, len(bounds)))
 
 
 def with_follower(docs: DataFrame) -> DataFrame:
     """Rows (part, guest, doc_id, text) in partitions by descending id. A part's rows stand
     together in order, behind them as a guest the row that follows its last one."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)]
-    # as many numbers as partitions
+    sizes = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    if not sizes["n"]:
+        return rows.select(F.lit(0).alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
+    # ranges in proportion to what has an id and what has none; an id that fills several gets as many
+    null_parts = max(1, round(parts * (sizes["n"] - sizes["named"]) / sizes["n"]))
+    id_parts = max(2, parts - null_parts)
+    shares = [i / id_parts for i in range(1, id_parts)]
     quantiles = rows.select("doc_id").approxQuantile("doc_id", shares, min(0.01, 0.25 / parts))
-    bounds = sorted({int(q) for q in quantiles}, reverse=True)
-    numbered = rows.withColumn("part", _range_number(F.col("doc_id"), bounds))
-    tops = {r["part"]: r["top"] for r in numbered.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
-    if not tops:
-        return numbered.select("part", F.lit(0).alias("guest"), "doc_id", "text")
+    bounds = sorted(Counter(map(int, quantiles)).items(), reverse=True)
+    numbered = rows.withColumn("part", _range_number(bounds, null_parts))
+    # the first row of a range has the greatest id, and the least digest among its rows
+    order = F.struct(F.col("doc_id").alias("id"), F.bitwise_not("digest").alias("low"))
+    tops = {r["part"]: r["top"] for r in numbered.groupBy("part").agg(F.max(order).alias("top")).collect()}
     used = sorted(tops)
     before = dict(zip(used, [used[-1], *used[:-1]]))
-    n = len(bounds) + 1
-    top = F.array(*[F.lit(tops.get(p)).cast("long") for p in range(n)])
-    host = F.array(*[F.lit(before.get(p, p)) for p in range(n)])
-    first = F.get(top, F.col("part")).eqNullSafe(F.col("doc_id"))
+    n = used[-1] + 1
+    by_part = lambda value: F.array(*[F.lit(value(p)).cast("long") for p in range(n)])
+    top_id = by_part(lambda p: tops[p]["id"] if p in tops else None)
+    top_low = by_part(lambda p: tops[p]["low"] if p in tops else None)
+    host = by_part(lambda p: before.get(p, p))
+    part = F.col("part")
+    first = F.get(top_id, part).eqNullSafe(F.col("doc_id")) & (F.get(top_low, part) == F.bitwise_not("digest"))
     places = F.array_compact(
         F.array(
-            F.struct(F.col("part"), F.lit(0).alias("guest")),
-            F.when(first, F.struct(F.get(host, F.col("part")).alias("part"), F.lit(1).alias("guest"))),
+            F.struct(part.cast("long").alias("part"), F.lit(0).alias("guest")),
+            F.when(first, F.struct(F.get(host, part).alias("part"), F.lit(1).alias("guest"))),
         )
     )
-    placed = numbered.select(F.explode(places).alias("place"), "doc_id", "text")
+    placed = numbered.select(F.explode(places).alias("place"), "doc_id", "text", "digest")
     return (
-        placed.select("place.part", "place.guest", "doc_id", "text")
+        placed.select("place.part", "place.guest", "doc_id", "text", "digest")
         .repartitionByRange(n, "part")
-        .sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+        .sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "digest", "text")
+        .drop("digest")
     )
 
 

@@ -154,3 +154,28 @@ def test_neighbours_of_few_rows(spark):
     assert fingerprints.compare_with_next(brute.frame(spark, [(1, "a")]).where("doc_id > 1")).collect() == []
     plain = fingerprints.fingerprint(brute.frame(spark, [(1, "a b c d e f g"), (2, None)])).collect()
     assert {r.doc_id: bool(r.fingerprint) for r in plain} == {1: True, 2: False}
+
+
+def test_hot_and_null_ids_are_spread(spark):
+    """Half of all ids are null, a quarter is one id; every row is compared with the next one."""
+    rows = [(None, f"null {i} " + "a b c d e " * (i % 3)) for i in range(400)] + [(77, f"hot {i}") for i in range(200)]
+    rows += [(i, f"own {i}") for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        placed = fingerprints.with_follower(brute.frame(spark, rows, more=False)).collect()
+        found = fingerprints.compare_with_next(brute.frame(spark, rows, more=False)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = Counter(r.part for r in placed if not r.guest)
+    assert sum(sizes.values()) == 800 and max(sizes.values()) < 2 * 800 / 8
+    assert len(found) == 800 and sum(r.guest for r in placed) == len(sizes)
+    order = sorted(placed, key=lambda r: (r.part, r.guest))  # as they stand, but for ties
+    own = [[r for r in order if r.part == p and not r.guest] for p in sorted(sizes)]
+    ids = [r.doc_id for part in own for r in part]
+    assert ids == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    # each range ends with the first row of the next one
+    guests = {r.part: r.text for r in placed if r.guest}
+    after = sorted(sizes)[1:] + sorted(sizes)[:1]
+    firsts = {p: part[0].text for p, part in zip(sorted(sizes), own)}
+    assert guests == {p: firsts[q] for p, q in zip(sorted(sizes), after)}
