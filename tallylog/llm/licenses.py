@@ -9,7 +9,9 @@ priority; an interval that lies within an earlier one is suppressed, so "cc by n
 a "cc by". The labels of what remains, and the base labels, are the document's.
 
 The rules are a table of license names, versions and ways to put them, from which the signatures
-are made. Everything is built from DataFrame functions.
+are made. Names that are ordinary words or products, too (general public, python, apache), count
+only beside the word license, after "licensed under" or in an SPDX line, so that prose about them
+has no label. Everything is built from DataFrame functions.
 
 Base labels are those of three phrases and always stay. Null or empty text has no words, no labels
 and a score of 0. Null ids, repeated ids and equal rows each give a row with their own result; other
@@ -83,6 +85,13 @@ NAMED = (
     ("blue-oak", "blue oak model", "1.0.0", "blue oak"),
     ("mulan", "mulan (?:psl|permissive software)", "1 2", "mulan"),
 )
+#: Names above that mean nothing but a license. The others are words or products, too, and count only
+#: with the word license beside them.
+OWN_NAMES = {
+    "(?:gnu )?gpl", "(?:gnu )?lgpl", "(?:gnu )?agpl", "mpl", "eupl", "cecill", "wtfpl", "unlicense", "(?:sil )?open font",
+    "(?:bsd [0-4] clause|[0-4] clause bsd)", "do what the fuck you want to public", "common development and distribution",
+    "(?:gnu )?affero general public", "(?:gnu )?(?:lesser|library) general public",
+}
 # Creative Commons terms, as label and words, and their versions.
 COMMONS = (("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"), ("by-nc", "by nc", "attribution non ?commercial"), ("by-sa", "by sa", "attribution share ?alike"), ("by-nd", "by nd", "attribution no ?deriv(?:ative)?s"), ("by", "by", "attribution"))
 COMMONS_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
@@ -125,16 +134,22 @@ def signature_rules() -> list[Rule]:
     """All rules, from the surest to the loosest."""
     rules = [Rule(label, words, keyword, SENTENCE) for label, words, keyword in SENTENCES]
     for label, name, versions, keyword in NAMED:
+        own = name in OWN_NAMES
+        under = rf"(?:{LICENSE}d|released|distributed|available|published)" if own else rf"{LICENSE}d"
         for version in versions.split():
             number = version.replace(".", " ")
-            tail = rf"(?: {LICENSE})?(?: version| v)? ?{number}(?: or (?:any )?later(?: version)?)?"
-            rules.append(Rule(f"{label}-{version}", rf"{name}{tail}", keyword, VERSIONED))
+            tail = rf"(?: version| v)? ?{number}(?: or (?:any )?later(?: version)?)?"
+            said = f"{name}(?: {LICENSE})?" if own else f"{name} {LICENSE}"
+            rules.append(Rule(f"{label}-{version}", said + tail, keyword, VERSIONED, "" if own else "licen"))
+            if not own:
+                rules.append(Rule(f"{label}-{version}", rf"{under}(?: \S+)? under (?:the |an )?{name}{tail}", keyword, VERSIONED, "under"))
         rules += [
             Rule(label, rf"{name} (?:public )?{LICENSE}", keyword, PLAIN, "licen"),
             Rule(label, rf"spdx {LICENSE} identifier {name}", keyword, PLAIN, "spdx"),
-            Rule(label, rf"(?:released|licen[cs]ed|distributed|available|published)(?: \S+)? under (?:the |an )?{name}", keyword, LOOSE, "under"),
-            Rule(label, rf"under the terms of (?:the |an )?{name}", keyword, LOOSE, "under"),
+            Rule(label, rf"{under}(?: \S+)? under (?:the |an )?{name}", keyword, LOOSE, "under"),
         ]
+        if own:
+            rules.append(Rule(label, rf"under the terms of (?:the |an )?{name}", keyword, LOOSE, "under"))
     for label, short, full in COMMONS:
         for version in COMMONS_VERSIONS.split():
             number = version.replace(".", " ")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -96,6 +97,53 @@ def test_licenses(spark):
     assert licenses.scan_licenses(brute.frame(spark, rows).where("doc_id < 0")).collect() == []
 
 
+PROSE = [
+    "The hall is open to the general public 3 days a week.",
+    "Python 2.0 was released in a hurry, and PHP 3.0 before it.",
+    "We moved from PHP 3.0 to Elastic 2.0 and saw an eclipse, public 2.0 talks and a boost.",
+    "The snake was distributed under python rock; the artistic 2.0 show ran under the ruby sky.",
+    "Business source 1.1 articles, server side public 1 endpoints, open software 3.0 fans.",
+    "Apache 2 helicopters landed, available under Apache command, published under Vim and X11.",
+    "a mozilla public 2.0 demo, the common public 1.0, microsoft public 3, zlib and openssl released under zlib",
+]
+
+
+def test_prose_has_no_labels(spark):
+    found = licenses.scan_licenses(brute.frame(spark, list(enumerate(PROSE)))).collect()
+    assert {(r.doc_id, r.labels, r.score) for r in found} == {(i, "", 0.0) for i in range(len(PROSE))}
+
+
+def plain_labels(text):
+    """Every rule on the text, in order of place, longest and surest first; what lies within an
+    earlier one goes."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", brute.ascii_lower(text))
+    low = f" {' '.join(w)} " if w else " "
+    spans = []
+    for rank, rule in enumerate(licenses.RULES):
+        spans += [(m.start(), -m.end(), rank, rule) for m in re.finditer(f"(?<= )(?:{rule.signature})(?= )", low)]
+    reached, labels, weight = -1, set(), 0.0
+    for start, end, _, rule in sorted(spans, key=lambda x: x[:3]):
+        if -end > reached:
+            reached, weight = -end, max(weight, rule.weight)
+            labels.add(rule.label)
+    base = set(filter(None, license_base(text)[4].split(",")))
+    return ",".join(sorted(labels | base)), max(weight, licenses.PLAIN if base else 0.0)
+
+
+def test_labels_against_every_rule_on_every_text(spark):
+    rnd = random.Random(9)
+    pieces = [t for t, _ in LICENSED if t] + PROSE + [
+        "licensed under Apache 2.0", "Licensed under the PHP 3.01 or later", "under the terms of the GPL", "gpl v3", "LGPL 2.1",
+        "Apache Software License version 1.1", "the Python License 2.0", "available under MPL 2.0", "zlib libpng licence",
+        "CC BY 4.0 and CC BY-SA 3.0", "creative commons zero", "EUPL 1.2 and the European Union Public License 1.2",
+        "This is free and unencumbered software", "BSD 3-clause license", "3-Clause BSD", "SPDX-License-Identifier: GPL",
+    ]
+    rows = [(i, " ".join(rnd.choice(pieces) + rnd.choice([" ", ". ", "; x ", "\n"]) for _ in range(rnd.randint(1, 5)))) for i in range(120)]
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(brute.frame(spark, rows)).collect()}
+    assert found == {i: plain_labels(t) for i, t in rows}
+    assert len({labels for labels, _ in found.values()}) > 40
+
+
 def test_gate_lets_every_rule_through():
     for rule in licenses.RULES:
         assert re.search(licenses.GATE, rule.form or rule.keyword)
