@@ -1,7 +1,10 @@
 import gzip
 import hashlib
 import io
+import random
+import time
 import zlib
+from collections import defaultdict
 
 import pyarrow as pa
 import pytest
@@ -45,19 +48,83 @@ def test_extract_text(spark):
 
 def test_repeated_runs_of_a_host_go(spark):
     notice, other = "we use small files to serve you better", "words that only this page has"
+    long = " ".join(f"standing{i}" for i in range(30))
     page = lambda body: f"<div>{notice}</div><p>{body}</p><div>Home about us contact legal imprint</div>"
     rows = [
         (1, "http://a.example/1", page(other)),
         (2, "https://A.example:80/2", page("something else entirely")),
         (3, "http://b.example/", page("alone on its host")),
-        (4, "http://a.example/1", f"<article>{notice} {notice}</article>"),
-        (5, "http://a.example/5", f"<p>unique {notice} twice {notice}</p>"),
+        (4, "http://a.example/1", f"<article>{notice} {long}</article>"),
+        (5, "http://a.example/5", f"<p>unique {notice} once</p><p>first {long} last</p>"),
+        (6, "http://a.example/6", f"<p>other {long} end</p>"),
     ]
     found = {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()}
     assert found[1] == other and found[2] == "something else entirely"
     assert found[3] == f"{notice} alone on its host Home about us contact legal imprint"
-    assert found[4] == f"{notice} {notice}"  # a marked main part
-    assert found[5] == "unique twice"
+    assert found[4] == f"{notice} {long}"  # a marked main part
+    assert found[5] == f"unique {notice} once first last" and found[6] == "other end"
+
+
+def test_prose_of_a_large_host_stays(spark):
+    """Thousands of unmarked pages of ordinary prose from few words, with planted menus and a long
+    passage on some; against a plain count of blocks and runs."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    menu, passage = "Home News Contact", " ".join(f"legal{i}" for i in range(40))
+    rows, blocks = [], {}
+    for i in range(2500):
+        own = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(30, 60))) for _ in range(2)]
+        if i % 50 == 0:
+            own[1] += f" {passage} {i}"
+        blocks[i] = [menu, *own, "Imprint"]
+        rows.append((i, "http://big.example/", "<ul><li>{}</ul><p>{}<p>{}<div>{}</div>".format(*blocks[i])))
+    seen = defaultdict(set)
+    run = html_extract.RUN_TOKENS
+    tokens = {i: " ".join(b).split() for i, b in blocks.items()}
+    for i, b in blocks.items():
+        for block in b:
+            seen[block].add(i)
+        for k in range(len(tokens[i]) - run + 1):
+            seen[tuple(tokens[i][k : k + run])].add(i)
+    expected = {}
+    for i, b in blocks.items():
+        gone, at = set(), 0
+        for block in b:
+            n = len(block.split())
+            gone |= set(range(at, at + n)) if len(seen[block]) > 1 else set()
+            at += n
+        for k in range(len(tokens[i]) - run + 1):
+            if len(seen[tuple(tokens[i][k : k + run])]) > 1:
+                gone |= set(range(k, k + run))
+        expected[i] = " ".join(t for k, t in enumerate(tokens[i]) if k not in gone)
+    found = {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    assert found == expected
+    assert all("Home" not in t and "legal7" not in t and len(t.split()) >= 60 for t in found.values())
+
+
+def test_names_inside_a_marked_part():
+    html = (
+        '<article><h1>T</h1><h2 id="related-work">Related</h2><section id="search-algorithms"><p>binary</section>'
+        '<p class="has-header">kept</p><div class="cookie-recipe">dough</div><p class="notice">gone</p>'
+        '<div class="ad-slot">buy</div><div role="navigation">menu</div><p>last</p></article>'
+    )
+    assert html_extract.page_blocks(html) == (["T", "Related", "binary", "kept", "dough", "last"], True)
+    assert html_extract.page_blocks('<div id=main>x</div>y') == (["x"], True)
+    assert html_extract.page_blocks('<article class=comment>x</article>y') == (["y"], False)
+
+
+def test_long_and_nested_pages_are_parsed_in_time():
+    began = time.perf_counter()
+    cases = [
+        "<p>" + "<b>" * 20_000 + "x" + "</i>" * 20_000,
+        "<i><p>" + "<b>" * 20_000 + "</i>" * 20_000 + "x",
+        "<b>" * 20_000 + "<hr>" * 20_000 + "x",
+        "<article>" + "<p>some words of a page</p>" * 80_000,
+        "<div>" * 20_000 + "x" + "</div>" * 20_000,
+    ]
+    for html in cases:
+        assert html_extract.page_blocks(html)[0]
+    assert max(map(len, cases)) > 2_000_000 and time.perf_counter() - began < 10
 
 
 def payload(i):
