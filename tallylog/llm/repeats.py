@@ -168,8 +168,14 @@ def by_document(segments_: DataFrame, *also: str) -> DataFrame:
 
 
 def with_lists(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """k_id, k_th, text and segments of keyed rows; a key with very many rows is split by Spark."""
-    return split_join(rows, lists, ["k_id", "k_th"], how).select("k_id", "k_th", "text", "segments")
+    """k_id, k_th, text and segments of keyed rows; a key with very many rows is split by Spark.
+
+    The keys are rewritten for the join (see `split_join`) and back, so that every such join deals
+    out the same three columns of the rows, which Spark then does once.
+    """
+    keys = [F.bitwise_not("k_id").alias("_i"), F.bitwise_not("k_th").alias("_t")]
+    joined = rows.select(*keys, "text").join(lists.select(*keys, "segments"), ["_i", "_t"], how)
+    return joined.select(F.bitwise_not("_i").alias("k_id"), F.bitwise_not("_t").alias("k_th"), "text", "segments")
 
 
 def covered(segments_: list[dict] | None, n: int, width: int) -> np.ndarray:
