@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallylog.fixed import REASON
 from tallylog.functions.binding import built_once, let
-from tallylog.functions.numbers import exact_number_texts, number_text
+from tallylog.functions.numbers import EXACT_INTEGERS, exact_number_texts, number_text
 
 NUL = "\u0000"
 
@@ -63,8 +63,19 @@ def key_order(keys: Column) -> Column:
     return F.transform(F.array_sort(ranked), lambda r: r["key"])
 
 
+def plainly_good(attributes: Column) -> Column:
+    """True where all values are texts, booleans or exact numbers and no text holds U+0000.
+
+    Two cheap looks at the whole object decide nearly every entry; false only means that each
+    attribute has to be judged. JSON text shows U+0000 as its escape.
+    """
+    exact = lambda kind: kind.isin("STRING", "BOOLEAN", "BIGINT") | kind.startswith("DECIMAL")
+    plain = F.forall(F.map_values(attributes), lambda value: exact(variant_type(value)))
+    return plain & ~F.contains(F.to_json(attributes), F.lit("\\u0000"))
+
+
 def first_bad_attribute(attributes: Column, entry_text: Column) -> Column:
-    """Reason of the first bad attribute in object order.
+    """Reason of the first bad attribute in object order; null when all are good.
 
     Two attributes can only fail for different reasons when one of them holds U+0000. Only then
     is the entry's own text at hand, and only then does the order of its keys matter.
@@ -80,14 +91,16 @@ def first_bad_attribute(attributes: Column, entry_text: Column) -> Column:
         ),
         lambda r: r.isNotNull(),
     )
-    return F.when(
-        (F.size(F.array_distinct(found)) > 1) & entry_text.isNotNull(), F.get(in_order, F.lit(0))
-    ).otherwise(F.get(found, F.lit(0)))
+    several = (F.size(F.array_distinct(found)) > 1) & entry_text.isNotNull()
+    first = F.when(several, F.get(in_order, F.lit(0))).otherwise(F.get(found, F.lit(0)))
+    return F.when(~F.coalesce(plainly_good(attributes), F.lit(False)), first)
 
 
 def normalize_value(value: Column) -> Column:
     """Searchable text of one acceptable value; null for a number that needs the exact way."""
-    text = F.when(variant_type(value).isin("STRING", "BOOLEAN"), as_text(value))
+    kind, whole = variant_type(value), F.try_variant_get(value, "$", "long")
+    text = F.when(kind.isin("STRING", "BOOLEAN"), as_text(value))
+    text = text.when((kind == "BIGINT") & whole.between(-EXACT_INTEGERS, EXACT_INTEGERS), as_text(value))
     return text.otherwise(let(as_double(value), number_text))
 
 

@@ -15,7 +15,7 @@ from tallylog.functions.binding import let
 # Executors need not have this package installed: the UDF travels with its code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_EXACT_INTEGERS = float(2**53)
+EXACT_INTEGERS = 2**53
 _SMALLEST_NORMAL = 2.2250738585072014e-308
 _SURE_DIGITS = 15
 
@@ -53,7 +53,7 @@ def number_text(x: Column) -> Column:
     digits: no two such decimals share a double, so none can be shorter. More digits, and
     subnormal numbers, go to :func:`exact_number_texts`.
     """
-    is_whole = (F.abs(x) < F.lit(_EXACT_INTEGERS)) & (x == F.floor(x).cast("double"))
+    is_whole = (F.abs(x) < F.lit(float(EXACT_INTEGERS))) & (x == F.floor(x).cast("double"))
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
 
     def split(cast: Column) -> Column:

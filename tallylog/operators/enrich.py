@@ -49,10 +49,10 @@ def minute_bucket(ts: Column) -> Column:
     return F.date_trunc("minute", ts)
 
 
-def to_log_rows(accepted: DataFrame, namespace: str = "") -> DataFrame:
-    """Accepted entries in the layout of the log table."""
+def to_log_rows(accepted: DataFrame, namespace: str = "", *also: str) -> DataFrame:
+    """Accepted entries in the layout of the log table, with further columns of theirs."""
     rows = normalize_attributes(assign_log_id(accepted, namespace))
     rows = with_event_date(with_created_at(rows))
     columns = {name: F.col(name) for name in LOG_SCHEMA.fieldNames()}
     columns["attributes"] = F.to_json("attributes").alias("attributes")
-    return rows.select(*columns.values())
+    return rows.select(*columns.values(), *also)

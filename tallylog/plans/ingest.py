@@ -14,7 +14,8 @@ from tallylog.operators.validate import (
     split_valid,
     validate_entries,
 )
-from tallylog.session import configure
+from tallylog.schema import LOG_SCHEMA
+from tallylog.session import configure, materialize, remove_folder
 from tallylog.sources.batches import explode_entries
 from tallylog.sources.tables import LogTables, committed_positions, write_batch
 
@@ -32,6 +33,14 @@ def accepted_rows(
     return to_log_rows(accepted, namespace)
 
 
+def judged_rows(judged: DataFrame, namespace: str = "") -> DataFrame:
+    """Judged entries in the layout of the log table, with the columns that accounts need.
+
+    Rejected entries and batches without entries have no log values.
+    """
+    return to_log_rows(judged, namespace, "batch_id", "index", "reason", "bad_batch")
+
+
 def store_judged(
     judged: DataFrame,
     batch_id: int,
@@ -42,19 +51,24 @@ def store_judged(
 ) -> bool:
     """Store one (micro-)batch of judged entries; False when it was stored before.
 
-    The judged rows are kept while logs, minute counts and accounts are written from them, so
-    JSON is parsed once; what an executor loses is parsed again. ``keep=False`` is for a batch
-    larger than the executors can hold: bodies are then parsed once for each of the three.
+    JSON is parsed once, whichever way the judged rows then go. By default executors keep them
+    while logs, minute counts and accounts are written, for (micro-)batches whose size a trigger
+    limits. ``keep=False`` is for a batch of any size: one pass writes the judged rows to the
+    shared folder, and the three read from there only the columns they need, so no executor holds
+    the batch and a lost one costs no parse.
     """
     spark = configure(judged.sparkSession)
     if batch_id <= committed_positions(spark, tables.commits).get(writer, -1):
         return False
+    passed, folder = judged_rows(judged, f"{writer}:{batch_id}"), None
     if keep:
-        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
+        passed = passed.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        passed, folder = materialize(passed, "judged")
     try:
-        accepted, _ = split_valid(judged)
-        rows = to_log_rows(accepted, f"{writer}:{batch_id}")
-        accounts = batch_accounting(judged)
+        entry = F.col("index").isNotNull()
+        rows = passed.where(entry & F.col("reason").isNull()).select(*LOG_SCHEMA.fieldNames())
+        accounts = batch_accounting(passed)
         part = f"{tables.accounts}/writer={writer}/part={batch_id}"
         return write_batch(
             rows,
@@ -67,8 +81,10 @@ def store_judged(
             also=[lambda: accounts.write.mode("overwrite").parquet(part)],
         )
     finally:
-        if keep:
-            judged.unpersist()
+        if folder is None:
+            passed.unpersist()
+        else:
+            remove_folder(spark, folder)
 
 
 def ingest(

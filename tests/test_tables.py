@@ -1,5 +1,6 @@
 import hashlib
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tallylog.plans.maintenance import (
     stored_partitions,
 )
 from tallylog.schema import LOG_SCHEMA
+from tallylog.session import shared_dir
 from tallylog.sources import tables as t
 from tallylog.sources.batches import read_log_batches, zip_arrays
 from tallylog.streaming.ingest import drain, stream_ingest, stream_minute_counts
@@ -526,3 +528,16 @@ def test_bucket_bodies(spark):
     df = spark.createDataFrame([(c,) for c in cases], "body string")
     got = {r["body"]: r["valid"] for r in audit.validate_bucket_body(df).collect()}
     assert got == cases
+
+
+def test_a_batch_written_aside_leaves_nothing_there(spark, tmp_path):
+    source = body_files(tmp_path / "in")
+    kept, aside = (t.LogTables(str(tmp_path / name)) for name in ("kept", "aside"))
+    assert ingest(read_log_batches(spark, source), 0, kept)
+    assert ingest(read_log_batches(spark, source), 0, aside, keep=False)
+    assert not ingest(read_log_batches(spark, source), 0, aside, keep=False)
+    accounts = lambda out: sorted(map(str, spark.read.parquet(out.accounts).drop("writer", "part").collect()))
+    rows = lambda out: sorted(map(str, t.scan_logs(spark, out.logs, out.commits).drop("created_at").collect()))
+    assert accounts(aside) == accounts(kept)
+    assert rows(aside) == rows(kept)
+    assert not list(Path(shared_dir(spark)).glob("judged-*"))
