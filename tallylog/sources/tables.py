@@ -2,11 +2,11 @@
 
 Layout below a root folder::
 
-    logs/event_date=…/writer=…/batch_id=…/*.parquet
+    table=logs/event_date=…/writer=…/batch_id=…/*.parquet
     rollup/event_date=…/writer=…/batch_id=…/*.parquet
     commits/*.parquet
 
-A batch writes its logs, then its minute counts, then one commit row. A writer's batches are
+A batch writes its logs and its minute counts, then one commit row. A writer's batches are
 numbered upwards and run one after another, so the highest committed number per writer tells
 readers what to see: everything up to it. Compaction (``plans.maintenance.compact_tables``) merges
 batches into one of its own and commits both at once, the merged batch and up to where the
@@ -38,7 +38,7 @@ from tallylog.schema import (
     ROLLUP_SCHEMA,
     promoted_column,
 )
-from tallylog.session import configure
+from tallylog.session import configure, remove_folder
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,12 @@ class LogTables:
 
     @property
     def logs(self) -> str:
-        return f"{self.root}/logs"
+        return f"{self.root}/table=logs"
+
+    @property
+    def rejects(self) -> str:
+        """Entries on their way to the accounts; one partitioned write fills this and the logs."""
+        return f"{self.root}/table=rejects"
 
     @property
     def rollup(self) -> str:
@@ -85,16 +90,29 @@ def day_folders(spark: SparkSession, path: str) -> dict[str, object]:
     return {p.getName().removeprefix(prefix): p for p in paths if p.getName().startswith(prefix)}
 
 
-def remove_attempt(spark: SparkSession, path: str, writer: str, batch_id: int) -> None:
-    """Remove what an attempt at a batch that was never committed has left, on whatever days."""
+def batch_folders(spark: SparkSession, path: str, writer: str, batch_id: int) -> list[str]:
+    """Folders of what a writer's batch has written to a table, on whatever days; names only."""
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    own = f"writer={escape(writer)}/batch_id={batch_id}"
     _, fs = file_system(spark, path)
-    for day in day_folders(spark, path).values():
-        left = spark._jvm.org.apache.hadoop.fs.Path(
-            day, f"writer={escape(writer)}/batch_id={batch_id}"
-        )
-        if fs.exists(left):
-            fs.delete(left, True)
+    found = [spark._jvm.org.apache.hadoop.fs.Path(d, own) for d in day_folders(spark, path).values()]
+    return [folder.toString() for folder in found if fs.exists(folder)]
+
+
+def remove_attempt(spark: SparkSession, path: str, writer: str, batch_id: int) -> None:
+    """Remove what an attempt at a batch that was never committed has left."""
+    for folder in batch_folders(spark, path, writer, batch_id):
+        remove_folder(spark, folder)
+
+
+def read_batch(
+    spark: SparkSession, path: str, schema: T.StructType, writer: str, batch_id: int
+) -> DataFrame:
+    """What a writer's batch has written to a table, committed or not. Lists its folders only."""
+    folders = batch_folders(spark, path, writer, batch_id)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
 
 def clustered(df: DataFrame, *inner: str, by_day: bool = True) -> DataFrame:
@@ -179,7 +197,7 @@ def write_commit(spark: SparkSession, commits_path: str, rows: list[tuple[str, i
     made.coalesce(1).write.mode("append").parquet(commits_path)
 
 
-def _run_all(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
+def run_all(spark: SparkSession, jobs: list[Callable[[], None]]) -> None:
     """Run Spark jobs from one thread each and raise what any of them raised."""
     with ThreadPoolExecutor(len(jobs)) as pool:
         started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
@@ -196,7 +214,6 @@ def write_batch(
     writer: str = "batch",
     check_keys: bool = False,
     by_day: bool = True,
-    also: Iterable[Callable[[], None]] = (),
 ) -> bool:
     """Store log rows and their minute counts as one unit; False when already committed.
 
@@ -206,7 +223,7 @@ def write_batch(
 
     ``check_keys`` refuses the batch when a (timestamp, id) occurs twice in it or is stored
     already. Ids from ``assign_log_id`` cannot clash, so this is for rows that bring their own.
-    ``by_day`` is that of :func:`clustered`. ``also`` are further writes of the same batch; they too must succeed before it is committed.
+    ``by_day`` is that of :func:`clustered`.
     """
     spark = configure(df.sparkSession)
     if batch_id <= committed_positions(spark, commits_path).get(writer, -1):
@@ -224,10 +241,9 @@ def write_batch(
     counts = clustered(minute_counts(df), "bucket_start", "service", "level")
     rows = clustered(df, "service", "timestamp", by_day=by_day)
     # Independent jobs, side by side; the commit row follows only when all are done.
-    _run_all(
+    run_all(
         spark,
         [
-            *also,
             lambda: _write_part(rows, logs_path, writer, batch_id),
             lambda: _write_part(counts, rollup_path, writer, batch_id),
         ],

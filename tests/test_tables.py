@@ -1,6 +1,5 @@
 import hashlib
 import json
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +20,6 @@ from tallylog.plans.maintenance import (
     stored_partitions,
 )
 from tallylog.schema import LOG_SCHEMA
-from tallylog.session import shared_dir
 from tallylog.sources import tables as t
 from tallylog.sources.batches import read_log_batches, zip_arrays
 from tallylog.streaming.ingest import drain, stream_ingest, stream_minute_counts
@@ -79,7 +77,7 @@ def test_commit_files_are_summed_up(spark, tmp_path):
     assert ids(spark, out) == [0, 1, 2, 7, 9]
 
 
-def folders(tmp_path, table="logs"):
+def folders(tmp_path, table="table=logs"):
     return sorted("/".join(p.parts[-2:]) for p in (tmp_path / "t" / table).glob("*/*/*"))
 
 
@@ -233,11 +231,11 @@ def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     assert any("2020" in row for row in _content(spark, streamed))
 
 
-def test_large_batches_need_not_be_kept(spark, tmp_path):
+def test_files_may_come_day_by_day(spark, tmp_path):
     source = body_files(tmp_path / "in")
     kept, passed = (t.LogTables(str(tmp_path / name)) for name in ("kept", "passed"))
     ingest(read_log_batches(spark, source), 0, kept)
-    ingest(read_log_batches(spark, source), 0, passed, keep=False, by_day=False)
+    ingest(read_log_batches(spark, source), 0, passed, by_day=False)
     assert _content(spark, kept) == _content(spark, passed)
     logs = t.scan_logs(spark, passed.logs, passed.commits)
     assert verify_rollup(logs, t.scan_rollup(spark, passed.rollup, passed.commits)).isEmpty()
@@ -255,15 +253,13 @@ def test_restart_adds_nothing_and_new_files_are_found(spark, tmp_path):
 
 
 def test_a_failed_micro_batch_is_repeated_whole(spark, tmp_path, monkeypatch):
-    from tallylog.plans import ingest as plan
-
     source = body_files(tmp_path / "in")
     out = t.LogTables(str(tmp_path / "stream"))
     real, calls = t._write_part, []
 
     def failing(df, path, writer, batch_id):
         calls.append(path)
-        if len(calls) == 2:  # logs are written, the minute counts are not
+        if len(calls) == 1:  # logs are written, the minute counts are not
             raise OSError("lost")
         real(df, path, writer, batch_id)
 
@@ -275,7 +271,6 @@ def test_a_failed_micro_batch_is_repeated_whole(spark, tmp_path, monkeypatch):
     assert len(_content(spark, out)) == 4
     logs = t.scan_logs(spark, out.logs, out.commits)
     assert verify_rollup(logs, t.scan_rollup(spark, out.rollup, out.commits)).isEmpty()
-    assert plan is not None
 
 
 def test_replayed_files_can_be_left_out(spark, tmp_path):
@@ -530,14 +525,46 @@ def test_bucket_bodies(spark):
     assert got == cases
 
 
-def test_a_batch_written_aside_leaves_nothing_there(spark, tmp_path):
+def test_nothing_is_kept_or_left_aside(spark, tmp_path):
     source = body_files(tmp_path / "in")
-    kept, aside = (t.LogTables(str(tmp_path / name)) for name in ("kept", "aside"))
-    assert ingest(read_log_batches(spark, source), 0, kept)
-    assert ingest(read_log_batches(spark, source), 0, aside, keep=False)
-    assert not ingest(read_log_batches(spark, source), 0, aside, keep=False)
-    accounts = lambda out: sorted(map(str, spark.read.parquet(out.accounts).drop("writer", "part").collect()))
-    rows = lambda out: sorted(map(str, t.scan_logs(spark, out.logs, out.commits).drop("created_at").collect()))
-    assert accounts(aside) == accounts(kept)
-    assert rows(aside) == rows(kept)
-    assert not list(Path(shared_dir(spark)).glob("judged-*"))
+    out = t.LogTables(str(tmp_path / "out"))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert ingest(read_log_batches(spark, source), 0, out)
+    assert not ingest(read_log_batches(spark, source), 0, out)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert t.batch_folders(spark, out.rejects, "batch", 0) == []
+    assert "__HIVE_DEFAULT_PARTITION__" not in t.day_folders(spark, out.logs)
+    logs = t.scan_logs(spark, out.logs, out.commits)
+    assert logs.columns == LOG_SCHEMA.fieldNames()
+
+
+def test_a_batch_of_rejects_only_has_accounts_and_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "bad").write_text('{"logs":[{"level":"info"},7]}\n')
+    out = t.LogTables(str(tmp_path / "out"))
+    assert ingest(read_log_batches(spark, str(tmp_path / "in")), 0, out)
+    (account,) = spark.read.parquet(out.accounts).collect()
+    assert (account["attempted"], account["accepted"], account["outcome"]) == (2, 0, "rejected")
+    assert [r["index"] for r in account["rejected"]] == [0, 1]
+    assert t.scan_logs(spark, out.logs, out.commits).isEmpty()
+    assert t.scan_rollup(spark, out.rollup, out.commits).isEmpty()
+
+
+def test_what_a_dead_attempt_left_is_not_counted(spark, tmp_path, monkeypatch):
+    from tallylog.plans import ingest as plan
+
+    source, longer = body_files(tmp_path / "in"), body_files(tmp_path / "longer", copies=2)
+    clean, after = (t.LogTables(str(tmp_path / name)) for name in ("clean", "after"))
+    assert ingest(read_log_batches(spark, source), 0, clean)
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(plan, "write_commit", dies)
+        with pytest.raises(OSError):
+            ingest(read_log_batches(spark, longer), 0, after)
+    assert ingest(read_log_batches(spark, source), 0, after)
+    accounts = lambda out: sorted(map(str, spark.read.parquet(out.accounts).collect()))
+    assert accounts(after) == accounts(clean)
+    assert _content(spark, after) == _content(spark, clean)
