@@ -1,13 +1,16 @@
 import random
 import time
 from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallylog.llm import block_repeats, suffix_dedup
 from tallylog.llm.repeats import segments, sliding_least
+from tallylog.llm.shared import cut, split_join
 from tallylog.llm.words import BYTE
 
 
@@ -129,3 +132,41 @@ def test_many_copies_of_a_row_cost_what_other_copies_do(spark, unit):
         assert len(found) == len(ids) + 1 and all(kept[i] == "" for i in ids)
         assert kept[9000].split()[-49:] == [f"v{i}" for i in range(1, 50)] and "w130" not in kept[9000]
     assert seconds["null"] < 1.5 * seconds["distinct"] + 3
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    """Disk of op9 and op5: the screening's shuffles go with the cut, not with the next collection."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {str(f) for d in folders for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name, None), files()
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    held = cut(df)
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(name, None) == setting
+    assert {tuple(r) for r in held.collect()} == {tuple(r) for r in df.collect()} == {(k, 100) for k in range(10)}
+
+
+def test_keys_of_a_split_join_are_dealt_out_once(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (None, "c", 7), (2, "b", 8)], "k long, s string, v long")
+    right = left.groupBy("k", "s").agg(F.count("*").alias("n"))
+    joined = split_join(left, right, ["k", "s"], "left")
+    assert joined.columns == ["k", "s", "v", "n"]
+    found = sorted(map(tuple, joined.collect()), key=str)
+    assert found == sorted([(1, "a", 5, 1), (2, "b", 6, 2), (None, "c", 7, None), (2, "b", 8, 2)], key=str)
+    assert split_join(left, right.where("n > 1"), ["k", "s"], "left_semi").columns == ["k", "s", "v"]
+    wide = left.select("k", "v").hint("merge")
+    joined = split_join(wide, right.groupBy("k").agg(F.sum("n").alias("n")), ["k"])
+    plan = joined._jdf.queryExecution().optimizedPlan()
+    side = next(n for n in iterate(plan) if n.nodeName() == "Join").left()
+    assert side.output().size() == 2  # the rewritten key and v
+    assert {tuple(r) for r in joined.collect()} == {(1, 5, 1), (2, 6, 2), (2, 8, 2)}
+
+
+def iterate(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from iterate(plan.children().apply(i))
