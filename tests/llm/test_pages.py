@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallylog.llm import html_extract, warc
 
@@ -102,6 +103,42 @@ def test_prose_of_a_large_host_stays(spark):
     assert all("Home" not in t and "legal7" not in t and len(t.split()) >= 60 for t in found.values())
 
 
+def test_suffixes_are_sorted_and_intervals_go_over_edges(spark):
+    """The order of the suffix array, and runs and blocks on so many pages that no task has them whole."""
+    rnd = random.Random(8)
+    passage = " ".join(f"legal{i}" for i in range(30))
+    rows, unique = [], {}
+    for i in range(400):
+        unique[i] = " ".join(f"u{rnd.random()}" for _ in range(rnd.randint(1, 30)))
+        more = f"<p>{unique[i]} {passage if i % 3 == 0 else ''}<p>{passage if i % 3 == 1 else ''}"
+        rows.append((i, f"http://{'a' if i % 8 else 'b'}.example/", f"<p>Home News{more}"))
+        rows.append((1000, "http://b.example/", "<p>the same row on one page"))  # equal rows are one page
+    kept = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = pages(spark, rows)
+        found = {r.page_id: r.text for r in html_extract.extract_text(frame).collect()}
+        host = html_extract.host_of(F.col("url")).alias("host")
+        given = frame.select(host, F.col("page_id").alias("page"), F.split("html", "<p>").alias("blocks"))
+        array = html_extract.suffix_array(given)
+        parts = array.rdd.glom().collect()
+        runs = html_extract.repeated_runs(array).distinct().collect()
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+    assert found == unique | {1000: "the same row on one page"}
+    order = [tuple(r) for part in parts for r in part]
+    assert order == sorted(order) and sum(map(bool, parts)) > 30
+    pages_of, ends = defaultdict(set), defaultdict(set)
+    for k, part in enumerate(parts):
+        for r in part:
+            pages_of[tuple(r)[:5]].add(r.page)
+            ends[tuple(r)[:5]].add(k)
+    assert any(len(k) > 2 and len(pages_of[key]) > 1 for key, k in ends.items())
+    assert {tuple(r) for r in runs} == {(r[5], r[6], r[1]) for r in order if len(pages_of[r[:5]]) > 1}
+
+
 def test_names_inside_a_marked_part():
     html = (
         '<article><h1>T</h1><h2 id="related-work">Related</h2><section id="search-algorithms"><p>binary</section>'
