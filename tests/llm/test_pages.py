@@ -66,6 +66,28 @@ def test_repeated_runs_of_a_host_go(spark):
     assert found[5] == f"unique {notice} once first last" and found[6] == "other end"
 
 
+def test_marked_pages_of_a_host_are_compared_with(spark):
+    """What a page without a marked main part shares with pages that mark one, left out there or not."""
+    legal = " ".join(f"legal{i}" for i in range(30))
+    rows = [
+        (1, "http://a.example/1", f"<div>Home News</div><p>only here</p><div>foot {legal}</div>"),
+        (2, "http://a.example/2", f"<nav>Home News</nav><main>first {legal}</main>"),
+        (3, "http://a.example/3", "<article>second</article><div>Home News</div>"),
+        (4, "http://a.example/4", f"<article><p>third<p>{legal}</article>"),
+        (5, "http://b.example/5", f"<div>Home News</div><p>{legal}</p>"),
+        (6, "http://a.example/6", "<div>twice</div><p>own</p><nav>twice</nav>"),  # on one page only
+    ]
+    found = {r.page_id: (r.text, r.n_repeated) for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    assert found == {
+        1: ("only here foot", 32),
+        2: (f"first {legal}", 30),
+        3: ("second", 0),
+        4: (f"third {legal}", 30),
+        5: (f"Home News {legal}", 0),
+        6: ("twice own", 0),
+    }
+
+
 def test_prose_of_a_large_host_stays(spark):
     """Thousands of unmarked pages of ordinary prose from few words, with planted menus and a long
     passage on some; against a plain count of blocks and runs."""
