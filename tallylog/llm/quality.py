@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tallylog.functions.binding import computed_once
 from tallylog.llm.shared import cut, row_key, split_join, whole_text
 
-SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
 #: A document fails if more than this share of its words is repeated, in percent.
 MAX_REPEAT_PERCENT = 50
@@ -38,8 +38,8 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    """Number of a text's characters that are among the given ones."""
+def _number(text: Column, characters: str) -> Column:
+    """Number of a text's characters that are among the given ones, taken one by one."""
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
@@ -84,28 +84,30 @@ def _let(value: Column, body) -> Column:
 def add_measures(docs: DataFrame) -> DataFrame:
     """The documents with the columns of MEASURES (long), replacing columns of these names.
 
-    Words and lines are made once each, and no later filter moves below the measures.
+    Words, lines and the few characters that are counted are made once each, and no later filter
+    moves below the measures.
     """
     text = whole_text()
     own = [F.col(c) for c in docs.columns if c not in MEASURES]
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    marks = F.regexp_replace(text, f"[^{SYMBOLS}!A-Z]+", "")
     split = computed_once(
         docs.select(
-            F.struct(*own).alias("_own"), text.alias("_text"), _words(text).alias("_words"), lines.alias("_lines")
+            F.struct(*own).alias("_own"), marks.alias("_marks"), _words(text).alias("_words"), lines.alias("_lines")
         )
     )
-    text, n = F.col("_text"), F.size("_words")
+    marks, n = F.col("_marks"), F.size("_words")
     return computed_once(
         split.select(
             "_own.*",
             n.cast("long").alias("n_words"),
-            F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-            _without(text, SYMBOLS).cast("long").alias("n_symbols"),
+            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+            _number(marks, SYMBOLS).cast("long").alias("n_symbols"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             _repeat_words(F.col("_words"), n).alias("n_repeat_words"),
             F.size("_lines").cast("long").alias("n_lines"),
-            _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-            _without(text, "!").cast("long").alias("n_exclaims"),
+            _number(marks, CAPITALS).cast("long").alias("n_upper"),
+            _number(marks, "!").cast("long").alias("n_exclaims"),
             F.size(F.array_distinct("_words")).cast("long").alias("n_distinct_words"),
         )
     )

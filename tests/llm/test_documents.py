@@ -20,6 +20,16 @@ def test_measures_against_brute_force(spark):
         assert {k: r[k] for k in by_text[r.text]} == by_text[r.text]
 
 
+def test_counted_characters_of_odd_texts(spark):
+    texts = [None, "", " \t\n", "A!B#c é😀 Ü|<>&%$* \n\x0b\n x \n x\n😀 !", "a\x00b\n\x00\n^-]\\", "😀😀 A B\x85C", "Z" * 3 + "[@`" + "!" * 5]
+    found = quality.add_measures(brute.frame(spark, list(enumerate(texts)))).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r.doc_id] or ""
+        assert {k: r[k] for k in brute.measures(text)} == brute.measures(text)
+        assert r.n_upper == len(re.findall("[A-Z]", text)) and r.n_exclaims == text.count("!")
+
+
 def test_model_recovers_classes():
     # three rules that fire on bad documents alone, a fourth that says nothing
     patterns = {(1, 1, 1, 1): 900, (-1, 1, 1, 1): 40, (1, -1, 1, 1): 30, (-1, -1, 1, 1): 20, (1, 1, 1, -1): 100, (0, 1, 1, 1): 50}
