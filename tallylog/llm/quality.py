@@ -127,7 +127,7 @@ def _vote(bad: Column, good: Column) -> Column:
 def rules() -> dict[str, Column]:
     """The rules' votes by name, over the columns of MEASURES."""
     n = F.col("n_words")
-    mean = F.col("word_chars") / n  # null without words: the rule abstains
+    mean = F.try_divide("word_chars", n)  # null without words, in ANSI mode, too: the rule abstains
     return {
         "word_length": _vote((mean < 2) | (mean > 9), mean.between(3, 7)),
         "symbols": _vote(10 * F.col("n_symbols") > n, 100 * F.col("n_symbols") <= n),

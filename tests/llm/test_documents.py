@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tallylog.llm import fingerprints, licenses, quality
+from tallylog.llm import fingerprints, licenses, quality, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,6 +60,23 @@ def test_keep_good_keeps_columns(spark):
     assert quality.keep_good(odd).collect() == []
 
 
+def test_texts_without_words_in_ansi_mode(spark, tmp_path):
+    rows = [(1, None), (2, ""), (None, " \n"), (3, "!"), (4, " ".join(f"word{i}" for i in range(60))), (4, None)]
+    brute.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        found = queries.op4_quality_rules(spark, str(tmp_path)).collect()
+        kept = quality.keep_good(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert Counter((r.doc_id, r.n_words, r.base_failed) for r in found) == Counter(
+        [(1, 0, True), (2, 0, True), (None, 0, True), (3, 1, True), (4, 60, False), (4, 0, True)]
+    )
+    assert all(0 <= r.p_good <= 1 and r.kept == (r.n_words == 60) for r in found)
+    assert [(r.doc_id, len(r.text.split())) for r in kept] == [(4, 60)]
+
+
 def license_base(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", brute.ascii_lower(text))
     places, labels = [], set()
